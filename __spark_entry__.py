@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from tidemark import operators as ops
 from tidemark.functions import decode_headers, encode_headers, epoch_millis, ntz_to_instant
 from tidemark.functions.groups import IGNORE_GROUP_PATTERN
-from tidemark.plans import publish
+from tidemark.plans import backup, publish, restore_plan
+from tidemark.session import scratch_path
+from tidemark.sources import snapshot as snap
 from tidemark.sources import tables as tv
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -28,6 +30,7 @@ REQUESTED_TOPICS = ["click", "purchase", "refund", "signup", "audit"]
 CONSUMED_TURNS = 4
 UNREACHED_TOPIC = "system"
 SNAPSHOT_TOPICS = ["click", "view"]
+BACKUP_TOPICS = ["click", "view", "audit"]
 
 
 # ---------------------------------------------------------------- helpers
@@ -200,6 +203,43 @@ def q_latest_per_offset(spark, d):
     return _show(_unique_lineitem(spark, d))
 
 
+def _snapshot(spark, d, topics=None):
+    """Back up the events log with its raw commits into a fresh shared folder."""
+    log = _events(spark, d)
+    raw = tv.nation_commits(spark, d, ops.end_offsets(log))
+    path = scratch_path(spark, "snapshot")
+    backup(log, raw, path, topics=topics, ignore_missing_topics=True)
+    return path
+
+
+def q_snapshot_roundtrip(spark, d):
+    return _show(snap.read_messages(spark, _snapshot(spark, d)), _header_count().alias("header_count"))
+
+
+def q_snapshot_topic_read(spark, d):
+    path = _snapshot(spark, d)
+    return _show(snap.read_messages(spark, path, SNAPSHOT_TOPICS), _header_count().alias("header_count"))
+
+
+def q_backup_selected_topics(spark, d):
+    path = _snapshot(spark, d, BACKUP_TOPICS)
+    return _show(snap.read_messages(spark, path), _header_count().alias("header_count"))
+
+
+def q_commits_roundtrip(spark, d):
+    return snap.read_commits(spark, _snapshot(spark, d))
+
+
+def q_commit_plan(spark, d):
+    _, plan = restore_plan(spark, _snapshot(spark, d))
+    return plan
+
+
+def q_restore_plan_rows(spark, d):
+    rows, _ = restore_plan(spark, _snapshot(spark, d))
+    return _show(rows, "target_offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "log_rows": q_log_rows,
     "topic_catalog": q_topic_catalog,
@@ -229,6 +269,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "null_topic_commits": q_null_topic_commits,
     "duplicate_offsets": q_duplicate_offsets,
     "latest_per_offset": q_latest_per_offset,
+    "snapshot_roundtrip": q_snapshot_roundtrip,
+    "snapshot_topic_read": q_snapshot_topic_read,
+    "backup_selected_topics": q_backup_selected_topics,
+    "commits_roundtrip": q_commits_roundtrip,
+    "commit_plan": q_commit_plan,
+    "restore_plan_rows": q_restore_plan_rows,
 }
 
 
@@ -417,6 +463,22 @@ SELECT topic, "partition", "offset", count(*) AS copies FROM li_log
 GROUP BY topic, "partition", "offset" HAVING count(*) > 1""",
     "latest_per_offset": _with(_LINEITEM_LOG) + """
 SELECT * FROM li_unique""",
+    "snapshot_roundtrip": _with(_EVENTS_LOG) + """
+SELECT topic, "partition", "offset", key, value, timestamp_ms, header_count FROM events_log""",
+    "snapshot_topic_read": _with(_EVENTS_LOG) + """
+SELECT topic, "partition", "offset", key, value, timestamp_ms, header_count FROM events_log
+WHERE topic IN ('click', 'view')""",
+    "backup_selected_topics": _with(_EVENTS_LOG) + """
+SELECT topic, "partition", "offset", key, value, timestamp_ms, header_count FROM events_log
+WHERE topic IN ('click', 'view')""",
+    "commits_roundtrip": _with(_EV) + """
+SELECT * FROM events_log_captured""",
+    "commit_plan": _with(_EV, _translated("events_log")) + """
+SELECT * FROM events_log_translated""",
+    "restore_plan_rows": _with(_EVENTS_LOG) + """
+SELECT topic, "partition", "offset", key, value, timestamp_ms,
+       row_number() OVER (PARTITION BY topic, "partition" ORDER BY "offset") - 1 AS target_offset
+FROM events_log""",
 }
 
 
