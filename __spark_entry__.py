@@ -18,7 +18,10 @@ from tidemark.functions import decode_headers, encode_headers, epoch_millis, ntz
 from tidemark.functions.groups import IGNORE_GROUP_PATTERN
 from tidemark.plans import backup, publish, restore_plan
 from tidemark.session import scratch_path
+from tidemark.sinks.sqlite import write_sqlite
 from tidemark.sources import snapshot as snap
+from tidemark.sources.sqlite import read_sqlite_commits, read_sqlite_messages
+from tidemark.streaming import incremental_backup
 from tidemark.sources import tables as tv
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -240,6 +243,34 @@ def q_restore_plan_rows(spark, d):
     return _show(rows, "target_offset")
 
 
+def q_incremental_backup(spark, d):
+    """Two streaming increments over the events folder; the second finds nothing new."""
+    path = scratch_path(spark, "increments")
+    for _ in range(2):
+        incremental_backup(tv.events_as_log(tv.events_stream(spark, d)), path)
+    return _show(snap.read_messages(spark, path), _header_count().alias("header_count"))
+
+
+def _sqlite_export(spark, d):
+    log = _events(spark, d)
+    path = scratch_path(spark, "sqlite")
+    write_sqlite(log, _captured(spark, d, log), path)
+    return path
+
+
+def q_sqlite_roundtrip(spark, d):
+    return _show(read_sqlite_messages(spark, _sqlite_export(spark, d)), _header_count().alias("header_count"))
+
+
+def q_sqlite_topic_import(spark, d):
+    path = _sqlite_export(spark, d)
+    return _show(read_sqlite_messages(spark, path, SNAPSHOT_TOPICS), _header_count().alias("header_count"))
+
+
+def q_sqlite_commits_roundtrip(spark, d):
+    return read_sqlite_commits(spark, _sqlite_export(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "log_rows": q_log_rows,
     "topic_catalog": q_topic_catalog,
@@ -275,6 +306,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "commits_roundtrip": q_commits_roundtrip,
     "commit_plan": q_commit_plan,
     "restore_plan_rows": q_restore_plan_rows,
+    "incremental_backup": q_incremental_backup,
+    "sqlite_roundtrip": q_sqlite_roundtrip,
+    "sqlite_topic_import": q_sqlite_topic_import,
+    "sqlite_commits_roundtrip": q_sqlite_commits_roundtrip,
 }
 
 
@@ -479,6 +514,16 @@ SELECT * FROM events_log_translated""",
 SELECT topic, "partition", "offset", key, value, timestamp_ms,
        row_number() OVER (PARTITION BY topic, "partition" ORDER BY "offset") - 1 AS target_offset
 FROM events_log""",
+    "incremental_backup": _with(_EVENTS_LOG) + """
+SELECT topic, "partition", "offset", key, value, timestamp_ms, header_count FROM events_log""",
+    "sqlite_roundtrip": _with(_EVENTS_LOG) + """
+SELECT topic, "partition", "offset", key, value, timestamp_ms, nullif(header_count, 0) AS header_count
+FROM events_log""",
+    "sqlite_topic_import": _with(_EVENTS_LOG) + """
+SELECT topic, "partition", "offset", key, value, timestamp_ms, nullif(header_count, 0) AS header_count
+FROM events_log WHERE topic IN ('click', 'view')""",
+    "sqlite_commits_roundtrip": _with(_EV) + """
+SELECT * FROM events_log_captured""",
 }
 
 

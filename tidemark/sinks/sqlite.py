@@ -1,0 +1,108 @@
+"""Export of a log and its commits to the SQLite snapshot layout.
+
+One file per (topic, partition) is the format, so each partition is written
+by one grouped-map task; its rows stream through in Arrow batches (the
+iterator form of ``applyInPandas``), never as one whole frame.  Files are
+written under a temporary name and renamed when complete, so a retried or
+speculative task simply replaces the file.  The folder must be a file
+system path every executor sees.
+"""
+from __future__ import annotations
+
+import os
+import sqlite3
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.functions.headers import encode_headers
+from tidemark.functions.time import epoch_millis
+from tidemark.schemas import COMMITS, LOG, conform
+from tidemark.session import ship_package
+from tidemark.sources.sqlite import OFFSETS_FILE, PARTITIONS_DIR
+
+# fixed values: table definitions of the SQLite snapshot layout
+METADATA_DDL = "CREATE TABLE IF NOT EXISTS metadata (topic TEXT, partition INTEGER)"
+DATA_DDL = ("CREATE TABLE IF NOT EXISTS data (offset INTEGER PRIMARY KEY, key BLOB NOT NULL, "
+            "message BLOB, timestamp INTEGER, headers TEXT)")
+OFFSETS_DDL = ("CREATE TABLE IF NOT EXISTS offset (consumer_group TEXT, topic TEXT NOT NULL, "
+               "partition INTEGER, value INTEGER)")
+
+WRITTEN_SCHEMA = "topic string, partition int, path string, rows long"
+
+
+def _nullable_ints(series: pd.Series) -> list:
+    return [None if pd.isna(x) else int(x) for x in series]
+
+
+def _partition_writer(directory: str):
+    folder = os.path.join(directory, PARTITIONS_DIR)
+
+    def write(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        topic, partition = key[0], int(key[1])
+        os.makedirs(folder, exist_ok=True)
+        final = os.path.join(folder, f"{topic}_{partition}.sqlite3")
+        tmp = f"{final}.tmp-{uuid.uuid4().hex}"
+        con = sqlite3.connect(tmp)
+        rows = 0
+        try:
+            con.execute(METADATA_DDL)
+            con.execute("INSERT INTO metadata VALUES(?,?)", (topic, partition))
+            con.execute(DATA_DDL)
+            for pdf in batches:
+                con.executemany("INSERT INTO data VALUES(?,?,?,?,?)", zip(
+                    _nullable_ints(pdf["offset"]), pdf["key"], pdf["value"],
+                    _nullable_ints(pdf["timestamp_ms"]),
+                    [None if v is None or (isinstance(v, float) and pd.isna(v)) else v for v in pdf["headers_json"]]))
+                rows += len(pdf)
+            con.commit()
+        finally:
+            con.close()
+        os.replace(tmp, final)
+        yield pd.DataFrame({"topic": [topic], "partition": [partition], "path": [final], "rows": [rows]})
+
+    return write
+
+
+def _offsets_writer(directory: str):
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(directory, exist_ok=True)
+        final = os.path.join(directory, OFFSETS_FILE)
+        tmp = f"{final}.tmp-{uuid.uuid4().hex}"
+        con = sqlite3.connect(tmp)
+        rows = 0
+        try:
+            con.execute(OFFSETS_DDL)
+            for pdf in batches:
+                con.executemany("INSERT INTO offset VALUES(?,?,?,?)", zip(
+                    pdf["consumer_group"], pdf["topic"], _nullable_ints(pdf["partition"]),
+                    _nullable_ints(pdf["committed"])))
+                rows += len(pdf)
+            con.commit()
+        finally:
+            con.close()
+        os.replace(tmp, final)
+        yield pd.DataFrame({"topic": [None], "partition": [None], "path": [final], "rows": [rows]})
+
+    return write
+
+
+def export_sqlite(log: DataFrame, commits: DataFrame, directory: str) -> DataFrame:
+    """Write the SQLite layout; returns one row per written file (topic, partition, path, rows).
+
+    Lazy: the files are written when the returned DataFrame is evaluated."""
+    ship_package(log.sparkSession)
+    stored = conform(log, LOG).select(
+        "topic", "partition", "offset", "key", "value",
+        epoch_millis("timestamp").alias("timestamp_ms"), encode_headers("headers").alias("headers_json"))
+    parts = stored.groupBy("topic", "partition").applyInPandas(_partition_writer(directory), WRITTEN_SCHEMA)
+    offsets = conform(commits, COMMITS).repartition(1).mapInPandas(_offsets_writer(directory), WRITTEN_SCHEMA)
+    return parts.unionByName(offsets)
+
+
+def write_sqlite(log: DataFrame, commits: DataFrame, directory: str) -> int:
+    """Export and run it; returns the number of files written."""
+    return export_sqlite(log, commits, directory).where(F.col("path").isNotNull()).count()

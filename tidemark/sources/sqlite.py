@@ -1,0 +1,223 @@
+"""Import of snapshot folders in the SQLite layout, as a Python data source.
+
+Layout: ``<dir>/offsets.sqlite3`` (table ``offset``) and one
+``<dir>/partitions/<topic>_<partition>.sqlite3`` per partition (tables
+``metadata`` and ``data``).  The driver only lists files and reads each
+file's metadata row and offset bounds (primary-key look-ups); executors read
+the rows.  A large file is split into offset ranges, so one hot partition is
+read by many tasks.  Rows leave Python as Arrow batches; header JSON and
+epoch-ms timestamps are decoded by Spark expressions afterwards.
+
+Files are opened with ``sqlite3``, so the folder must be a file system path
+that every executor sees (a shared mount on a cluster).
+"""
+from __future__ import annotations
+
+import os
+import sqlite3
+from collections.abc import Iterable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+
+from tidemark.functions.headers import decode_headers
+from tidemark.schemas import COMMITS, LOG, conform
+from tidemark.session import ship_package
+
+SOURCE_NAME = "tidemark_sqlite"
+
+# fixed values: the SQLite snapshot layout
+PARTITIONS_DIR = "partitions"
+OFFSETS_FILE = "offsets.sqlite3"
+FILE_SUFFIX = "sqlite3"
+
+MESSAGES_SCHEMA = ("topic string, partition int, offset bigint, key binary, value binary, "
+                   "timestamp_ms bigint, headers_json string")
+COMMITS_SCHEMA = "consumer_group string, topic string, partition int, committed bigint"
+
+PUSHDOWN_CONF = "spark.sql.python.filterPushdown.enabled"
+DEFAULT_SPLIT_SPAN = 1 << 22
+BATCH_ROWS = 8192
+
+
+class SnapshotFileError(RuntimeError):
+    """A snapshot file could not be read; the message names the file."""
+
+
+@dataclass
+class FileRange(InputPartition):
+    path: str
+    topic: str
+    partition: int
+    low: int
+    high: int  # inclusive
+
+    def __init__(self, path, topic, partition, low, high):
+        super().__init__((path, low))
+        self.path, self.topic, self.partition, self.low, self.high = path, topic, partition, low, high
+
+
+def _connect(path: str) -> sqlite3.Connection:
+    return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+
+
+def _topics_option(value: str | None) -> set[str] | None:
+    if not value:
+        return None
+    return {t for t in value.split(",") if t}
+
+
+class SqliteSnapshotSource(DataSource):
+    """``spark.read.format("tidemark_sqlite").option("kind", "messages"|"commits").load(dir)``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return SOURCE_NAME
+
+    def schema(self):
+        return COMMITS_SCHEMA if self.options.get("kind", "messages") == "commits" else MESSAGES_SCHEMA
+
+    def reader(self, schema):
+        if self.options.get("kind", "messages") == "commits":
+            return _CommitsReader(self.options)
+        if self.options.get("pushdown", "false") == "true":
+            return _PushdownMessagesReader(self.options)
+        return _MessagesReader(self.options)
+
+
+class _MessagesReader(DataSourceReader):
+    def __init__(self, options):
+        self.root = options["path"]
+        self.topics = _topics_option(options.get("topics"))
+        self.split_span = int(options.get("splitSpan", DEFAULT_SPLIT_SPAN))
+
+    def partitions(self):
+        folder = os.path.join(self.root, PARTITIONS_DIR)
+        ranges = []
+        for name in sorted(os.listdir(folder)):
+            if not name.endswith(FILE_SUFFIX):
+                continue
+            path = os.path.join(folder, name)
+            try:
+                con = _connect(path)
+                try:
+                    topic, partition = con.execute("SELECT topic, partition FROM metadata LIMIT 1").fetchone()
+                    if self.topics is not None and topic not in self.topics:
+                        continue
+                    low, high = con.execute('SELECT min("offset"), max("offset") FROM data').fetchone()
+                finally:
+                    con.close()
+            except Exception as exc:
+                raise SnapshotFileError(f"cannot read snapshot file {path}") from exc
+            if low is None:
+                continue
+            start = low
+            while start <= high:
+                end = min(high, start + self.split_span - 1)
+                ranges.append(FileRange(path, topic, int(partition), int(start), int(end)))
+                start = end + 1
+        return ranges
+
+    def read(self, partition: FileRange):
+        import pyarrow as pa
+
+        try:
+            con = _connect(partition.path)
+        except Exception as exc:
+            raise SnapshotFileError(f"cannot read snapshot file {partition.path}") from exc
+        try:
+            cur = con.execute(
+                'SELECT "offset", CAST(key AS BLOB), CAST(message AS BLOB), timestamp, headers FROM data '
+                'WHERE "offset" BETWEEN ? AND ? ORDER BY "offset"', (partition.low, partition.high))
+            while True:
+                rows = cur.fetchmany(BATCH_ROWS)
+                if not rows:
+                    break
+                offsets, keys, values, stamps, headers = zip(*rows)
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([partition.topic] * n, pa.string()),
+                    pa.array([partition.partition] * n, pa.int32()),
+                    pa.array(offsets, pa.int64()),
+                    pa.array(keys, pa.binary()),
+                    pa.array(values, pa.binary()),
+                    pa.array(stamps, pa.int64()),
+                    pa.array(headers, pa.string()),
+                ], names=["topic", "partition", "offset", "key", "value", "timestamp_ms", "headers_json"])
+        except SnapshotFileError:
+            raise
+        except Exception as exc:
+            raise SnapshotFileError(f"cannot read snapshot file {partition.path}") from exc
+        finally:
+            con.close()
+
+
+class _PushdownMessagesReader(_MessagesReader):
+    """Also prunes files by pushed topic filters (needs
+    ``spark.sql.python.filterPushdown.enabled``, else Spark refuses the reader)."""
+
+    def pushFilters(self, filters):
+        # topic equality / IN prunes files; every filter goes back to Spark too
+        for f in filters:
+            if isinstance(f, EqualTo) and tuple(f.attribute) == ("topic",):
+                self.topics = {f.value} & self.topics if self.topics is not None else {f.value}
+            elif isinstance(f, In) and tuple(f.attribute) == ("topic",):
+                vals = set(f.value)
+                self.topics = vals & self.topics if self.topics is not None else vals
+            yield f
+
+
+class _CommitsReader(DataSourceReader):
+    def __init__(self, options):
+        self.root = options["path"]
+
+    def partitions(self):
+        return [InputPartition(os.path.join(self.root, OFFSETS_FILE))]
+
+    def read(self, partition):
+        path = partition.value
+        try:
+            con = _connect(path)
+            try:
+                for group, topic, part, value in con.execute(
+                        'SELECT consumer_group, topic, partition, value FROM "offset"'):
+                    yield (group, topic, None if part is None else int(part), None if value is None else int(value))
+            finally:
+                con.close()
+        except Exception as exc:
+            raise SnapshotFileError(f"cannot read snapshot file {path}") from exc
+
+
+def register(spark: SparkSession) -> None:
+    ship_package(spark)
+    spark.dataSource.register(SqliteSnapshotSource)
+
+
+def read_sqlite_messages(spark: SparkSession, directory: str, topics: Iterable[str] | None = None,
+                         split_span: int = DEFAULT_SPLIT_SPAN) -> DataFrame:
+    """Messages of a SQLite snapshot folder in the LOG layout."""
+    register(spark)
+    pushdown = str(spark.conf.get(PUSHDOWN_CONF, "false")).lower()
+    reader = (spark.read.format(SOURCE_NAME).option("kind", "messages").option("splitSpan", str(split_span))
+              .option("pushdown", pushdown))
+    names = sorted(set(topics or []))
+    if names:
+        reader = reader.option("topics", ",".join(names))
+    raw = reader.load(directory)
+    if names:
+        raw = raw.where(F.col("topic").isin(names))
+    return conform(raw.select("topic", "partition", "offset", "key", "value",
+                              F.timestamp_millis("timestamp_ms").alias("timestamp"),
+                              decode_headers("headers_json").alias("headers")), LOG)
+
+
+def read_sqlite_commits(spark: SparkSession, directory: str, topics: Iterable[str] | None = None) -> DataFrame:
+    """Commits of a SQLite snapshot folder."""
+    register(spark)
+    raw = spark.read.format(SOURCE_NAME).option("kind", "commits").load(directory)
+    names = sorted(set(topics or []))
+    if names:
+        raw = raw.where(F.col("topic").isin(names))
+    return conform(raw, COMMITS)

@@ -41,7 +41,18 @@ def _text(c: Column) -> Column:
 
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    return events_as_log(table(spark, sf_dir, "events"))
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a file stream (new files in the folder are new data)."""
+    schema = table(spark, sf_dir, "events").schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+            .parquet(sf_dir.rstrip("/")))
+
+
+def events_as_log(ev: DataFrame) -> DataFrame:
+    """events rows (batch or streaming) -> LOG."""
     eid = F.col("event_id")
     type_header = F.struct(F.lit(TYPE_HEADER).alias("key"), _text(F.col("event_type")).alias("value"))
     trace_header = F.struct(F.lit(TRACE_HEADER).alias("key"), F.lit(None).cast("binary").alias("value"))

@@ -1,0 +1,4 @@
+"""Structured Streaming jobs: incremental backup."""
+from tidemark.streaming.incremental import IncrementResult, incremental_backup
+
+__all__ = ["IncrementResult", "incremental_backup"]
