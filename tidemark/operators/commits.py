@@ -26,7 +26,8 @@ def capture_commits(commits: DataFrame, partitions: DataFrame, topics: Iterable[
     if ignore_pattern:
         c = c.where(~is_ignored_group("consumer_group", ignore_pattern))
     c = select_topics(c, topics)
-    return c.join(select_topics(partitions.select("topic", "partition"), topics), ["topic", "partition"], "left_semi")
+    kept = c.join(select_topics(partitions.select("topic", "partition"), topics), ["topic", "partition"], "left_semi")
+    return kept.select(*c.columns)
 
 
 def group_commits(commits: DataFrame, offset_col: str = "committed") -> DataFrame:

@@ -24,7 +24,7 @@ def cut(log: DataFrame, ends: DataFrame, max_broadcast_rows: int = DEFAULT_MAX_B
     bounds = usable_ends(ends).select(*KEY, F.col("high").alias("_high"))
     return (join_checked(log, bounds, KEY, "inner", max_broadcast_rows)
             .where(F.col("offset") < F.col("_high"))
-            .drop("_high"))
+            .select(*log.columns))
 
 
 def consumption_report(ends: DataFrame, consumed: DataFrame) -> DataFrame:

@@ -26,8 +26,10 @@ SINK_COLUMNS = ["topic", "partition", "key", "value", "headers"]
 
 
 def publish_frame(restore_rows: DataFrame, timestamp_header: str | None = TIMESTAMP_HEADER,
-                  num_partitions: int | None = None) -> DataFrame:
-    """Restore rows -> (topic, partition, key, value, headers) in publication order."""
+                  num_partitions: int | None = None, keep_offset: bool = False) -> DataFrame:
+    """Restore rows -> (topic, partition, key, value, headers) in publication order.
+
+    ``keep_offset`` also keeps the source offset (to check the order)."""
     headers = F.col("headers")
     if timestamp_header:
         stamp = F.struct(F.lit(timestamp_header).alias("key"),
@@ -37,7 +39,8 @@ def publish_frame(restore_rows: DataFrame, timestamp_header: str | None = TIMEST
     framed = restore_rows.select("topic", "partition", "offset", "key", "value", headers.alias("headers"))
     clustered = (framed.repartition(num_partitions, "topic", "partition") if num_partitions
                  else framed.repartition("topic", "partition"))
-    return clustered.sortWithinPartitions("topic", "partition", "offset").select(*SINK_COLUMNS)
+    ordered = clustered.sortWithinPartitions("topic", "partition", "offset")
+    return ordered.select(*SINK_COLUMNS, "offset") if keep_offset else ordered.select(*SINK_COLUMNS)
 
 
 def commit_triples(plan: DataFrame) -> DataFrame:
