@@ -170,7 +170,7 @@ def q_restore_rows_lineitem(spark, d):
 
 
 def q_publish_rows(spark, d):
-    frame = publish.publish_frame(ops.with_target_offsets(_events(spark, d)))
+    frame = publish.publish_frame(_events(spark, d))
     return frame.select("topic", "partition", F.col("key").cast("string").alias("key"),
                         F.col("value").cast("string").alias("value"),
                         encode_headers("headers").alias("headers_json"))

@@ -6,7 +6,7 @@ snapshot messages with ``offset < c`` in that partition: 0 when it read
 nothing, the partition length when it read past the end.  Commits on
 partitions without messages in the snapshot produce no row.
 
-Plan (see ``buckets``): distinct commit points only; per-bucket counts with
+Plan (see ``buckets``): distinct commit points only, materialised once; per-bucket counts with
 partial aggregation; a prefix sum over buckets and points; an exact running
 count inside the buckets that hold a point.  No message is paired with more
 than its own bucket, and no partition is sorted whole in one task.
@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from tidemark.operators.buckets import DEFAULT_BUCKET_SPAN, bucket_counts, bucket_of
 from tidemark.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_checked
 from tidemark.schemas import COMMITS, require_columns
+from tidemark.session import cut_lineage
 
 KEY = ["topic", "partition"]
 
@@ -72,7 +73,9 @@ def translate_offsets(log: DataFrame, commits: DataFrame, bucket_span: int = DEF
                       max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """commits -> (consumer_group, topic, partition, committed, new_offset)."""
     require_columns(commits, COMMITS, "commits")
-    points = commit_points(commits, bucket_span)
+    # distinct commit points are few (groups x partitions at most): materialise
+    # them once in the checkpoint folder instead of re-deriving them per branch
+    points = cut_lineage(commit_points(commits, bucket_span))
     counts = bucket_counts(log, bucket_span)
     before = _before_bucket(counts, points)
     inside = _inside_bucket(log, points, bucket_span, max_broadcast_rows)
