@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark import operators as ops
 from tidemark.functions import decode_headers, encode_headers, epoch_millis, ntz_to_instant
 from tidemark.functions.groups import IGNORE_GROUP_PATTERN
-from tidemark.plans import backup, publish, restore_plan
+from tidemark.plans import backup, publish, restore_plan, snapshot_report
 from tidemark.session import scratch_path
 from tidemark.sinks.sqlite import write_sqlite
 from tidemark.sources import snapshot as snap
@@ -243,6 +243,15 @@ def q_restore_plan_rows(spark, d):
     return _show(rows, "target_offset")
 
 
+def q_snapshot_lag_report(spark, d):
+    """A snapshot cut at the ends seen before CUT_TIME, reported against the log's ends now."""
+    log = _events(spark, d)
+    early = log.where(F.col("timestamp") < ntz_to_instant(F.lit(CUT_TIME).cast("timestamp_ntz")))
+    path = scratch_path(spark, "lagged")
+    backup(log, tv.nation_commits(spark, d, ops.end_offsets(log)), path, ends=ops.end_offsets(early))
+    return snapshot_report(spark, path, ops.end_offsets(log))
+
+
 def q_incremental_backup(spark, d):
     """Two streaming increments over the events folder; the second finds nothing new."""
     path = scratch_path(spark, "increments")
@@ -306,6 +315,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "commits_roundtrip": q_commits_roundtrip,
     "commit_plan": q_commit_plan,
     "restore_plan_rows": q_restore_plan_rows,
+    "snapshot_lag_report": q_snapshot_lag_report,
     "incremental_backup": q_incremental_backup,
     "sqlite_roundtrip": q_sqlite_roundtrip,
     "sqlite_topic_import": q_sqlite_topic_import,
@@ -514,6 +524,21 @@ SELECT * FROM events_log_translated""",
 SELECT topic, "partition", "offset", key, value, timestamp_ms,
        row_number() OVER (PARTITION BY topic, "partition" ORDER BY "offset") - 1 AS target_offset
 FROM events_log""",
+    "snapshot_lag_report": _with(_EVENTS_LOG, _ends("events_log")) + f"""
+, early AS (
+  SELECT topic, "partition", max("offset") + 1 AS high FROM events_log
+  WHERE ts < TIMESTAMP '{CUT_TIME}' GROUP BY topic, "partition"),
+last AS (
+  SELECT l.topic, l."partition", max(l."offset") AS last_read
+  FROM events_log l JOIN early e ON l.topic = e.topic AND l."partition" = e."partition"
+  WHERE l."offset" < e.high GROUP BY l.topic, l."partition")
+SELECT e.topic, e."partition", e.low, e.high, l.last_read,
+       CASE WHEN l.last_read IS NULL THEN 'not_consumed' WHEN l.last_read >= e.high - 1 THEN 'done'
+            ELSE 'remaining' END AS status,
+       CASE WHEN l.last_read IS NULL THEN NULL ELSE greatest(e.high - 1 - l.last_read, 0) END AS remaining
+FROM events_log_ends e LEFT JOIN last l
+  ON e.topic = l.topic AND e."partition" = l."partition"
+""",
     "incremental_backup": _with(_EVENTS_LOG) + """
 SELECT topic, "partition", "offset", key, value, timestamp_ms, header_count FROM events_log""",
     "sqlite_roundtrip": _with(_EVENTS_LOG) + """
