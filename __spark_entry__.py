@@ -252,6 +252,17 @@ def q_snapshot_lag_report(spark, d):
     return snapshot_report(spark, path, ops.end_offsets(log))
 
 
+def q_backup_increments(spark, d):
+    """A batch backup at the ends seen before CUT_TIME, then an appended increment up to now."""
+    log = _events(spark, d)
+    early = log.where(F.col("timestamp") < ntz_to_instant(F.lit(CUT_TIME).cast("timestamp_ntz")))
+    raw = tv.nation_commits(spark, d, ops.end_offsets(log))
+    path = scratch_path(spark, "appended")
+    backup(log, raw, path, ends=ops.end_offsets(early))
+    backup(log, raw, path, mode="append")
+    return _show(snap.read_messages(spark, path), _header_count().alias("header_count"))
+
+
 def q_incremental_backup(spark, d):
     """Two streaming increments over the events folder; the second finds nothing new."""
     path = scratch_path(spark, "increments")
@@ -316,6 +327,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "commit_plan": q_commit_plan,
     "restore_plan_rows": q_restore_plan_rows,
     "snapshot_lag_report": q_snapshot_lag_report,
+    "backup_increments": q_backup_increments,
     "incremental_backup": q_incremental_backup,
     "sqlite_roundtrip": q_sqlite_roundtrip,
     "sqlite_topic_import": q_sqlite_topic_import,
@@ -539,6 +551,8 @@ SELECT e.topic, e."partition", e.low, e.high, l.last_read,
 FROM events_log_ends e LEFT JOIN last l
   ON e.topic = l.topic AND e."partition" = l."partition"
 """,
+    "backup_increments": _with(_EVENTS_LOG) + """
+SELECT topic, "partition", "offset", key, value, timestamp_ms, header_count FROM events_log""",
     "incremental_backup": _with(_EVENTS_LOG) + """
 SELECT topic, "partition", "offset", key, value, timestamp_ms, header_count FROM events_log""",
     "sqlite_roundtrip": _with(_EVENTS_LOG) + """

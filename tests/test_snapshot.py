@@ -79,3 +79,16 @@ def test_backup_cuts_at_given_ends_and_restores(spark, scratch):
     assert [(r.offset, r.target_offset) for r in rows.orderBy("offset").collect()] == [
         (0, 0), (99, 1), (100, 2), (200, 3), (499, 4)]
     assert sorted((r.consumer_group, r.new_offset) for r in plan.collect()) == [("g", 2), ("h", 5)]
+
+
+def test_append_writes_only_new_offsets(spark, scratch):
+    from tidemark.schemas import ENDS
+    log = messages(spark, "t", 0, [0, 1, 2, 3, 4, 5]).unionByName(messages(spark, "u", 0, [7, 8]))
+    commits = commits_df(spark, [("g", "t", 0, 3)])
+    path = os.path.join(scratch, "snap")
+    backup(log, commits, path, ends=spark.createDataFrame([("t", 0, 0, 3)], ENDS))
+    backup(log, commits, path, mode="append")
+    backup(log, commits, path, mode="append")  # nothing new: nothing written
+    got = sorted((r.topic, r.offset) for r in read_messages(spark, path).collect())
+    assert got == [("t", 0), ("t", 1), ("t", 2), ("t", 3), ("t", 4), ("t", 5), ("u", 7), ("u", 8)]
+    assert read_commits(spark, path).count() == 1

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ends import last_offset, usable_ends
 from tidemark.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_checked
+from tidemark.session import cut_lineage
 
 KEY = ["topic", "partition"]
 
@@ -20,8 +21,10 @@ def cut(log: DataFrame, ends: DataFrame, max_broadcast_rows: int = DEFAULT_MAX_B
 
     Records past the cut and partitions unknown to ``ends`` are left out; they
     belong to the next increment.  ``ends`` has one row per partition, so it is
-    broadcast when its checked row count allows, else joined by shuffle."""
-    bounds = usable_ends(ends).select(*KEY, F.col("high").alias("_high"))
+    broadcast when its checked row count allows, else joined by shuffle.  The
+    bounds are materialised first, so ends derived from the log itself are
+    computed once, not once for the size check and again for the join."""
+    bounds = cut_lineage(usable_ends(ends).select(*KEY, F.col("high").alias("_high")))
     return (join_checked(log, bounds, KEY, "inner", max_broadcast_rows)
             .where(F.col("offset") < F.col("_high"))
             .select(*log.columns))

@@ -16,10 +16,10 @@ from tidemark.operators.checks import duplicate_offsets, guard_null_keys
 from tidemark.operators.commits import capture_commits
 from tidemark.operators.cut import cut
 from tidemark.operators.ends import end_offsets
-from tidemark.operators.joins import DEFAULT_MAX_BROADCAST_ROWS
+from tidemark.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_checked
 from tidemark.schemas import ENDS, conform
 from tidemark.session import cut_lineage
-from tidemark.sinks.snapshot import write_commits, write_messages
+from tidemark.sinks.snapshot import messages_path, write_commits, write_messages
 
 
 class MissingTopicsError(ValueError):
@@ -56,6 +56,26 @@ def check_topics(log: DataFrame, topics: Iterable[str] | None, ignore_missing_to
     return [t for t in wanted if t not in set(missing)]
 
 
+def _snapshot_exists(spark, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(messages_path(path))
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
+
+
+def after_snapshot(spark, snap: DataFrame, path: str, topics: list[str] | None,
+                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``snap`` at or past the end of what the snapshot at ``path`` holds.
+
+    The snapshot's ends are one aggregation over three narrow columns,
+    materialised; partitions the snapshot lacks pass whole."""
+    from tidemark.sources.snapshot import read_messages
+
+    held = cut_lineage(end_offsets(read_messages(spark, path, topics))
+                       .select("topic", "partition", F.col("high").alias("_held")))
+    joined = join_checked(snap, held, ["topic", "partition"], "left", max_broadcast_rows)
+    return joined.where(F.col("_held").isNull() | (F.col("offset") >= F.col("_held"))).select(*snap.columns)
+
+
 def backup(log: DataFrame, commits: DataFrame, path: str, topics: Iterable[str] | None = None,
            ends: DataFrame | None = None, ignore_missing_topics: bool = False, null_key: str = "error",
            check_unique_offsets: bool = False, ignore_group_pattern: str | None = IGNORE_GROUP_PATTERN,
@@ -67,16 +87,25 @@ def backup(log: DataFrame, commits: DataFrame, path: str, topics: Iterable[str]
     before anything is written.  ``null_key="error"`` fails the write at the
     first message without a key.  ``check_unique_offsets`` adds one
     aggregation over (topic, partition, offset) and raises on repeats; offsets
-    read from a broker are unique by construction, so it is off by default."""
+    read from a broker are unique by construction, so it is off by default.
+
+    ``mode="append"`` adds an increment to an existing (batch-written)
+    snapshot: only offsets at or past the snapshot's end per partition are
+    written, so increments never repeat an offset, and the commits are
+    replaced by the new capture."""
     chosen = check_topics(log, topics, ignore_missing_topics)
     selected = log if chosen is None else (
         catalog.select_topics(log, chosen) if chosen else log.where(F.lit(False)))
     bounds = end_offsets(selected) if ends is None else catalog.select_topics(conform(ends, ENDS), chosen)
     bounds = cut_lineage(bounds)  # one row per partition, reused by the cut and the capture
     snap = guard_null_keys(cut(selected, bounds, max_broadcast_rows), null_key)
+    spark = log.sparkSession
+    appending = mode == "append" and _snapshot_exists(spark, path)
+    if appending:
+        snap = after_snapshot(spark, snap, path, chosen, max_broadcast_rows)
     if check_unique_offsets and duplicate_offsets(snap).limit(1).count():
         raise DuplicateOffsetsError("the log repeats an offset within a partition")
     write_messages(snap, path, mode, **write_options)
     captured = capture_commits(commits, bounds, chosen, ignore_group_pattern)
-    write_commits(captured, path, mode)
+    write_commits(captured, path, "overwrite" if mode == "append" else mode)
     return BackupResult(path, chosen, bounds)
