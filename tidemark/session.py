@@ -10,24 +10,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+# settings we run with on a large cluster (tens of TB of log): AQE re-plans
+# joins from measured sizes, merges small shuffle partitions and splits
+# skewed ones; shuffle partitions sized so one holds ~256 MB at the largest
+# stage (raise spark.sql.shuffle.partitions with the data, e.g. 100 TB of
+# payload shuffled once ~ 400k partitions, or let AQE coalesce from a high
+# start); scan splits of 256 MB keep the task count manageable.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.python.worker.reuse": "true",
+}
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tidemark") -> SparkSession:
     """Local session for tests and the bench (UI off, UTC, AQE on)."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.python.worker.reuse", "true")
         .config("spark.driver.memory", "8g")
-        .getOrCreate()
     )
+    for k, v in CLUSTER_CONF.items():
+        if k != "spark.sql.adaptive.advisoryPartitionSizeInBytes":
+            builder = builder.config(k, v)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark

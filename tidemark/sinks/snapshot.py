@@ -61,6 +61,3 @@ def write_snapshot(log: DataFrame, commits: DataFrame, path: str, mode: str = "e
     write_commits(commits, path, mode)
 
 
-def empty_commits(log: DataFrame) -> DataFrame:
-    spark = log.sparkSession
-    return spark.createDataFrame([], COMMITS).select([F.col(f.name) for f in COMMITS.fields])
