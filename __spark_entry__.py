@@ -142,6 +142,16 @@ def q_totals(spark, d):
     return ops.totals(log, _captured(spark, d, log))
 
 
+def q_group_catalog(spark, d):
+    log = _events(spark, d)
+    return ops.consumer_groups(tv.nation_commits(spark, d, ops.end_offsets(log)))
+
+
+def q_commit_triples(spark, d):
+    log = _events(spark, d)
+    return publish.commit_triples(ops.translate_offsets(log, _captured(spark, d, log)))
+
+
 def q_commit_capture(spark, d):
     return _captured(spark, d, _events(spark, d))
 
@@ -229,6 +239,11 @@ def q_backup_selected_topics(spark, d):
     return _show(snap.read_messages(spark, path), _header_count().alias("header_count"))
 
 
+def q_snapshot_partition_read(spark, d):
+    part = snap.read_partition(spark, _snapshot(spark, d), SNAPSHOT_TOPICS[0], 1)
+    return _show(part, _header_count().alias("header_count"))
+
+
 def q_commits_roundtrip(spark, d):
     return snap.read_commits(spark, _snapshot(spark, d))
 
@@ -307,7 +322,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "partition_counts": q_partition_counts,
     "group_commit_counts": q_group_commit_counts,
     "totals": q_totals,
+    "group_catalog": q_group_catalog,
     "commit_capture": q_commit_capture,
+    "commit_triples": q_commit_triples,
     "translate_offsets": q_translate_offsets,
     "translate_offsets_conversations": q_translate_offsets_conversations,
     "translate_offsets_lineitem": q_translate_offsets_lineitem,
@@ -323,6 +340,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snapshot_roundtrip": q_snapshot_roundtrip,
     "snapshot_topic_read": q_snapshot_topic_read,
     "backup_selected_topics": q_backup_selected_topics,
+    "snapshot_partition_read": q_snapshot_partition_read,
     "commits_roundtrip": q_commits_roundtrip,
     "commit_plan": q_commit_plan,
     "restore_plan_rows": q_restore_plan_rows,
@@ -478,6 +496,11 @@ SELECT 'partitions' AS metric, count(*) AS value FROM events_log_ends
 UNION ALL SELECT 'messages', count(*) FROM events_log
 UNION ALL SELECT 'commits', count(*) FROM events_log_captured
 UNION ALL SELECT 'groups', count(DISTINCT consumer_group) FROM events_log_captured""",
+    "group_catalog": _with(_EV) + f"""
+SELECT DISTINCT consumer_group, regexp_matches(consumer_group, '{IGNORE_GROUP_PATTERN}') AS ignored
+FROM events_log_commits_raw""",
+    "commit_triples": _with(_EV, _translated("events_log")) + """
+SELECT consumer_group, topic, "partition", new_offset AS "offset" FROM events_log_translated""",
     "commit_capture": _with(_EV) + """
 SELECT * FROM events_log_captured""",
     "translate_offsets": _with(_EV, _translated("events_log")) + """
@@ -528,6 +551,9 @@ WHERE topic IN ('click', 'view')""",
     "backup_selected_topics": _with(_EVENTS_LOG) + """
 SELECT topic, "partition", "offset", key, value, timestamp_ms, header_count FROM events_log
 WHERE topic IN ('click', 'view')""",
+    "snapshot_partition_read": _with(_EVENTS_LOG) + """
+SELECT topic, "partition", "offset", key, value, timestamp_ms, header_count FROM events_log
+WHERE topic = 'click' AND "partition" = 1""",
     "commits_roundtrip": _with(_EV) + """
 SELECT * FROM events_log_captured""",
     "commit_plan": _with(_EV, _translated("events_log")) + """

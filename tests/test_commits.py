@@ -45,3 +45,20 @@ def test_group_commits_and_starting_offsets(spark):
     assert json.loads(js["h"]) == {"a": {"10": 0}}
     grouped = {r.consumer_group: [tuple(x) for x in r.offsets] for r in group_commits(plan, "new_offset").collect()}
     assert grouped["g"] == [("a", 10, 1), ("b", 0, 1), ("b", 1, 2)]
+
+
+def test_union_and_group_catalog(spark):
+    from tidemark.operators import consumer_groups, union_commits
+    a = commits_df(spark, [("CG1", "t", 0, 1)])
+    b = commits_df(spark, [("x-123e4567-e89b-12d3-a456-426614174000", "t", 0, 2)]).select(
+        "committed", "partition", "topic", "consumer_group")
+    both = union_commits(a, b)
+    assert both.columns == ["consumer_group", "topic", "partition", "committed"] and both.count() == 2
+    assert dict(consumer_groups(both).collect()) == {"CG1": False, "x-123e4567-e89b-12d3-a456-426614174000": True}
+
+
+def test_commit_triples(spark):
+    from tidemark.plans import commit_triples
+    plan = spark.createDataFrame([("g", "t", 0, 10, 3)],
+                                 "consumer_group string, topic string, partition int, committed bigint, new_offset bigint")
+    assert [tuple(r) for r in commit_triples(plan).collect()] == [("g", "t", 0, 3)]

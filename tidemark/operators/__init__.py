@@ -4,7 +4,8 @@ from tidemark.operators.catalog import (partitions, requested_frame, requested_m
                                         select_topics, topics)
 from tidemark.operators.checks import (duplicate_offsets, guard_null_keys, latest_per_offset, null_keys,
                                        null_topic_commits)
-from tidemark.operators.commits import NO_OFFSET, capture_commits, commit_counts, group_commits
+from tidemark.operators.commits import (NO_OFFSET, capture_commits, commit_counts, consumer_groups,
+                                       group_commits, union_commits)
 from tidemark.operators.counts import partition_counts, totals
 from tidemark.operators.cut import consumption_complete, consumption_report, cut
 from tidemark.operators.ends import end_offsets, last_offset, usable_ends
@@ -15,7 +16,7 @@ from tidemark.operators.translate import translate_offsets
 __all__ = [
     "DEFAULT_BUCKET_SPAN", "partitions", "requested_frame", "requested_missing", "requested_present",
     "select_topics", "topics", "duplicate_offsets", "guard_null_keys", "latest_per_offset", "null_keys",
-    "null_topic_commits", "NO_OFFSET", "capture_commits", "commit_counts", "group_commits",
+    "null_topic_commits", "NO_OFFSET", "capture_commits", "commit_counts", "consumer_groups", "group_commits", "union_commits",
     "partition_counts", "totals", "consumption_complete", "consumption_report", "cut", "end_offsets",
     "last_offset", "usable_ends", "join_checked", "with_target_offsets", "translate_offsets",
 ]

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,20 @@ from tidemark.schemas import COMMITS, conform
 NO_OFFSET = -1001
 
 
+def union_commits(*frames: DataFrame) -> DataFrame:
+    """Commits gathered from several tables, by column name."""
+    if not frames:
+        raise ValueError("no commit tables given")
+    return reduce(lambda a, b: a.unionByName(b), [conform(f, COMMITS) for f in frames])
+
+
+def consumer_groups(commits: DataFrame, ignore_pattern: str | None = IGNORE_GROUP_PATTERN) -> DataFrame:
+    """(consumer_group, ignored): every group that has commits, and whether capture skips it."""
+    groups = commits.select("consumer_group").distinct()
+    ignored = is_ignored_group("consumer_group", ignore_pattern) if ignore_pattern else F.lit(False)
+    return groups.select("consumer_group", F.coalesce(ignored, F.lit(False)).alias("ignored"))
+
+
 def capture_commits(commits: DataFrame, partitions: DataFrame, topics: Iterable[str] | None = None,
                     ignore_pattern: str | None = IGNORE_GROUP_PATTERN) -> DataFrame:
     """Commits of kept groups on the given partitions.

@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.operators.catalog import select_topics
 from tidemark.schemas import COMMITS, LOG, conform
@@ -19,6 +20,12 @@ def read_messages(spark: SparkSession, path: str, topics: Iterable[str] | None =
     return conform(select_topics(df, topics), LOG)
 
 
+def read_partition(spark: SparkSession, path: str, topic: str, partition: int) -> DataFrame:
+    """Messages of one (topic, partition), in offset order; both filters prune folders."""
+    df = read_messages(spark, path, [topic]).where(F.col("partition") == F.lit(int(partition)))
+    return df.sortWithinPartitions("offset")
+
+
 def read_commits(spark: SparkSession, path: str, topics: Iterable[str] | None = None) -> DataFrame:
     """Snapshot commits, restricted to the chosen topics when given."""
     df = spark.read.schema(COMMITS).parquet(commits_path(path))
