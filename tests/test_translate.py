@@ -90,3 +90,9 @@ def test_translation_is_min_target_at_or_after_commit(spark):
     check = (plan.join(first, ["consumer_group", "topic", "partition", "committed"], "left").join(n, ["topic", "partition"])
              .select(F.coalesce("first", "n").alias("want"), "new_offset").collect())
     assert all(r.want == r.new_offset for r in check)
+
+
+def test_empty_inputs(spark):
+    log = messages(spark, "t", 0, [1, 2, 3])
+    assert translate_offsets(log, commits_df(spark, [])).count() == 0
+    assert translate_offsets(messages(spark, "t", 0, []), commits_df(spark, [("g", "t", 0, 5)])).count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ends import last_offset, usable_ends
 from tidemark.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_checked
-from tidemark.session import cut_lineage
+from tidemark.session import materialize
 
 KEY = ["topic", "partition"]
 
@@ -16,16 +16,21 @@ NOT_CONSUMED = "not_consumed"
 REMAINING = "remaining"
 
 
-def cut(log: DataFrame, ends: DataFrame, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+def cut(log: DataFrame, ends: DataFrame, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+        ends_rows: int | None = None) -> DataFrame:
     """Messages below the end snapshot: ``offset < high`` on partitions that have an end.
 
     Records past the cut and partitions unknown to ``ends`` are left out; they
     belong to the next increment.  ``ends`` has one row per partition, so it is
     broadcast when its checked row count allows, else joined by shuffle.  The
     bounds are materialised first, so ends derived from the log itself are
-    computed once, not once for the size check and again for the join."""
-    bounds = cut_lineage(usable_ends(ends).select(*KEY, F.col("high").alias("_high")))
-    return (join_checked(log, bounds, KEY, "inner", max_broadcast_rows)
+    computed once, not once for the size check and again for the join; a
+    caller that already materialised ``ends`` passes its row count as
+    ``ends_rows`` and nothing is recomputed."""
+    bounds = usable_ends(ends).select(*KEY, F.col("high").alias("_high"))
+    if ends_rows is None:
+        bounds, ends_rows = materialize(bounds)
+    return (join_checked(log, bounds, KEY, "inner", max_broadcast_rows, known_rows=ends_rows)
             .where(F.col("offset") < F.col("_high"))
             .select(*log.columns))
 

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from tidemark.operators.buckets import DEFAULT_BUCKET_SPAN, bucket_counts, bucket_of
 from tidemark.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_checked
 from tidemark.schemas import COMMITS, require_columns
-from tidemark.session import cut_lineage
+from tidemark.session import materialize
 
 KEY = ["topic", "partition"]
 
@@ -52,11 +52,14 @@ def _before_bucket(counts: DataFrame, points: DataFrame) -> DataFrame:
             .select(*KEY, "committed", "before"))
 
 
-def _inside_bucket(log: DataFrame, points: DataFrame, span: int, max_broadcast_rows: int) -> DataFrame:
+def _inside_bucket(log: DataFrame, points: DataFrame, span: int, max_broadcast_rows: int,
+                   points_rows: int | None = None) -> DataFrame:
     """Messages of the point's own bucket with ``offset < committed``."""
     msgs = log.select(*KEY, "offset", bucket_of("offset", span).alias("bucket"))
     point_buckets = points.select(*KEY, "bucket").distinct()
-    near = join_checked(msgs, point_buckets, [*KEY, "bucket"], "left_semi", max_broadcast_rows)
+    # distinct point buckets are at most as many as the points
+    near = join_checked(msgs, point_buckets, [*KEY, "bucket"], "left_semi", max_broadcast_rows,
+                        known_rows=points_rows)
     rows = (near.select(*KEY, "bucket", "offset", F.lit(1).alias("kind"),
                         F.lit(None).cast("long").alias("committed"))
             .unionByName(points.select(*KEY, "bucket", F.col("committed").alias("offset"),
@@ -75,10 +78,10 @@ def translate_offsets(log: DataFrame, commits: DataFrame, bucket_span: int = DEF
     require_columns(commits, COMMITS, "commits")
     # distinct commit points are few (groups x partitions at most): materialise
     # them once in the checkpoint folder instead of re-deriving them per branch
-    points = cut_lineage(commit_points(commits, bucket_span))
+    points, n_points = materialize(commit_points(commits, bucket_span))
     counts = bucket_counts(log, bucket_span)
     before = _before_bucket(counts, points)
-    inside = _inside_bucket(log, points, bucket_span, max_broadcast_rows)
+    inside = _inside_bucket(log, points, bucket_span, max_broadcast_rows, n_points)
     translated = (before.join(inside, [*KEY, "committed"])
                   .select(*KEY, "committed", (F.col("before") + F.col("inside")).alias("new_offset")))
     return (commits.select("consumer_group", *KEY, "committed")

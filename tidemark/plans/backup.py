@@ -18,7 +18,7 @@ from tidemark.operators.cut import cut
 from tidemark.operators.ends import end_offsets
 from tidemark.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_checked
 from tidemark.schemas import ENDS, conform
-from tidemark.session import cut_lineage
+from tidemark.session import materialize
 from tidemark.sinks.snapshot import messages_path, write_commits, write_messages
 
 
@@ -70,9 +70,9 @@ def after_snapshot(spark, snap: DataFrame, path: str, topics: list[str] | None,
     materialised; partitions the snapshot lacks pass whole."""
     from tidemark.sources.snapshot import read_messages
 
-    held = cut_lineage(end_offsets(read_messages(spark, path, topics))
-                       .select("topic", "partition", F.col("high").alias("_held")))
-    joined = join_checked(snap, held, ["topic", "partition"], "left", max_broadcast_rows)
+    held, n_held = materialize(end_offsets(read_messages(spark, path, topics))
+                               .select("topic", "partition", F.col("high").alias("_held")))
+    joined = join_checked(snap, held, ["topic", "partition"], "left", max_broadcast_rows, known_rows=n_held)
     return joined.where(F.col("_held").isNull() | (F.col("offset") >= F.col("_held"))).select(*snap.columns)
 
 
@@ -97,8 +97,8 @@ def backup(log: DataFrame, commits: DataFrame, path: str, topics: Iterable[str]
     selected = log if chosen is None else (
         catalog.select_topics(log, chosen) if chosen else log.where(F.lit(False)))
     bounds = end_offsets(selected) if ends is None else catalog.select_topics(conform(ends, ENDS), chosen)
-    bounds = cut_lineage(bounds)  # one row per partition, reused by the cut and the capture
-    snap = guard_null_keys(cut(selected, bounds, max_broadcast_rows), null_key)
+    bounds, n_bounds = materialize(bounds)  # one row per partition, reused by the cut and the capture
+    snap = guard_null_keys(cut(selected, bounds, max_broadcast_rows, ends_rows=n_bounds), null_key)
     spark = log.sparkSession
     appending = mode == "append" and _snapshot_exists(spark, path)
     if appending:

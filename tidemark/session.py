@@ -91,6 +91,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut_lineage`` plus the row count, observed in the same job."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    ensure_checkpoint_dir(df.sparkSession)
+    obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
+    out = df.observe(obs, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    return out, int(obs.get["n"])
+
+
 _SHIPPED: set[str] = set()
 
 
