@@ -34,3 +34,26 @@ def test_increments_add_up_to_one_backup(spark, scratch):
     full = tv.events_log(spark, SF_SMALL)
     back = read_messages(spark, path)
     assert back.exceptAll(full).count() == 0 and full.exceptAll(back).count() == 0
+
+
+def test_time_limit_keeps_batches_and_next_run_resumes(spark, scratch):
+    src = os.path.join(scratch, "src")
+    os.makedirs(src)
+    events = pq.read_table(os.path.join(SF_SMALL, "events.parquet"))
+    step = events.num_rows // 4 + 1
+    for i in range(4):
+        pq.write_table(events.slice(i * step, step), os.path.join(src, f"part-{i}.parquet"))
+    path = os.path.join(scratch, "snap")
+    schema = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet")).schema
+
+    def run(timeout):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        return incremental_backup(tv.events_as_log(stream), path, timeout=timeout)
+
+    first = run(0.05)  # stops early (or finishes); finished batches stay
+    rest = run(None)
+    assert rest.finished
+    assert first.rows + rest.rows >= events.num_rows
+    full = tv.events_log(spark, SF_SMALL)
+    back = read_messages(spark, path)
+    assert back.exceptAll(full).count() == 0 and full.exceptAll(back).count() == 0
