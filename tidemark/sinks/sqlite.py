@@ -1,11 +1,16 @@
 """Export of a log and its commits to the SQLite snapshot layout.
 
-One file per (topic, partition) is the format, so each partition is written
-by one grouped-map task; its rows stream through in Arrow batches (the
-iterator form of ``applyInPandas``), never as one whole frame.  Files are
-written under a temporary name and renamed when complete, so a retried or
-speculative task simply replaces the file.  The folder must be a file
-system path every executor sees.
+A partition is written as ``<topic>_<partition>.sqlite3``, one file per
+partition as the layout expects, when its offsets span at most
+``file_span`` values.  A larger (hot) partition is written as several files
+``<topic>_<partition>.<k>.sqlite3``, each holding one range of ``file_span``
+offsets and written by its own task, so no task receives a whole hot
+partition; the importer reads any number of files per partition.  Rows
+stream through each grouped-map task in Arrow batches (the iterator form of
+``applyInPandas``), never as one whole frame.  Files are written under a
+temporary name and renamed when complete, so a retried or speculative task
+simply replaces its file.  The folder must be a file system path every
+executor sees.
 """
 from __future__ import annotations
 
@@ -20,8 +25,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.headers import encode_headers
 from tidemark.functions.time import epoch_millis
+from tidemark.operators.buckets import bucket_of
+from tidemark.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_checked
 from tidemark.schemas import COMMITS, LOG, conform
-from tidemark.session import ship_package
+from tidemark.session import materialize, ship_package
 from tidemark.sources.sqlite import OFFSETS_FILE, PARTITIONS_DIR
 
 # fixed values: table definitions of the SQLite snapshot layout
@@ -33,6 +40,9 @@ OFFSETS_DDL = ("CREATE TABLE IF NOT EXISTS offset (consumer_group TEXT, topic TE
 
 WRITTEN_SCHEMA = "topic string, partition int, path string, rows long"
 
+# offsets per file: partitions spanning more are split into several files
+DEFAULT_FILE_SPAN = 1 << 24
+
 
 def _nullable_ints(series: pd.Series) -> list:
     return [None if pd.isna(x) else int(x) for x in series]
@@ -42,13 +52,17 @@ def _partition_writer(directory: str):
     folder = os.path.join(directory, PARTITIONS_DIR)
 
     def write(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        topic, partition = key[0], int(key[1])
+        topic, partition, chunk, chunks = key[0], int(key[1]), int(key[2]), int(key[3])
         os.makedirs(folder, exist_ok=True)
-        final = os.path.join(folder, f"{topic}_{partition}.sqlite3")
+        name = f"{topic}_{partition}.sqlite3" if chunks == 1 else f"{topic}_{partition}.{chunk}.sqlite3"
+        final = os.path.join(folder, name)
         tmp = f"{final}.tmp-{uuid.uuid4().hex}"
         con = sqlite3.connect(tmp)
         rows = 0
         try:
+            # the file only becomes visible by the rename below: no journal needed
+            con.execute("PRAGMA journal_mode=OFF")
+            con.execute("PRAGMA synchronous=OFF")
             con.execute(METADATA_DDL)
             con.execute("INSERT INTO metadata VALUES(?,?)", (topic, partition))
             con.execute(DATA_DDL)
@@ -90,19 +104,27 @@ def _offsets_writer(directory: str):
     return write
 
 
-def export_sqlite(log: DataFrame, commits: DataFrame, directory: str) -> DataFrame:
+def export_sqlite(log: DataFrame, commits: DataFrame, directory: str, file_span: int = DEFAULT_FILE_SPAN,
+                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Write the SQLite layout; returns one row per written file (topic, partition, path, rows).
 
     Lazy: the files are written when the returned DataFrame is evaluated."""
     ship_package(log.sparkSession)
     stored = conform(log, LOG).select(
         "topic", "partition", "offset", "key", "value",
-        epoch_millis("timestamp").alias("timestamp_ms"), encode_headers("headers").alias("headers_json"))
-    parts = stored.groupBy("topic", "partition").applyInPandas(_partition_writer(directory), WRITTEN_SCHEMA)
+        epoch_millis("timestamp").alias("timestamp_ms"), encode_headers("headers").alias("headers_json"),
+        bucket_of("offset", file_span).alias("_chunk"))
+    # chunks per partition: one small aggregate row per partition
+    spans = (stored.groupBy("topic", "partition")
+             .agg((F.max("_chunk") - F.min("_chunk") + 1).cast("int").alias("_chunks")))
+    spans, n_spans = materialize(spans)
+    keyed = join_checked(stored, spans, ["topic", "partition"], "inner", max_broadcast_rows, known_rows=n_spans)
+    parts = (keyed.groupBy("topic", "partition", "_chunk", "_chunks")
+             .applyInPandas(_partition_writer(directory), WRITTEN_SCHEMA))
     offsets = conform(commits, COMMITS).repartition(1).mapInPandas(_offsets_writer(directory), WRITTEN_SCHEMA)
     return parts.unionByName(offsets)
 
 
-def write_sqlite(log: DataFrame, commits: DataFrame, directory: str) -> int:
+def write_sqlite(log: DataFrame, commits: DataFrame, directory: str, **kw) -> int:
     """Export and run it; returns the number of files written."""
-    return export_sqlite(log, commits, directory).where(F.col("path").isNotNull()).count()
+    return export_sqlite(log, commits, directory, **kw).where(F.col("path").isNotNull()).count()
