@@ -92,3 +92,13 @@ def test_append_writes_only_new_offsets(spark, scratch):
     got = sorted((r.topic, r.offset) for r in read_messages(spark, path).collect())
     assert got == [("t", 0), ("t", 1), ("t", 2), ("t", 3), ("t", 4), ("t", 5), ("u", 7), ("u", 8)]
     assert read_commits(spark, path).count() == 1
+
+
+def test_backup_of_only_missing_topics_is_empty(spark, scratch):
+    log, commits = _fixture(spark)
+    path = os.path.join(scratch, "snap")
+    result = backup(log, commits, path, topics=["nope"], ignore_missing_topics=True)
+    assert result.topics == []
+    assert read_messages(spark, path).count() == 0 and read_commits(spark, path).count() == 0
+    rows, plan = restore_plan(spark, path)
+    assert rows.count() == 0 and plan.count() == 0
