@@ -6,7 +6,7 @@ snapshot messages with ``offset < c`` in that partition: 0 when it read
 nothing, the partition length when it read past the end.  Commits on
 partitions without messages in the snapshot produce no row.
 
-Plan (see ``buckets``): distinct commit points only, materialised once; per-bucket counts with
+Plan (see ``buckets``): commits materialised once, distinct points only; per-bucket counts with
 partial aggregation; a prefix sum over buckets and points; an exact running
 count inside the buckets that hold a point.  No message is paired with more
 than its own bucket, and no partition is sorted whole in one task.
@@ -76,14 +76,15 @@ def translate_offsets(log: DataFrame, commits: DataFrame, bucket_span: int = DEF
                       max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """commits -> (consumer_group, topic, partition, committed, new_offset)."""
     require_columns(commits, COMMITS, "commits")
-    # distinct commit points are few (groups x partitions at most): materialise
-    # them once in the checkpoint folder instead of re-deriving them per branch
-    points, n_points = materialize(commit_points(commits, bucket_span))
+    # commits are at most groups x partitions rows: materialise them once in
+    # the checkpoint folder instead of re-deriving them in every branch
+    wanted, n_commits = materialize(commits.select("consumer_group", *KEY, "committed")
+                                    .where(F.col("committed").isNotNull()))
+    points = commit_points(wanted, bucket_span)
     counts = bucket_counts(log, bucket_span)
     before = _before_bucket(counts, points)
-    inside = _inside_bucket(log, points, bucket_span, max_broadcast_rows, n_points)
+    inside = _inside_bucket(log, points, bucket_span, max_broadcast_rows, n_commits)
     translated = (before.join(inside, [*KEY, "committed"])
                   .select(*KEY, "committed", (F.col("before") + F.col("inside")).alias("new_offset")))
-    return (commits.select("consumer_group", *KEY, "committed")
-            .join(translated, [*KEY, "committed"])
+    return (wanted.join(translated, [*KEY, "committed"])
             .select("consumer_group", *KEY, "committed", "new_offset"))
