@@ -179,6 +179,15 @@ def q_restore_rows_lineitem(spark, d):
     return ops.with_target_offsets(_unique_lineitem(spark, d)).select("topic", "partition", "offset", "target_offset")
 
 
+def q_restore_rows_hot(spark, d):
+    return ops.with_target_offsets(tv.hot_log(spark, d)).select("topic", "partition", "offset", "target_offset")
+
+
+def q_translate_offsets_hot(spark, d):
+    log = tv.hot_log(spark, d)
+    return ops.translate_offsets(log, _captured(spark, d, log))
+
+
 def q_publish_rows(spark, d):
     frame = publish.publish_frame(_events(spark, d))
     return frame.select("topic", "partition", F.col("key").cast("string").alias("key"),
@@ -330,6 +339,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "translate_offsets_lineitem": q_translate_offsets_lineitem,
     "restore_rows": q_restore_rows,
     "restore_rows_lineitem": q_restore_rows_lineitem,
+    "restore_rows_hot": q_restore_rows_hot,
+    "translate_offsets_hot": q_translate_offsets_hot,
     "publish_rows": q_publish_rows,
     "group_offsets": q_group_offsets,
     "starting_offsets_json": q_starting_offsets_json,
@@ -382,6 +393,11 @@ li_unique AS (
   SELECT topic, "partition", "offset", key, value, timestamp_ms FROM (
     SELECT *, row_number() OVER (PARTITION BY topic, "partition", "offset"
                                  ORDER BY timestamp_ms DESC, key DESC, value DESC, l_linestatus DESC) AS rn
+    FROM li_log) WHERE rn = 1),
+hot AS (
+  SELECT 'hot' AS topic, CAST(0 AS INTEGER) AS "partition", "offset", key, value, timestamp_ms FROM (
+    SELECT *, row_number() OVER (PARTITION BY "offset"
+                                 ORDER BY timestamp_ms DESC, key DESC, value DESC, l_linestatus DESC) AS rn
     FROM li_log) WHERE rn = 1)"""
 
 
@@ -519,6 +535,10 @@ FROM events_log""",
 SELECT topic, "partition", "offset",
        row_number() OVER (PARTITION BY topic, "partition" ORDER BY "offset") - 1 AS target_offset
 FROM li_unique""",
+    "restore_rows_hot": _with(_LINEITEM_LOG) + """
+SELECT topic, "partition", "offset", row_number() OVER (ORDER BY "offset") - 1 AS target_offset FROM hot""",
+    "translate_offsets_hot": _with(_LINEITEM_LOG, _ends("hot"), _commits("hot"), _translated("hot")) + """
+SELECT * FROM hot_translated""",
     "publish_rows": _with(_EVENTS_LOG) + f"""
 SELECT topic, "partition", key, value,
        to_json(list_concat(coalesce({_HEADERS_LIST}, []), [{_TS_HEADER}])) AS headers_json

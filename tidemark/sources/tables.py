@@ -10,6 +10,7 @@ snapshot, a table in the LOG layout, or the Kafka source).
   partition = conv_id, offset = turn; system turns carry no key.
 * ``lineitem`` -> bench-size log with repeated offsets: topic =
   l_returnflag, partition = l_orderkey % 8, offset = l_orderkey * 8 + l_linenumber.
+* ``hot``: the lineitem log with every message in one partition (skew).
 * ``nation`` x ends -> commits: every partition is committed by the five
   nations of region ``partition % 5`` (an equi join, five rows a partition),
   plus temporary (UUID-named) groups and "no offset" rows.
@@ -30,6 +31,7 @@ TYPE_HEADER = "type"
 TRACE_HEADER = "trace"
 LINESTATUS_HEADER = "linestatus"
 TEMP_GROUP_PREFIX = "tmp-"
+HOT_TOPIC = "hot"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +99,15 @@ def lineitem_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(header).alias("headers")), LOG)
 
 
+def hot_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every lineitem message in one partition (topic ``hot``, partition 0), one per
+    offset: the skew case, a single partition holding all rows."""
+    from tidemark.operators.checks import latest_per_offset
+
+    li = lineitem_log(spark, sf_dir)
+    return latest_per_offset(li.withColumn("topic", F.lit(HOT_TOPIC)).withColumn("partition", F.lit(0)))
+
+
 def temp_group_name(name: Column) -> Column:
     """A UUID-shaped group name derived from ``name`` (md5 hex cut 8-4-4-4-12)."""
     h = F.md5(name)
