@@ -41,7 +41,8 @@ class BackupResult:
 
 def check_topics(log: DataFrame, topics: Iterable[str] | None, ignore_missing_topics: bool = False
                  ) -> list[str] | None:
-    """Requested topics that exist; raise on missing ones unless told to ignore them.
+    """Requested topics that exist in ``log`` (a log, or its ends table); raise on
+    missing ones unless told to ignore them.
 
     Only the requested names come back to the driver (the user's own list)."""
     if not topics:
@@ -93,11 +94,21 @@ def backup(log: DataFrame, commits: DataFrame, path: str, topics: Iterable[str]
     snapshot: only offsets at or past the snapshot's end per partition are
     written, so increments never repeat an offset, and the commits are
     replaced by the new capture."""
-    chosen = check_topics(log, topics, ignore_missing_topics)
-    selected = log if chosen is None else (
-        catalog.select_topics(log, chosen) if chosen else log.where(F.lit(False)))
-    bounds = end_offsets(selected) if ends is None else catalog.select_topics(conform(ends, ENDS), chosen)
-    bounds, n_bounds = materialize(bounds)  # one row per partition, reused by the cut and the capture
+    wanted = list(dict.fromkeys(topics)) if topics else None
+    requested = catalog.select_topics(log, wanted)
+    bounds = end_offsets(requested) if ends is None else catalog.select_topics(conform(ends, ENDS), wanted)
+    # one row per partition, reused by the topic check, the cut and the capture
+    bounds, n_bounds = materialize(bounds)
+    # the topic check reads the small ends table, not the log; still before any write
+    chosen = check_topics(bounds, wanted, ignore_missing_topics)
+    if chosen is None or len(chosen) == len(wanted or []):
+        selected = requested
+    elif chosen:
+        selected = catalog.select_topics(log, chosen)
+        bounds = catalog.select_topics(bounds, chosen)
+    else:
+        selected = log.where(F.lit(False))
+        bounds = bounds.where(F.lit(False))
     snap = guard_null_keys(cut(selected, bounds, max_broadcast_rows, ends_rows=n_bounds), null_key)
     spark = log.sparkSession
     appending = mode == "append" and _snapshot_exists(spark, path)
