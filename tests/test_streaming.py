@@ -57,3 +57,18 @@ def test_time_limit_keeps_batches_and_next_run_resumes(spark, scratch):
     full = tv.events_log(spark, SF_SMALL)
     back = read_messages(spark, path)
     assert back.exceptAll(full).count() == 0 and full.exceptAll(back).count() == 0
+
+
+def test_progress_adds_up_over_many_batches(spark, scratch):
+    # more batches than a short poll sees at once: rows still add up by batch id
+    src = os.path.join(scratch, "src")
+    os.makedirs(src)
+    events = pq.read_table(os.path.join(SF_SMALL, "events.parquet"))
+    step = events.num_rows // 12 + 1
+    for i in range(12):
+        pq.write_table(events.slice(i * step, step), os.path.join(src, f"part-{i:02d}.parquet"))
+    schema = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    result = incremental_backup(tv.events_as_log(stream), os.path.join(scratch, "snap"), poll_seconds=0.2,
+                                progress_every=100)
+    assert result.finished and result.batches == 12 and result.rows == events.num_rows

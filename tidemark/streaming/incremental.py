@@ -9,6 +9,8 @@ files, a file stream over the source folder.
 """
 from __future__ import annotations
 
+import logging
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -19,6 +21,11 @@ from tidemark.sinks.snapshot import messages_path, write_commits
 
 CHECKPOINT_DIR = "_checkpoint"
 PROGRESS_NAME = "backup_progress"
+# fixed value: progress is logged each time this many more rows are in
+PROGRESS_EVERY = 100_000
+POLL_SECONDS = 2.0
+
+logger = logging.getLogger(__name__)
 
 
 @dataclass
@@ -32,14 +39,40 @@ def checkpoint_path(path: str) -> str:
     return f"{path.rstrip('/')}/{CHECKPOINT_DIR}/messages"
 
 
+def _wait(query, timeout: float | None, every: int, poll: float) -> tuple[bool, dict[int, int]]:
+    """Wait for the query, collecting rows per batch id from its progress reports
+    (polled, so runs longer than the kept report history still add up)."""
+    deadline = None if timeout is None else time.monotonic() + timeout
+    rows_by_batch: dict[int, int] = {}
+    logged = 0
+    while True:
+        wait = poll if deadline is None else max(0.01, min(poll, deadline - time.monotonic()))
+        done = bool(query.awaitTermination(wait))
+        for p in query.recentProgress:
+            rows_by_batch[int(p.batchId)] = int(p.numInputRows)
+        total = sum(rows_by_batch.values())
+        if every and total // every > logged // every:
+            logger.info("backup %s: %d messages so far", query.id, total)
+            logged = total
+        if done:
+            return True, rows_by_batch
+        if deadline is not None and time.monotonic() >= deadline:
+            query.stop()  # finished micro-batches stay committed; the next run resumes
+            for p in query.recentProgress:
+                rows_by_batch[int(p.batchId)] = int(p.numInputRows)
+            return False, rows_by_batch
+
+
 def incremental_backup(stream_log: DataFrame, path: str, timeout: float | None = None,
-                       checkpoint: str | None = None, commits: DataFrame | None = None) -> IncrementResult:
+                       checkpoint: str | None = None, commits: DataFrame | None = None,
+                       progress_every: int = PROGRESS_EVERY, poll_seconds: float = POLL_SECONDS
+                       ) -> IncrementResult:
     """Append everything new in ``stream_log`` to the snapshot at ``path``.
 
-    ``timeout`` (seconds, None = no limit) bounds the run; progress comes
-    from the query's own progress reports (rows per micro-batch).  When
-    ``commits`` is given it is written after the messages, replacing the
-    previous increment's commits."""
+    ``timeout`` (seconds, None = no limit) bounds the run.  Progress comes
+    from the query's own progress reports (rows per micro-batch) and is
+    logged every ``progress_every`` rows.  When ``commits`` is given it is
+    written after the messages, replacing the previous increment's commits."""
     if not stream_log.isStreaming:
         raise ValueError("incremental_backup needs a streaming DataFrame")
     observed = conform(stream_log, LOG).observe(PROGRESS_NAME, F.count(F.lit(1)).alias("rows"))
@@ -48,12 +81,10 @@ def incremental_backup(stream_log: DataFrame, path: str, timeout: float | None =
              .option("checkpointLocation", checkpoint or checkpoint_path(path))
              .trigger(availableNow=True)
              .start(messages_path(path)))
-    finished = query.awaitTermination(timeout) if timeout else (query.awaitTermination() or True)
-    if not finished:
-        query.stop()
-    progress = query.recentProgress
-    rows = sum(int(p.numInputRows) for p in progress)
-    batches = sum(1 for p in progress if p.numInputRows)
+    finished, rows_by_batch = _wait(query, timeout, progress_every, poll_seconds)
+    rows = sum(rows_by_batch.values())
+    batches = sum(1 for n in rows_by_batch.values() if n)
+    logger.info("backup %s: %d messages in %d batches, finished=%s", query.id, rows, batches, finished)
     if commits is not None and finished:
         write_commits(commits, path, mode="overwrite")
     return IncrementResult(bool(finished), batches, rows)
