@@ -93,30 +93,35 @@ class _MessagesReader(DataSourceReader):
         self.topics = _topics_option(options.get("topics"))
         self.split_span = int(options.get("splitSpan", DEFAULT_SPLIT_SPAN))
 
+    def _describe(self, path: str):
+        """(topic, partition, low, high) of one file: a metadata row and two primary-key look-ups."""
+        try:
+            con = _connect(path)
+            try:
+                topic, partition = con.execute("SELECT topic, partition FROM metadata LIMIT 1").fetchone()
+                if self.topics is not None and topic not in self.topics:
+                    return None
+                low, high = con.execute('SELECT min("offset"), max("offset") FROM data').fetchone()
+            finally:
+                con.close()
+        except Exception as exc:
+            raise SnapshotFileError(f"cannot read snapshot file {path}") from exc
+        return None if low is None else (path, topic, int(partition), int(low), int(high))
+
     def partitions(self):
+        from concurrent.futures import ThreadPoolExecutor
+
         folder = os.path.join(self.root, PARTITIONS_DIR)
+        paths = [os.path.join(folder, n) for n in sorted(os.listdir(folder)) if n.endswith(FILE_SUFFIX)]
+        # planning reads only file headers; a few threads overlap the file opens
+        with ThreadPoolExecutor(max_workers=min(16, max(1, len(paths)))) as pool:
+            described = [d for d in pool.map(self._describe, paths) if d is not None]
         ranges = []
-        for name in sorted(os.listdir(folder)):
-            if not name.endswith(FILE_SUFFIX):
-                continue
-            path = os.path.join(folder, name)
-            try:
-                con = _connect(path)
-                try:
-                    topic, partition = con.execute("SELECT topic, partition FROM metadata LIMIT 1").fetchone()
-                    if self.topics is not None and topic not in self.topics:
-                        continue
-                    low, high = con.execute('SELECT min("offset"), max("offset") FROM data').fetchone()
-                finally:
-                    con.close()
-            except Exception as exc:
-                raise SnapshotFileError(f"cannot read snapshot file {path}") from exc
-            if low is None:
-                continue
+        for path, topic, partition, low, high in described:
             start = low
             while start <= high:
                 end = min(high, start + self.split_span - 1)
-                ranges.append(FileRange(path, topic, int(partition), int(start), int(end)))
+                ranges.append(FileRange(path, topic, partition, start, end))
                 start = end + 1
         return ranges
 
