@@ -199,7 +199,7 @@ def q_group_offsets(spark, d):
     log = _events(spark, d)
     plan = ops.translate_offsets(log, _captured(spark, d, log))
     grouped = ops.group_commits(plan, "new_offset")
-    return grouped.select("consumer_group", F.size("offsets").alias("partitions"),
+    return grouped.select("consumer_group", F.size("offsets").cast("long").alias("partitions"),
                           F.aggregate("offsets", F.lit(0).cast("long"), lambda a, e: a + e["offset"]).alias("offset_sum"))
 
 
@@ -495,7 +495,7 @@ SELECT coalesce(bool_and(done), true) AS complete, count(*) AS partitions,
        count(*) FILTER (WHERE done) AS done_partitions FROM rep""",
     "headers_encode": _with(_EVENTS_LOG) + f"""
 SELECT topic, "partition", "offset",
-       CASE WHEN event_id % 10 IN (0, 1) THEN NULL ELSE to_json({_HEADERS_LIST}) END AS headers_json
+       CASE WHEN event_id % 10 IN (0, 1) THEN NULL ELSE CAST(to_json({_HEADERS_LIST}) AS VARCHAR) END AS headers_json
 FROM events_log""",
     "headers_decode": _with(_EVENTS_LOG) + """
 SELECT topic, "partition", "offset", 0 AS header_pos, 'type' AS header_key, event_type AS header_value
@@ -541,10 +541,10 @@ SELECT topic, "partition", "offset", row_number() OVER (ORDER BY "offset") - 1 A
 SELECT * FROM hot_translated""",
     "publish_rows": _with(_EVENTS_LOG) + f"""
 SELECT topic, "partition", key, value,
-       to_json(list_concat(coalesce({_HEADERS_LIST}, []), [{_TS_HEADER}])) AS headers_json
+       CAST(to_json(list_concat(coalesce({_HEADERS_LIST}, []), [{_TS_HEADER}])) AS VARCHAR) AS headers_json
 FROM events_log""",
     "group_offsets": _with(_EV, _translated("events_log")) + """
-SELECT consumer_group, count(*) AS partitions, sum(new_offset) AS offset_sum
+SELECT consumer_group, count(*) AS partitions, CAST(sum(new_offset) AS BIGINT) AS offset_sum
 FROM events_log_translated GROUP BY consumer_group""",
     "starting_offsets_json": _with(_EV, _translated("events_log")) + """
 , per_topic AS (

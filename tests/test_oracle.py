@@ -28,3 +28,14 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["consumer_group", "topic", "partition", "committed", "new_offset"]
     assert df.count() >= 0
+
+
+DUCK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "BOOLEAN": "boolean", "DOUBLE": "double"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_types_match_oracle(spark, con, name):
+    spark_types = {f.name: f.dataType.simpleString() for f in QUERIES[name](spark, SF_ORACLE).schema.fields}
+    rel = con.sql(ORACLE[name])
+    duck_types = {c: DUCK_TYPES.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    assert spark_types == duck_types
