@@ -72,3 +72,22 @@ def test_progress_adds_up_over_many_batches(spark, scratch):
     result = incremental_backup(tv.events_as_log(stream), os.path.join(scratch, "snap"), poll_seconds=0.2,
                                 progress_every=100)
     assert result.finished and result.batches == 12 and result.rows == events.num_rows
+
+
+def test_user_stop_keeps_finished_batches(spark, scratch, monkeypatch):
+    import tidemark.streaming.incremental as inc
+    src = os.path.join(scratch, "src")
+    os.makedirs(src)
+    events = pq.read_table(os.path.join(SF_SMALL, "events.parquet"))
+    pq.write_table(events, os.path.join(src, "part-0.parquet"))
+    schema = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet")).schema
+    path = os.path.join(scratch, "snap")
+
+    def interrupted(query, *args):
+        query.processAllAvailable()
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(inc, "_wait", interrupted)
+    result = inc.incremental_backup(tv.events_as_log(spark.readStream.schema(schema).parquet(src)), path)
+    assert result.finished is False and not any(q.isActive for q in spark.streams.active)
+    assert read_messages(spark, path).count() == events.num_rows

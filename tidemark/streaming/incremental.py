@@ -81,7 +81,13 @@ def incremental_backup(stream_log: DataFrame, path: str, timeout: float | None =
              .option("checkpointLocation", checkpoint or checkpoint_path(path))
              .trigger(availableNow=True)
              .start(messages_path(path)))
-    finished, rows_by_batch = _wait(query, timeout, progress_every, poll_seconds)
+    try:
+        finished, rows_by_batch = _wait(query, timeout, progress_every, poll_seconds)
+    except KeyboardInterrupt:
+        # stopped by the user: committed micro-batches stay, the next run resumes
+        query.stop()
+        finished, rows_by_batch = False, {int(p.batchId): int(p.numInputRows) for p in query.recentProgress}
+        logger.info("backup %s stopped by the user", query.id)
     rows = sum(rows_by_batch.values())
     batches = sum(1 for n in rows_by_batch.values() if n)
     logger.info("backup %s: %d messages in %d batches, finished=%s", query.id, rows, batches, finished)
