@@ -11,7 +11,6 @@ Messages are written first and commits last: a snapshot without
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemark.operators.buckets import bucket_of
 from tidemark.schemas import COMMITS, LOG, conform
