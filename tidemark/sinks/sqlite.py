@@ -29,7 +29,7 @@ from tidemark.operators.buckets import bucket_of
 from tidemark.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_checked
 from tidemark.schemas import COMMITS, LOG, conform
 from tidemark.session import materialize, ship_package
-from tidemark.sources.sqlite import OFFSETS_FILE, PARTITIONS_DIR
+from tidemark.sources.sqlite import OFFSETS_FILE, PARTITIONS_DIR, local_path
 
 # fixed values: table definitions of the SQLite snapshot layout
 METADATA_DDL = "CREATE TABLE IF NOT EXISTS metadata (topic TEXT, partition INTEGER)"
@@ -110,6 +110,7 @@ def export_sqlite(log: DataFrame, commits: DataFrame, directory: str, file_span:
 
     Lazy: the files are written when the returned DataFrame is evaluated."""
     ship_package(log.sparkSession)
+    directory = local_path(directory)
     stored = conform(log, LOG).select(
         "topic", "partition", "offset", "key", "value",
         epoch_millis("timestamp").alias("timestamp_ms"), encode_headers("headers").alias("headers_json"),

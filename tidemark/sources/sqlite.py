@@ -59,6 +59,19 @@ class FileRange(InputPartition):
         self.path, self.topic, self.partition, self.low, self.high = path, topic, partition, low, high
 
 
+def local_path(directory: str) -> str:
+    """A file-system path for ``sqlite3``: ``file:`` URIs become plain paths;
+    other schemes (hdfs:, s3a:, ...) cannot hold SQLite files."""
+    from urllib.parse import unquote, urlparse
+
+    if "://" not in directory and not directory.startswith("file:"):
+        return directory
+    parsed = urlparse(directory)
+    if parsed.scheme != "file":
+        raise ValueError(f"SQLite snapshots need a mounted file system path, not {directory}")
+    return unquote(parsed.path)
+
+
 def _connect(path: str) -> sqlite3.Connection:
     return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
 
@@ -89,7 +102,7 @@ class SqliteSnapshotSource(DataSource):
 
 class _MessagesReader(DataSourceReader):
     def __init__(self, options):
-        self.root = options["path"]
+        self.root = local_path(options["path"])
         self.topics = _topics_option(options.get("topics"))
         self.split_span = int(options.get("splitSpan", DEFAULT_SPLIT_SPAN))
 
@@ -176,7 +189,7 @@ class _PushdownMessagesReader(_MessagesReader):
 
 class _CommitsReader(DataSourceReader):
     def __init__(self, options):
-        self.root = options["path"]
+        self.root = local_path(options["path"])
 
     def partitions(self):
         return [InputPartition(os.path.join(self.root, OFFSETS_FILE))]
