@@ -91,3 +91,18 @@ def test_user_stop_keeps_finished_batches(spark, scratch, monkeypatch):
     result = inc.incremental_backup(tv.events_as_log(spark.readStream.schema(schema).parquet(src)), path)
     assert result.finished is False and not any(q.isActive for q in spark.streams.active)
     assert read_messages(spark, path).count() == events.num_rows
+
+
+def test_batch_append_refuses_stream_written_snapshot(spark, scratch):
+    import pytest
+    from builders import commits_df
+    from tidemark.plans import backup
+    from tidemark.plans.backup import StreamWrittenSnapshotError
+    src = os.path.join(scratch, "src")
+    os.makedirs(src)
+    pq.write_table(pq.read_table(os.path.join(SF_SMALL, "events.parquet")), os.path.join(src, "p.parquet"))
+    schema = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet")).schema
+    path = os.path.join(scratch, "snap")
+    incremental_backup(tv.events_as_log(spark.readStream.schema(schema).parquet(src)), path)
+    with pytest.raises(StreamWrittenSnapshotError):
+        backup(tv.events_log(spark, SF_SMALL), commits_df(spark, []), path, mode="append")

@@ -57,12 +57,19 @@ def check_topics(log: DataFrame, topics: Iterable[str] | None, ignore_missing_to
     return [t for t in wanted if t not in set(missing)]
 
 
-def _snapshot_exists(spark, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(messages_path(path))
+def _exists(spark, path: str) -> bool:
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
 
 
+def _snapshot_exists(spark, path: str) -> bool:
+    return _exists(spark, messages_path(path))
+
+
+class StreamWrittenSnapshotError(ValueError):
+    pass
+
+
 def after_snapshot(spark, snap: DataFrame, path: str, topics: list[str] | None,
                    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Rows of ``snap`` at or past the end of what the snapshot at ``path`` holds.
@@ -112,6 +119,9 @@ def backup(log: DataFrame, commits: DataFrame, path: str, topics: Iterable[str]
     snap = guard_null_keys(cut(selected, bounds, max_broadcast_rows, ends_rows=n_bounds), null_key)
     spark = log.sparkSession
     appending = mode == "append" and _snapshot_exists(spark, path)
+    if appending and _exists(spark, f"{messages_path(path)}/_spark_metadata"):
+        # readers of a stream-written folder only see files in its log
+        raise StreamWrittenSnapshotError(f"{path} is written by incremental_backup; append with it instead")
     if appending:
         snap = after_snapshot(spark, snap, path, chosen, max_broadcast_rows)
     if check_unique_offsets and duplicate_offsets(snap).limit(1).count():
