@@ -30,3 +30,13 @@ def test_timestamp_travels_as_header(spark):
     want = {r.offset: r.ms for r in log.select("offset", epoch_millis("timestamp").alias("ms")).collect()}
     got = {r.offset: int(bytes(r.headers[-1].value)) for r in frame.collect()}
     assert got == want
+
+
+def test_delivery_report_numbers_from_zero(spark):
+    from tidemark.plans import delivery_report
+    log = tv.events_log(spark, SF_SMALL)
+    report = delivery_report(with_target_offsets(log))
+    assert report.columns == ["topic", "partition", "offset", "key", "value", "timestamp"]
+    per = report.groupBy("topic", "partition").agg(F.min("offset").alias("lo"), F.max("offset").alias("hi"),
+                                                   F.count("*").alias("n")).collect()
+    assert all(r.lo == 0 and r.hi == r.n - 1 for r in per)

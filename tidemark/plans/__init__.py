@@ -1,8 +1,9 @@
 """End-to-end jobs: backup, restore plan, publication frames."""
 from tidemark.plans.backup import BackupResult, MissingTopicsError, backup, check_topics
-from tidemark.plans.publish import commit_triples, publish_frame, starting_offsets
+from tidemark.plans.publish import commit_triples, delivery_report, publish_frame, starting_offsets
 from tidemark.plans.report import snapshot_complete, snapshot_report
 from tidemark.plans.restore import restore_plan
 
-__all__ = ["BackupResult", "MissingTopicsError", "backup", "check_topics", "commit_triples", "publish_frame",
+__all__ = ["BackupResult", "MissingTopicsError", "backup", "check_topics", "commit_triples", "delivery_report",
+           "publish_frame",
            "starting_offsets", "restore_plan", "snapshot_complete", "snapshot_report"]

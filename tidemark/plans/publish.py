@@ -43,6 +43,13 @@ def publish_frame(restore_rows: DataFrame, timestamp_header: str | None = TIMEST
     return ordered.select(*SINK_COLUMNS, "offset") if keep_offset else ordered.select(*SINK_COLUMNS)
 
 
+def delivery_report(restore_rows: DataFrame) -> DataFrame:
+    """The messages as the target topic will hold them: each at its target
+    offset, headers left out (what a producer's acknowledgements report)."""
+    return restore_rows.select("topic", "partition", F.col("target_offset").alias("offset"),
+                               "key", "value", "timestamp")
+
+
 def commit_triples(plan: DataFrame) -> DataFrame:
     """Commit plan -> (consumer_group, topic, partition, offset) to commit per group."""
     return plan.select("consumer_group", "topic", "partition", F.col("new_offset").alias("offset"))
