@@ -13,12 +13,14 @@ def partition_counts(log: DataFrame) -> DataFrame:
 def totals(log: DataFrame, commits: DataFrame) -> DataFrame:
     """(metric, value) rows: partitions, messages, commits, groups.
 
-    Each figure is a partial aggregation; the rows are stacked, not joined."""
-    per_partition = partition_counts(log)
-    parts = per_partition.agg(F.lit("partitions").alias("metric"), F.count(F.lit(1)).alias("value"))
-    msgs = per_partition.agg(F.lit("messages").alias("metric"),
-                             F.coalesce(F.sum("messages"), F.lit(0)).cast("long").alias("value"))
-    n_commits = commits.agg(F.lit("commits").alias("metric"), F.count(F.lit(1)).alias("value"))
-    groups = commits.agg(F.lit("groups").alias("metric"),
-                         F.count_distinct("consumer_group").cast("long").alias("value"))
-    return parts.unionByName(msgs).unionByName(n_commits).unionByName(groups)
+    One partial aggregation per input, unpivoted with ``stack``; the two
+    results are stacked, not joined."""
+    log_figures = partition_counts(log).agg(
+        F.count(F.lit(1)).alias("partitions"),
+        F.coalesce(F.sum("messages"), F.lit(0)).cast("long").alias("messages"))
+    commit_figures = commits.agg(
+        F.count(F.lit(1)).alias("commits"),
+        F.count_distinct("consumer_group").cast("long").alias("groups"))
+    unpivot = "stack(2, '{0}', {0}, '{1}', {1}) as (metric, value)"
+    return (log_figures.selectExpr(unpivot.format("partitions", "messages"))
+            .unionByName(commit_figures.selectExpr(unpivot.format("commits", "groups"))))
