@@ -72,3 +72,14 @@ def test_snapshot_topic_filter_reaches_the_scan(spark, scratch):
     assert "PartitionFilters: [isnotnull(topic" in plan and "click" in plan
     assert "PushedFilters: [IsNotNull(offset), GreaterThan(offset,100)]" in plan
     assert "ReadSchema: struct<offset:bigint>" in plan
+
+
+def test_registered_queries_have_no_products_and_stay_in_the_jvm(spark):
+    import __spark_entry__ as E
+    python_nodes = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
+                    "PythonDataSource", "PythonMapInArrow")
+    for name, query in E.queries().items():
+        plan = query(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+        if not name.startswith("sqlite_"):
+            assert not any(node in plan for node in python_nodes), name
