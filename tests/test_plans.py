@@ -83,3 +83,17 @@ def test_registered_queries_have_no_products_and_stay_in_the_jvm(spark):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
         if not name.startswith("sqlite_"):
             assert not any(node in plan for node in python_nodes), name
+
+
+def test_restore_plan_translation_reads_offsets_only(spark, scratch):
+    from tidemark.plans import backup, restore_plan
+    log = tv.events_log(spark, SF_SMALL)
+    ends = ops.end_offsets(log)
+    path = os.path.join(scratch, "snap")
+    backup(log, tv.nation_commits(spark, SF_SMALL, ends), path)
+    _, plan = restore_plan(spark, path, topics=["click"])
+    text = _plan(plan)
+    scans = [line for line in text.splitlines() if "FileScan parquet" in line and "/messages" in line]
+    assert scans
+    for s in scans:
+        assert "ReadSchema: struct<offset:bigint>" in s and "PartitionFilters: [isnotnull(topic" in s
