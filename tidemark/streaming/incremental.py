@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.schemas import LOG, conform
-from tidemark.sinks.snapshot import messages_path, write_commits
+from tidemark.sinks.snapshot import DEFAULT_COMPRESSION, messages_path, write_commits
 
 CHECKPOINT_DIR = "_checkpoint"
 PROGRESS_NAME = "backup_progress"
@@ -78,6 +78,7 @@ def incremental_backup(stream_log: DataFrame, path: str, timeout: float | None =
     observed = conform(stream_log, LOG).observe(PROGRESS_NAME, F.count(F.lit(1)).alias("rows"))
     query = (observed.writeStream.format("parquet")
              .partitionBy("topic", "partition")
+             .option("compression", DEFAULT_COMPRESSION)
              .option("checkpointLocation", checkpoint or checkpoint_path(path))
              .trigger(availableNow=True)
              .start(messages_path(path)))
