@@ -96,3 +96,30 @@ def test_empty_inputs(spark):
     log = messages(spark, "t", 0, [1, 2, 3])
     assert translate_offsets(log, commits_df(spark, [])).count() == 0
     assert translate_offsets(messages(spark, "t", 0, []), commits_df(spark, [("g", "t", 0, 5)])).count() == 0
+
+
+def test_plain_forms_agree_with_bucketed(spark):
+    """The two plain forms (join + count, union + running window), written here as
+    small-fixture oracles only, agree with the bucketed operator."""
+    from pyspark.sql import Window
+
+    from conftest import SF_SMALL
+    from tidemark import operators as ops
+    from tidemark.sources import tables as tv
+
+    log = tv.events_log(spark, SF_SMALL)
+    ends = ops.end_offsets(log)
+    commits = ops.capture_commits(tv.nation_commits(spark, SF_SMALL, ends), ends)
+    keys = ["consumer_group", "topic", "partition", "committed"]
+    form_a = (log.select("topic", "partition", "offset").join(commits, ["topic", "partition"])
+              .groupBy(*keys).agg(F.count_if(F.col("offset") < F.col("committed")).alias("new_offset")))
+    marks = (log.select("topic", "partition", "offset", F.lit(1).alias("is_msg"), F.lit(None).cast("string").alias("g"))
+             .unionByName(commits.select("topic", "partition", F.col("committed").alias("offset"),
+                                         F.lit(0).alias("is_msg"), F.col("consumer_group").alias("g"))))
+    w = Window.partitionBy("topic", "partition").orderBy("offset", "is_msg").rowsBetween(Window.unboundedPreceding, 0)
+    form_b = (marks.withColumn("new_offset", F.sum("is_msg").over(w)).where("is_msg = 0")
+              .select(F.col("g").alias("consumer_group"), "topic", "partition", F.col("offset").alias("committed"),
+                      "new_offset"))
+    bucketed = ops.translate_offsets(log, commits, bucket_span=64)
+    rows = [sorted(tuple(r) for r in df.select(*keys, "new_offset").collect()) for df in (form_a, form_b, bucketed)]
+    assert rows[0] == rows[1] == rows[2] and rows[0]
