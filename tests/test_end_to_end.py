@@ -62,3 +62,35 @@ def test_hot_partition_translation_matches_brute_force(spark):
            for r in ops.translate_offsets(log, commits, bucket_span=1024).collect()}
     want = {(f"g{i % 4}", c): bisect.bisect_left(offsets, c) for i, c in enumerate(points)}
     assert got == want
+
+
+def test_restore_publishes_then_returns_the_plan(spark, scratch):
+    from tidemark.plans import restore
+    log = tv.events_log(spark, SF_SMALL)
+    ends = ops.end_offsets(log)
+    path = os.path.join(scratch, "snap")
+    backup(log, tv.nation_commits(spark, SF_SMALL, ends), path)
+    sent = []
+
+    def sink(frame):  # stands in for write_kafka
+        out = os.path.join(scratch, "sent")
+        frame.write.parquet(out)
+        sent.append(out)
+
+    plan = restore(spark, path, sink, topics=["click"])
+    assert sent and spark.read.parquet(sent[0]).count() == log.where("topic = 'click'").count()
+    assert plan.count() > 0 and {r.topic for r in plan.select("topic").distinct().collect()} == {"click"}
+
+
+def test_restore_failure_gives_no_plan(spark, scratch):
+    import pytest
+    from tidemark.plans import restore
+    log = tv.events_log(spark, SF_SMALL)
+    path = os.path.join(scratch, "snap")
+    backup(log, tv.nation_commits(spark, SF_SMALL, ops.end_offsets(log)), path)
+
+    def failing(frame):
+        raise RuntimeError("broker unavailable")
+
+    with pytest.raises(RuntimeError):
+        restore(spark, path, failing)

@@ -2,8 +2,8 @@
 from tidemark.plans.backup import BackupResult, MissingTopicsError, backup, check_topics
 from tidemark.plans.publish import commit_triples, delivery_report, publish_frame, starting_offsets
 from tidemark.plans.report import snapshot_complete, snapshot_report
-from tidemark.plans.restore import restore_plan
+from tidemark.plans.restore import restore, restore_plan
 
 __all__ = ["BackupResult", "MissingTopicsError", "backup", "check_topics", "commit_triples", "delivery_report",
            "publish_frame",
-           "starting_offsets", "restore_plan", "snapshot_complete", "snapshot_report"]
+           "starting_offsets", "restore", "restore_plan", "snapshot_complete", "snapshot_report"]

@@ -1,13 +1,14 @@
 """``restore_plan``: what a restore publishes and where each group continues."""
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.buckets import DEFAULT_BUCKET_SPAN
 from tidemark.operators.positions import with_target_offsets
 from tidemark.operators.translate import translate_offsets
+from tidemark.plans.publish import TIMESTAMP_HEADER, publish_frame
 from tidemark.sources.snapshot import read_commits, read_messages
 
 
@@ -22,3 +23,18 @@ def restore_plan(spark: SparkSession, path: str, topics: Iterable[str] | None =
     rows = with_target_offsets(messages, bucket_span)
     plan = translate_offsets(messages.select("topic", "partition", "offset"), commits, bucket_span)
     return rows, plan
+
+
+def restore(spark: SparkSession, path: str, publish: Callable[[DataFrame], None],
+            topics: Iterable[str] | None = None, bucket_span: int = DEFAULT_BUCKET_SPAN,
+            timestamp_header: str | None = TIMESTAMP_HEADER) -> DataFrame:
+    """Publish a snapshot, then return the commit plan.
+
+    ``publish`` receives the publication frame (``publish_frame``), e.g.
+    ``lambda f: write_kafka(f, servers)``; the plan (consumer_group, topic,
+    partition, committed, new_offset) is returned only after it succeeded,
+    so offsets are never committed for messages that were not sent."""
+    messages = read_messages(spark, path, topics)
+    publish(publish_frame(messages, timestamp_header=timestamp_header))
+    _, plan = restore_plan(spark, path, topics, bucket_span)
+    return plan
