@@ -102,3 +102,20 @@ def test_backup_of_only_missing_topics_is_empty(spark, scratch):
     assert read_messages(spark, path).count() == 0 and read_commits(spark, path).count() == 0
     rows, plan = restore_plan(spark, path)
     assert rows.count() == 0 and plan.count() == 0
+
+
+def test_write_without_clustering_for_grouped_input(spark, scratch):
+    from conftest import SF_SMALL
+    from tidemark.sinks.snapshot import write_messages
+    from tidemark.sources import tables as tv
+    first = os.path.join(scratch, "a")
+    log = tv.events_log(spark, SF_SMALL)
+    write_messages(log, first)
+    # a snapshot is grouped by partition already: copy it without a shuffle
+    copy = read_messages(spark, first)
+    plan = copy.sortWithinPartitions("topic", "partition", "offset")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    second = os.path.join(scratch, "b")
+    write_messages(copy, second, cluster=False)
+    back = read_messages(spark, second)
+    assert back.exceptAll(log).count() == 0 and log.exceptAll(back).count() == 0

@@ -37,17 +37,24 @@ def commits_path(path: str) -> str:
 def write_messages(log: DataFrame, path: str, mode: str = "errorifexists", file_span: int = DEFAULT_FILE_SPAN,
                    num_partitions: int | None = None,
                    max_records_per_file: int = DEFAULT_MAX_RECORDS_PER_FILE,
-                   compression: str = DEFAULT_COMPRESSION) -> None:
+                   compression: str = DEFAULT_COMPRESSION, cluster: bool = True) -> None:
     """Write a log as a snapshot, one folder per (topic, partition).
 
     Rows are hash-partitioned on (topic, partition, offset chunk): no single
     task receives a whole hot partition and no range-sampling pass re-reads
     the payload.  Each task sorts its rows by (topic, partition, offset), so
-    files hold ascending offsets; readers still sort explicitly."""
-    rows = conform(log, LOG).withColumn("_chunk", bucket_of("offset", file_span))
-    keys = ["topic", "partition", "_chunk"]
-    spread = rows.repartition(num_partitions, *keys) if num_partitions else rows.repartition(*keys)
-    (spread.sortWithinPartitions("topic", "partition", "offset").drop("_chunk")
+    files hold ascending offsets; readers still sort explicitly.
+
+    ``cluster=False`` skips the shuffle for input that is already grouped by
+    partition (the Kafka source reads one partition range per task, a
+    snapshot one file per task): each task sorts its own rows and writes.
+    On mixed input it would leave many small files."""
+    rows = conform(log, LOG)
+    if cluster:
+        rows = rows.withColumn("_chunk", bucket_of("offset", file_span))
+        keys = ["topic", "partition", "_chunk"]
+        rows = (rows.repartition(num_partitions, *keys) if num_partitions else rows.repartition(*keys)).drop("_chunk")
+    (rows.sortWithinPartitions("topic", "partition", "offset")
      .write.mode(mode).option("maxRecordsPerFile", max_records_per_file).option("compression", compression)
      .partitionBy("topic", "partition").parquet(messages_path(path)))
 
