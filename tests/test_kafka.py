@@ -10,9 +10,9 @@ from tidemark.sources.kafka import (KafkaUnavailableError, offsets_json, read_ka
 
 def test_ending_offsets_json_is_exclusive_high(spark):
     ends = spark.createDataFrame([("b", 1, 0, 7), ("b", 0, 2, 4), ("a", 10, 0, 1), ("a", 3, 5, 5)], ENDS)
-    from tidemark.operators import usable_ends
-    text = offsets_json(usable_ends(ends), "high")
-    assert text == '{"a":{"10":1},"b":{"0":4,"1":7}}'
+    text = offsets_json(ends, "high")
+    # every partition is named, the empty one (a/3) too
+    assert text == '{"a":{"3":5,"10":1},"b":{"0":4,"1":7}}'
     assert json.loads(text)["b"]["1"] == 7
 
 

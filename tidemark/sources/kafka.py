@@ -14,7 +14,6 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.ends import usable_ends
 from tidemark.schemas import LOG, conform
 
 FORMAT = "kafka"
@@ -70,7 +69,8 @@ def read_kafka_log(spark: SparkSession, bootstrap_servers, topics: Iterable[str]
                    ends: DataFrame | None = None, **extra: str) -> DataFrame:
     """Bounded read of ``topics``: earliest up to ``ends`` (or the latest offsets)."""
     topics = list(topics)
-    ending = offsets_json(usable_ends(ends), "high") if ends is not None else "latest"
+    # specific ending offsets must name every partition, empty ones included (end = high)
+    ending = offsets_json(ends.where(F.col("high").isNotNull()), "high") if ends is not None else "latest"
     reader = spark.read.format(FORMAT).options(**read_options(bootstrap_servers, topics, ending, **extra))
     return as_log(_load(reader))
 
