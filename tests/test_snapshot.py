@@ -119,3 +119,9 @@ def test_write_without_clustering_for_grouped_input(spark, scratch):
     write_messages(copy, second, cluster=False)
     back = read_messages(spark, second)
     assert back.exceptAll(log).count() == 0 and log.exceptAll(back).count() == 0
+
+
+def test_backup_reports_messages_written(spark, scratch):
+    log = messages(spark, "t", 0, [0, 1, 2, 3, 4])
+    result = backup(log, commits_df(spark, []), os.path.join(scratch, "snap"))
+    assert result.messages == 5

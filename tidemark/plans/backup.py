@@ -37,6 +37,7 @@ class BackupResult:
     path: str
     topics: list[str] | None
     ends: DataFrame
+    messages: int = 0
 
 
 def check_topics(log: DataFrame, topics: Iterable[str] | None, ignore_missing_topics: bool = False
@@ -126,7 +127,7 @@ def backup(log: DataFrame, commits: DataFrame, path: str, topics: Iterable[str]
         snap = after_snapshot(spark, snap, path, chosen, max_broadcast_rows)
     if check_unique_offsets and duplicate_offsets(snap).limit(1).count():
         raise DuplicateOffsetsError("the log repeats an offset within a partition")
-    write_messages(snap, path, mode, **write_options)
+    written = write_messages(snap, path, mode, **write_options)
     captured = capture_commits(commits, bounds, chosen, ignore_group_pattern)
     write_commits(captured, path, "overwrite" if mode == "append" else mode)
-    return BackupResult(path, chosen, bounds)
+    return BackupResult(path, chosen, bounds, written)

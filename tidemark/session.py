@@ -93,6 +93,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def observed_count(obs, name: str) -> int:
+    """The count an ``Observation`` collected; 0 when no task ran (an empty plan
+    reports no metrics row).  The action itself has already succeeded."""
+    try:
+        return int(obs.get[name])
+    except Exception:
+        return 0
+
+
 def materialize(df: DataFrame) -> tuple[DataFrame, int]:
     """``cut_lineage`` plus the row count, observed in the same job."""
     from pyspark.sql import Observation
@@ -101,7 +110,7 @@ def materialize(df: DataFrame) -> tuple[DataFrame, int]:
     ensure_checkpoint_dir(df.sparkSession)
     obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
     out = df.observe(obs, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
-    return out, int(obs.get["n"])
+    return out, observed_count(obs, "n")
 
 
 _SHIPPED: set[str] = set()

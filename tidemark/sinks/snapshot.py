@@ -10,10 +10,17 @@ Messages are written first and commits last: a snapshot without
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import logging
+import uuid
+
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from tidemark.operators.buckets import bucket_of
 from tidemark.schemas import COMMITS, LOG, conform
+from tidemark.session import observed_count
+
+logger = logging.getLogger(__name__)
 
 MESSAGES_DIR = "messages"
 COMMITS_DIR = "commits"
@@ -37,7 +44,7 @@ def commits_path(path: str) -> str:
 def write_messages(log: DataFrame, path: str, mode: str = "errorifexists", file_span: int = DEFAULT_FILE_SPAN,
                    num_partitions: int | None = None,
                    max_records_per_file: int = DEFAULT_MAX_RECORDS_PER_FILE,
-                   compression: str = DEFAULT_COMPRESSION, cluster: bool = True) -> None:
+                   compression: str = DEFAULT_COMPRESSION, cluster: bool = True) -> int:
     """Write a log as a snapshot, one folder per (topic, partition).
 
     Rows are hash-partitioned on (topic, partition, offset chunk): no single
@@ -48,8 +55,11 @@ def write_messages(log: DataFrame, path: str, mode: str = "errorifexists", file_
     ``cluster=False`` skips the shuffle for input that is already grouped by
     partition (the Kafka source reads one partition range per task, a
     snapshot one file per task): each task sorts its own rows and writes.
-    On mixed input it would leave many small files."""
-    rows = conform(log, LOG)
+    On mixed input it would leave many small files.
+
+    Returns the number of messages written, observed during the write itself."""
+    obs = Observation(f"written_{uuid.uuid4().hex[:8]}")
+    rows = conform(log, LOG).observe(obs, F.count(F.lit(1)).alias("messages"))
     if cluster:
         rows = rows.withColumn("_chunk", bucket_of("offset", file_span))
         keys = ["topic", "partition", "_chunk"]
@@ -57,6 +67,9 @@ def write_messages(log: DataFrame, path: str, mode: str = "errorifexists", file_
     (rows.sortWithinPartitions("topic", "partition", "offset")
      .write.mode(mode).option("maxRecordsPerFile", max_records_per_file).option("compression", compression)
      .partitionBy("topic", "partition").parquet(messages_path(path)))
+    written = observed_count(obs, "messages")
+    logger.info("wrote %d messages to %s", written, messages_path(path))
+    return written
 
 
 def write_commits(commits: DataFrame, path: str, mode: str = "errorifexists") -> None:
