@@ -25,9 +25,11 @@ CLUSTER_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.python.worker.reuse": "true",
-    # materialised small sides are checkpoints: remove them once unreferenced
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
+# Materialised small sides are checkpoints.  spark.cleaner.referenceTracking.
+# cleanCheckpoints would delete them once unreferenced, but in a long session
+# it doubled our bench time (deletes run on the cleaner thread); leave the
+# checkpoint folder to the cluster's retention policy instead.
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tidemark") -> SparkSession:
