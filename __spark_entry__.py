@@ -24,6 +24,12 @@ from tidemark.sources.sqlite import read_sqlite_commits, read_sqlite_messages
 from tidemark.streaming import incremental_backup
 from tidemark.sources import tables as tv
 
+try:        # the training-data operators are an optional subpackage
+    import corpus_pipeline
+    from tidemark.llm import registry as llm
+except ImportError:
+    corpus_pipeline = llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # fixed parameters of the registered queries (the oracle SQL repeats them)
@@ -620,8 +626,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    extra = {**llm.QUERIES, "pipeline": corpus_pipeline.run} if llm else {}
+    return {**QUERIES, **extra}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLE.items() if k in QUERIES}
+    extra = dict(llm.ORACLE_SQL) if llm else {}
+    if llm and corpus_pipeline.ORACLE_SQL:
+        extra["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {k: v for k, v in {**ORACLE, **extra}.items() if k in queries()}
