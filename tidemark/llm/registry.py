@@ -1,9 +1,12 @@
 """The registered queries of this subpackage, one for each operator, and their SQL."""
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, mixing, quality, secret_ledger
+from tidemark.llm import decontaminate, mixing, near_dedup, quality, secret_ledger, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op1_minhash_near_dedup": near_dedup.query,
+    "op2_substring_dedup": substring_dedup.query,
+    "op3_suffix_array_dedup": suffix_dedup.query,
     "op4_secret_ledger": secret_ledger.query,
     "op8_quality_rules": quality.query,
     "op9_source_mixing": mixing.query,
@@ -11,6 +14,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_minhash_near_dedup": near_dedup.ORACLE_SQL,
+    "op2_substring_dedup": substring_dedup.ORACLE_SQL,
     "op4_secret_ledger": secret_ledger.ORACLE_SQL,
     "op9_source_mixing": mixing.ORACLE_SQL,
     "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,
