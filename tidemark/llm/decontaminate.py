@@ -74,6 +74,8 @@ class Matcher:
         new_doc[words.first[:-1][words.count > 0]] = True
         opens = known & (new_doc | ~np.concatenate([[False], known[:-1]]))
         start = np.flatnonzero(opens)
+        if not len(start):
+            return
         run = np.cumsum(opens) - 1                       # of known words
         length = np.bincount(run[known], minlength=len(start))
         at = np.flatnonzero(known & (length[np.maximum(run, 0)] >= self.shortest))

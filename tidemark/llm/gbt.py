@@ -23,6 +23,11 @@ class Forest:
     depth: int
     base: float
 
+    @property
+    def decides(self) -> bool:
+        """False for a constant."""
+        return len(self.roots) > 0
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of the positive class for each row of ``x``."""
         margin = np.full(len(x), self.base)

@@ -174,7 +174,7 @@ def score_quality(stats: DataFrame, forest: gbt.Forest, keep: float = KEEP_PROBA
             x = np.column_stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
                                  for c in FEATURES]) if batch.num_rows else np.zeros((0, len(FEATURES)))
             p = forest.score(x)
-            good = p >= keep
+            good = p >= keep if forest.decides else np.ones(len(p), bool)
             failed = batch.column(batch.schema.get_field_index("base_failed")).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array(good & ~failed.astype(bool))],
                                              names=[*batch.schema.names, "p_good", "kept"])
@@ -204,7 +204,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 s = block_statistics(data, off)
                 failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEAT_PERCENT * s["n_words"])
                 x = np.column_stack([s[c].astype(float) for c in FEATURES])
-                keep.append(~failed & (model.score(x) >= KEEP_PROBABILITY))
+                keep.append(~failed & (model.score(x) >= KEEP_PROBABILITY if model.decides else True))
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
