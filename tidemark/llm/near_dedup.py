@@ -12,7 +12,8 @@ of their sets is at least 0.75; a component of linked documents is one group.
    symbols out.  A pair with similarity 0.75 is beyond that distance with a
    probability of about 1e-7, and less the more similar it is.
 3. Links, without all pairs of a bucket:
-   a. each bucket's members are checked against one of them, and components are built;
+   a. each bucket's members are checked against one of them, the one whose buckets hold most, and
+      components are built;
    b. buckets that still hold several components: up to ``SMALL`` members, all pairs of
       different components; more members, the pairs that share a rare shingle.  For a
       pair of sets with similarity 0.75 the rarest 1/7 of the smaller and 1/4 of the larger set
@@ -252,10 +253,15 @@ def group(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                .withColumn("node", F.monotonically_increasing_id()))
     classes = written(classes, "near-classes")
     index = _index(classes)
-    buckets = index.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("members")).where("members > 1")
+    buckets = index.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = written(index.join(buckets, "key"), "near-buckets")
+    # a bucket's lead is the member whose buckets hold most: in a group of edited copies, one close to the original
+    weight = members.groupBy("node").agg(F.sum("members").alias("weight"))
+    leads = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("lead"))
+    members = written(members.join(leads, "key"), "near-members")
 
-    stars = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    stars = (members.where("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
+             .distinct())
     stars = written(_close(stars, classes), "near-stars")
     nodes = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct()     # noqa: E731
     first = written(_confirmed(stars, _texts(docs, classes, nodes(stars))), "near-links")
