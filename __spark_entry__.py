@@ -9,6 +9,7 @@ result and the DuckDB oracle compare value by value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +17,9 @@ from pyspark.sql import functions as F
 from tidemark import operators as ops
 from tidemark.functions import decode_headers, encode_headers, epoch_millis, ntz_to_instant
 from tidemark.functions.groups import IGNORE_GROUP_PATTERN
-from tidemark.plans import backup, publish, restore_plan, snapshot_report
-from tidemark.session import scratch_path
-from tidemark.sinks.sqlite import write_sqlite
+from tidemark.plans import backup, publish, restore_plan, snapshot_report, target_mismatches
+from tidemark.session import materialize, scratch_path
 from tidemark.sources import snapshot as snap
-from tidemark.sources.sqlite import read_sqlite_commits, read_sqlite_messages
 from tidemark.streaming import incremental_backup
 from tidemark.sources import tables as tv
 
@@ -40,6 +39,8 @@ CONSUMED_TURNS = 4
 UNREACHED_TOPIC = "system"
 SNAPSHOT_TOPICS = ["click", "view"]
 BACKUP_TOPICS = ["click", "view", "audit"]
+STOP_AFTER_SECONDS = 2.0
+WAVE_OFFSETS = 5000
 
 
 # ---------------------------------------------------------------- helpers
@@ -52,6 +53,11 @@ def _show(log: DataFrame, *extra: str) -> DataFrame:
                       epoch_millis("timestamp").alias("timestamp_ms"), *extra)
 
 
+def _shown_headers() -> tuple[F.Column, F.Column]:
+    """Headers as text, and their number (which tells an empty list from none)."""
+    return encode_headers("headers").alias("headers_json"), _header_count().alias("header_count")
+
+
 def _header_count() -> F.Column:
     return F.when(F.col("headers").isNull(), F.lit(None).cast("int")).otherwise(F.size("headers"))
 
@@ -61,9 +67,8 @@ def _events(spark, d):
 
 
 def _captured(spark, d, log):
-    ends = ops.end_offsets(log)
-    raw = tv.nation_commits(spark, d, ends)
-    return ops.capture_commits(raw, ends)
+    ends, _ = materialize(ops.end_offsets(log))      # small, and used four times
+    return ops.capture_commits(tv.nation_commits(spark, d, ends), ends)
 
 
 def _consumed_report(spark, d):
@@ -79,7 +84,7 @@ def _unique_lineitem(spark, d):
 # ---------------------------------------------------------------- queries
 
 def q_log_rows(spark, d):
-    return _show(_events(spark, d), _header_count().alias("header_count"))
+    return _show(_events(spark, d), *_shown_headers())
 
 
 def q_topic_catalog(spark, d):
@@ -220,7 +225,7 @@ def q_null_key_violations(spark, d):
 
 def q_null_topic_commits(spark, d):
     log = _events(spark, d)
-    return ops.null_topic_commits(tv.nation_commits(spark, d, ops.end_offsets(log)))
+    return ops.null_topic_commits(ops.union_commits(tv.nation_commits(spark, d, ops.end_offsets(log)), tv.order_commits(spark, d)))
 
 
 def q_duplicate_offsets(spark, d):
@@ -241,22 +246,22 @@ def _snapshot(spark, d, topics=None):
 
 
 def q_snapshot_roundtrip(spark, d):
-    return _show(snap.read_messages(spark, _snapshot(spark, d)), _header_count().alias("header_count"))
+    return _show(snap.read_messages(spark, _snapshot(spark, d)), *_shown_headers())
 
 
 def q_snapshot_topic_read(spark, d):
     path = _snapshot(spark, d)
-    return _show(snap.read_messages(spark, path, SNAPSHOT_TOPICS), _header_count().alias("header_count"))
+    return _show(snap.read_messages(spark, path, SNAPSHOT_TOPICS), *_shown_headers())
 
 
 def q_backup_selected_topics(spark, d):
     path = _snapshot(spark, d, BACKUP_TOPICS)
-    return _show(snap.read_messages(spark, path), _header_count().alias("header_count"))
+    return _show(snap.read_messages(spark, path), *_shown_headers())
 
 
 def q_snapshot_partition_read(spark, d):
     part = snap.read_partition(spark, _snapshot(spark, d), SNAPSHOT_TOPICS[0], 1)
-    return _show(part, _header_count().alias("header_count"))
+    return _show(part, *_shown_headers())
 
 
 def q_commits_roundtrip(spark, d):
@@ -290,7 +295,7 @@ def q_backup_increments(spark, d):
     path = scratch_path(spark, "appended")
     backup(log, raw, path, ends=ops.end_offsets(early))
     backup(log, raw, path, mode="append")
-    return _show(snap.read_messages(spark, path), _header_count().alias("header_count"))
+    return _show(snap.read_messages(spark, path), *_shown_headers())
 
 
 def q_incremental_backup(spark, d):
@@ -298,27 +303,135 @@ def q_incremental_backup(spark, d):
     path = scratch_path(spark, "increments")
     for _ in range(2):
         incremental_backup(tv.events_as_log(tv.events_stream(spark, d)), path)
-    return _show(snap.read_messages(spark, path), _header_count().alias("header_count"))
+    return _show(snap.read_messages(spark, path), *_shown_headers())
+
+
+def q_mixed_backup(spark, d):
+    """A batch backup of early messages, then a streaming one of all into the same snapshot."""
+    path, log = _mixed(spark, d)
+    return _show(snap.read_messages(spark, path), *_shown_headers())
+
 
+def q_mixed_backup_commits(spark, d):
+    return snap.read_commits(spark, _mixed(spark, d)[0])
 
-def _sqlite_export(spark, d):
+
+def _mixed(spark, d):
     log = _events(spark, d)
-    path = scratch_path(spark, "sqlite")
-    write_sqlite(log, _captured(spark, d, log), path)
-    return path
+    early = log.where(F.col("timestamp") < ntz_to_instant(F.lit(CUT_TIME).cast("timestamp_ntz")))
+    raw = tv.nation_commits(spark, d, ops.end_offsets(log))
+    path = scratch_path(spark, "mixed")
+    backup(log, raw.where(F.col("committed") > 0), path, ends=ops.end_offsets(early))
+    incremental_backup(tv.events_as_log(tv.events_stream(spark, d)), path, commits=raw)
+    return path, log
+
+
+def q_stream_increments(spark, d):
+    """Streaming increments over a folder that grows: the second run holds new rows, the third none."""
+    events = tv.table(spark, d, "events")
+    folder, path = scratch_path(spark, "arriving"), scratch_path(spark, "grown")
+    for late in (False, True, None):
+        if late is not None:
+            events.where((F.col("event_id") % 2 == 1) == F.lit(late)).orderBy("event_id").write.mode("append").parquet(folder)
+        incremental_backup(tv.events_as_log(tv.file_stream(spark, events.schema, folder)), path)
+    return _show(snap.read_messages(spark, path), *_shown_headers())
+
+
+def q_stopped_backup(spark, d):
+    """A streaming backup stopped by its time limit, then finished by the next run."""
+    events = tv.table(spark, d, "events")
+    folder, path = scratch_path(spark, "many-files"), scratch_path(spark, "stopped")
+    events.repartitionByRange(6, "event_id").write.parquet(folder)
+    stream = lambda: tv.events_as_log(tv.file_stream(spark, events.schema, folder, max_files_per_trigger=2))      # noqa: E731
+    incremental_backup(stream(), path, timeout=STOP_AFTER_SECONDS)
+    incremental_backup(stream(), path)
+    return _show(snap.read_messages(spark, path), *_shown_headers())
+
+
+def q_binary_roundtrip(spark, d):
+    log = tv.hashed_log(spark, d)
+    path = scratch_path(spark, "binary")
+    backup(log, tv.nation_commits(spark, d, ops.end_offsets(log)), path)
+    back = snap.read_messages(spark, path)
+    return back.select("topic", "partition", "offset", F.lower(F.hex("key")).alias("key"), F.lower(F.hex("value")).alias("value"))
+
+
+def _places(rows: DataFrame, place: F.Column) -> DataFrame:
+    """topic, partition, offset and the rank of ``place`` in the partition (by the bucketed ranking)."""
+    moved = rows.select("topic", "partition", place.alias("offset"), F.lit(None).cast("binary").alias("key"),
+                        F.col("offset").alias("value"))
+    return ops.with_target_offsets(moved).select("topic", "partition", F.col("value").alias("offset"),
+                                                 F.col("target_offset").alias("place"))
+
+
+def q_ordered_partition_read(spark, d):
+    """Every row's place in the order that the partition read promises."""
+    part = snap.read_partition(spark, _snapshot(spark, d), SNAPSHOT_TOPICS[0], 1)
+    return _places(part, F.monotonically_increasing_id())
 
 
-def q_sqlite_roundtrip(spark, d):
-    return _show(read_sqlite_messages(spark, _sqlite_export(spark, d)), _header_count().alias("header_count"))
+def q_publish_order(spark, d):
+    """Places of the messages inside their partition, wave after wave."""
+    path = _snapshot(spark, d)
+    waves = publish.publish_waves(snap.read_messages(spark, path), snap.read_ends(spark, path),
+                                  wave_offsets=WAVE_OFFSETS, keep_offset=True)
+    sent = [f.withColumn("sent", F.monotonically_increasing_id() + F.lit(w << 50)) for w, f in enumerate(waves)]
+    return _places(reduce(DataFrame.unionByName, sent), F.col("sent"))
+
 
+def q_delivery_report(spark, d):
+    rows, _ = restore_plan(spark, _snapshot(spark, d))
+    return _show(publish.delivery_report(rows))
 
-def q_sqlite_topic_import(spark, d):
-    path = _sqlite_export(spark, d)
-    return _show(read_sqlite_messages(spark, path, SNAPSHOT_TOPICS), _header_count().alias("header_count"))
+
+def q_target_mismatches(spark, d):
+    """A target that got one message of each partition 1 twice, and nothing of partitions 2."""
+    log = _events(spark, d)
+    ends = ops.partition_counts(log).where("partition <> 2").select(
+        "topic", "partition", F.lit(0).alias("low"), (F.col("messages") + F.when(F.col("partition") == 1, 1).otherwise(0)).alias("high"))
+    return target_mismatches(log, ends)
 
 
-def q_sqlite_commits_roundtrip(spark, d):
-    return read_sqlite_commits(spark, _sqlite_export(spark, d))
+def q_usable_ends(spark, d):
+    return ops.usable_ends(tv.odd_ends(ops.end_offsets(_events(spark, d))))
+
+
+def q_cut_at_odd_ends(spark, d):
+    log = _events(spark, d)
+    return _show(ops.cut(log, tv.odd_ends(ops.end_offsets(log))))
+
+
+def q_all_commits(spark, d):
+    log = _events(spark, d)
+    return ops.union_commits(tv.nation_commits(spark, d, ops.end_offsets(log)), tv.order_commits(spark, d))
+
+
+def q_topic_commits(spark, d):
+    """Captured commits of two topics: those on absent partitions and without a topic go."""
+    return ops.capture_commits(q_all_commits(spark, d), ops.end_offsets(_events(spark, d)), FILTER_TOPICS)
+
+
+def q_snapshot_topic_commits(spark, d):
+    return snap.read_commits(spark, _snapshot(spark, d), SNAPSHOT_TOPICS)
+
+
+def q_translate_all_commits(spark, d):
+    """Commits on partitions that the log lacks give no row."""
+    return ops.translate_offsets(_events(spark, d), q_all_commits(spark, d).where(F.col("topic").isNotNull()))
+
+
+def q_snapshot_topic_report(spark, d):
+    """The report of chosen topics, of a snapshot that holds them whole: all done."""
+    log = _events(spark, d)
+    return snapshot_report(spark, _snapshot(spark, d), ops.end_offsets(log), SNAPSHOT_TOPICS)
+
+
+def q_backup_report(spark, d):
+    """The report that a backup at early ends gives about itself."""
+    log = _events(spark, d)
+    early = log.where(F.col("timestamp") < ntz_to_instant(F.lit(CUT_TIME).cast("timestamp_ntz")))
+    return backup(log, tv.nation_commits(spark, d, ops.end_offsets(log)), scratch_path(spark, "reported"),
+                  ends=ops.end_offsets(early)).report()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -364,9 +477,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snapshot_lag_report": q_snapshot_lag_report,
     "backup_increments": q_backup_increments,
     "incremental_backup": q_incremental_backup,
-    "sqlite_roundtrip": q_sqlite_roundtrip,
-    "sqlite_topic_import": q_sqlite_topic_import,
-    "sqlite_commits_roundtrip": q_sqlite_commits_roundtrip,
+    "mixed_backup": q_mixed_backup,
+    "mixed_backup_commits": q_mixed_backup_commits,
+    "stream_increments": q_stream_increments,
+    "stopped_backup": q_stopped_backup,
+    "binary_roundtrip": q_binary_roundtrip,
+    "ordered_partition_read": q_ordered_partition_read,
+    "publish_order": q_publish_order,
+    "delivery_report": q_delivery_report,
+    "target_mismatches": q_target_mismatches,
+    "usable_ends": q_usable_ends,
+    "cut_at_odd_ends": q_cut_at_odd_ends,
+    "all_commits": q_all_commits,
+    "topic_commits": q_topic_commits,
+    "snapshot_topic_commits": q_snapshot_topic_commits,
+    "translate_all_commits": q_translate_all_commits,
+    "snapshot_topic_report": q_snapshot_topic_report,
+    "backup_report": q_backup_report,
 }
 
 
@@ -456,9 +583,21 @@ _HEADERS_LIST = f"""CASE WHEN event_id % 10 = 0 THEN NULL
             ELSE [{_TYPE_HEADER}] END"""
 _TS_HEADER = "{'key': 'source-timestamp-ms', 'val': to_base64(encode(CAST(timestamp_ms AS VARCHAR)))}"
 
+_STORED_HEADERS = f"CASE WHEN event_id % 10 IN (0, 1) THEN NULL ELSE CAST(to_json({_HEADERS_LIST}) AS VARCHAR) END AS headers_json"
+_SHOWN = f'''topic, "partition", "offset", key, value, timestamp_ms, {_STORED_HEADERS}, header_count'''
+_EVENTS_ROWS = _with(_EVENTS_LOG) + f"""
+SELECT {_SHOWN} FROM events_log"""
+_ORDER_COMMITS = """
+order_commits AS (
+  SELECT 'orders-' || o_orderstatus AS consumer_group, spot.topic, CAST(spot.p AS INTEGER) AS "partition", n AS committed
+  FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus),
+       (SELECT DISTINCT event_type AS t, user_id % 3 AS k FROM events),
+       unnest([{'topic': t, 'p': 1}, {'topic': t, 'p': 99}, {'topic': NULL, 'p': 1}]) AS u(spot)
+  WHERE k = instr('FOP', o_orderstatus) - 1)"""
+
 ORACLE: dict[str, str] = {
-    "log_rows": _with(_EVENTS_LOG) + """
-SELECT topic, "partition", "offset", key, value, timestamp_ms, header_count FROM events_log""",
+    "log_rows": _with(_EVENTS_LOG) + f"""
+SELECT {_SHOWN} FROM events_log""",
     "topic_catalog": _with(_EVENTS_LOG) + """
 SELECT DISTINCT topic FROM events_log""",
     "partition_catalog": _with(_EVENTS_LOG) + """
@@ -562,23 +701,23 @@ SELECT consumer_group, '{' || string_agg('"' || topic || '":' || pj, ',' ORDER B
 FROM per_topic GROUP BY consumer_group""",
     "null_key_violations": _with(_CONV_LOG) + """
 SELECT topic, "partition", "offset" FROM conv_log WHERE key IS NULL""",
-    "null_topic_commits": _with(_EV) + """
-SELECT * FROM events_log_commits_raw WHERE topic IS NULL""",
+    "null_topic_commits": _with(_EV, _ORDER_COMMITS) + """
+SELECT * FROM order_commits WHERE topic IS NULL""",
     "duplicate_offsets": _with(_LINEITEM_LOG) + """
 SELECT topic, "partition", "offset", count(*) AS copies FROM li_log
 GROUP BY topic, "partition", "offset" HAVING count(*) > 1""",
     "latest_per_offset": _with(_LINEITEM_LOG) + """
 SELECT * FROM li_unique""",
-    "snapshot_roundtrip": _with(_EVENTS_LOG) + """
-SELECT topic, "partition", "offset", key, value, timestamp_ms, header_count FROM events_log""",
-    "snapshot_topic_read": _with(_EVENTS_LOG) + """
-SELECT topic, "partition", "offset", key, value, timestamp_ms, header_count FROM events_log
+    "snapshot_roundtrip": _with(_EVENTS_LOG) + f"""
+SELECT {_SHOWN} FROM events_log""",
+    "snapshot_topic_read": _with(_EVENTS_LOG) + f"""
+SELECT {_SHOWN} FROM events_log
 WHERE topic IN ('click', 'view')""",
-    "backup_selected_topics": _with(_EVENTS_LOG) + """
-SELECT topic, "partition", "offset", key, value, timestamp_ms, header_count FROM events_log
+    "backup_selected_topics": _with(_EVENTS_LOG) + f"""
+SELECT {_SHOWN} FROM events_log
 WHERE topic IN ('click', 'view')""",
-    "snapshot_partition_read": _with(_EVENTS_LOG) + """
-SELECT topic, "partition", "offset", key, value, timestamp_ms, header_count FROM events_log
+    "snapshot_partition_read": _with(_EVENTS_LOG) + f"""
+SELECT {_SHOWN} FROM events_log
 WHERE topic = 'click' AND "partition" = 1""",
     "commits_roundtrip": _with(_EV) + """
 SELECT * FROM events_log_captured""",
@@ -603,18 +742,51 @@ SELECT e.topic, e."partition", e.low, e.high, l.last_read,
 FROM events_log_ends e LEFT JOIN last l
   ON e.topic = l.topic AND e."partition" = l."partition"
 """,
-    "backup_increments": _with(_EVENTS_LOG) + """
-SELECT topic, "partition", "offset", key, value, timestamp_ms, header_count FROM events_log""",
-    "incremental_backup": _with(_EVENTS_LOG) + """
-SELECT topic, "partition", "offset", key, value, timestamp_ms, header_count FROM events_log""",
-    "sqlite_roundtrip": _with(_EVENTS_LOG) + """
-SELECT topic, "partition", "offset", key, value, timestamp_ms, nullif(header_count, 0) AS header_count
-FROM events_log""",
-    "sqlite_topic_import": _with(_EVENTS_LOG) + """
-SELECT topic, "partition", "offset", key, value, timestamp_ms, nullif(header_count, 0) AS header_count
-FROM events_log WHERE topic IN ('click', 'view')""",
-    "sqlite_commits_roundtrip": _with(_EV) + """
+    "backup_increments": _with(_EVENTS_LOG) + f"""
+SELECT {_SHOWN} FROM events_log""",
+    "incremental_backup": _with(_EVENTS_LOG) + f"""
+SELECT {_SHOWN} FROM events_log""",
+    "mixed_backup": _EVENTS_ROWS,
+    "mixed_backup_commits": _with(_EV) + """
 SELECT * FROM events_log_captured""",
+    "stream_increments": _EVENTS_ROWS,
+    "stopped_backup": _EVENTS_ROWS,
+    "binary_roundtrip": _with(_EVENTS_LOG) + """
+SELECT topic, "partition", "offset", md5(CAST("offset" AS VARCHAR)) AS key, md5(topic || ':' || "offset") AS value FROM events_log""",
+    "ordered_partition_read": _with(_EVENTS_LOG) + """
+SELECT topic, "partition", "offset", row_number() OVER (ORDER BY "offset") - 1 AS place FROM events_log WHERE topic = 'click' AND "partition" = 1""",
+    "publish_order": _with(_EVENTS_LOG) + """
+SELECT topic, "partition", "offset", row_number() OVER (PARTITION BY topic, "partition" ORDER BY "offset") - 1 AS place
+FROM events_log""",
+    "delivery_report": _with(_EVENTS_LOG) + """
+SELECT topic, "partition", row_number() OVER (PARTITION BY topic, "partition" ORDER BY "offset") - 1 AS "offset",
+       key, value, timestamp_ms FROM events_log""",
+    "target_mismatches": _with(_EVENTS_LOG) + """
+SELECT topic, "partition", count(*) AS published, CASE WHEN "partition" = 1 THEN count(*) + 1 ELSE 0 END AS grown
+FROM events_log WHERE "partition" IN (1, 2) GROUP BY topic, "partition" """,
+    "usable_ends": _with(_EVENTS_LOG, _ends("events_log")) + """
+SELECT * FROM events_log_ends WHERE "partition" NOT IN (0, 1)""",
+    "cut_at_odd_ends": _with(_EVENTS_LOG) + """
+SELECT topic, "partition", "offset", key, value, timestamp_ms FROM events_log WHERE "partition" NOT IN (0, 1)""",
+    "all_commits": _with(_EV, _ORDER_COMMITS) + """
+SELECT * FROM events_log_commits_raw UNION ALL SELECT * FROM order_commits""",
+    "topic_commits": _with(_EV, _ORDER_COMMITS) + """
+SELECT * FROM events_log_captured WHERE topic IN ('click', 'purchase')
+UNION ALL SELECT * FROM order_commits WHERE topic IN ('click', 'purchase') AND "partition" = 1""",
+    "snapshot_topic_commits": _with(_EV) + """
+SELECT * FROM events_log_captured WHERE topic IN ('click', 'view')""",
+    "translate_all_commits": _with(_EV, _ORDER_COMMITS) + """
+, all_commits AS (SELECT * FROM events_log_commits_raw UNION ALL SELECT * FROM order_commits)
+SELECT c.*, (SELECT count(*) FROM events_log l WHERE l.topic = c.topic AND l."partition" = c."partition"
+                                                 AND l."offset" < c.committed) AS new_offset
+FROM all_commits c WHERE EXISTS (SELECT 1 FROM events_log_ends e WHERE e.topic = c.topic AND e."partition" = c."partition")""",
+    "snapshot_topic_report": _with(_EVENTS_LOG, _ends("events_log")) + """
+SELECT topic, "partition", low, high, high - 1 AS last_read, 'done' AS status, CAST(0 AS BIGINT) AS remaining
+FROM events_log_ends WHERE topic IN ('click', 'view')""",
+    "backup_report": _with(_EVENTS_LOG) + f"""
+SELECT topic, "partition", min("offset") AS low, max("offset") + 1 AS high, max("offset") AS last_read, 'done' AS status,
+       CAST(0 AS BIGINT) AS remaining
+FROM events_log WHERE ts < TIMESTAMP '{CUT_TIME}' GROUP BY topic, "partition" """,
 }
 
 

@@ -1,4 +1,4 @@
-"""Small builders for golden-value fixtures (values from the reference's own tests)."""
+"""Small builders for fixtures."""
 from __future__ import annotations
 
 import datetime as dt
@@ -20,8 +20,8 @@ def log_df(spark, rows):
     return spark.createDataFrame(data, LOG)
 
 
-def messages(spark, topic, partition, offsets, ts=123456789):
-    return log_df(spark, [(topic, partition, o, f"key_{i}", f"val_{i}", ts, None) for i, o in enumerate(offsets)])
+def messages(spark, topic, partition, offsets, ts=1_600_000_000_123):
+    return log_df(spark, [(topic, partition, o, f"k-{topic}-{i}", f"payload {i}", ts, None) for i, o in enumerate(offsets)])
 
 
 def commits_df(spark, rows):

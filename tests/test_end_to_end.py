@@ -73,12 +73,12 @@ def test_restore_publishes_then_returns_the_plan(spark, scratch):
     sent = []
 
     def sink(frame):  # stands in for write_kafka
-        out = os.path.join(scratch, "sent")
+        out = os.path.join(scratch, f"sent-{len(sent)}")
         frame.write.parquet(out)
         sent.append(out)
 
-    plan = restore(spark, path, sink, topics=["click"])
-    assert sent and spark.read.parquet(sent[0]).count() == log.where("topic = 'click'").count()
+    plan = restore(spark, path, sink, topics=["click"], wave_offsets=300)
+    assert len(sent) > 2 and spark.read.parquet(*sent).count() == log.where("topic = 'click'").count()
     assert plan.count() > 0 and {r.topic for r in plan.select("topic").distinct().collect()} == {"click"}
 
 
@@ -94,3 +94,36 @@ def test_restore_failure_gives_no_plan(spark, scratch):
 
     with pytest.raises(RuntimeError):
         restore(spark, path, failing)
+
+
+def test_target_that_does_not_match_gives_no_plan(spark, scratch):
+    import pytest
+    from tidemark.plans import TargetMismatchError, restore
+    from tidemark.schemas import ENDS
+    log = tv.events_log(spark, SF_SMALL).where("topic = 'click'")
+    path = os.path.join(scratch, "snap")
+    backup(log, tv.nation_commits(spark, SF_SMALL, ops.end_offsets(log)), path)
+    counts = [(r.topic, r.partition, r.messages) for r in ops.partition_counts(log).collect()]
+
+    def run(sent_twice):
+        calls = []
+
+        def target():       # 10 older messages a partition; after the sends, what was sent
+            calls.append(1)
+            grown = 0 if len(calls) == 1 else 1
+            return spark.createDataFrame([(t, p, 3, 13 + grown * (n + (p == sent_twice))) for t, p, n in counts], ENDS)
+
+        return restore(spark, path, lambda f: f.count(), target_ends=target)
+
+    assert run(None).count() > 0
+    with pytest.raises(TargetMismatchError) as e:
+        run(2)
+    assert [(r.partition, r.grown - r.published) for r in e.value.rows] == [(2, 1)]
+
+
+def test_null_topics_and_partitions_keep_their_places(spark):
+    rows = [(None, 0, 5), (None, 0, 3), ("t", None, 9), ("t", None, 1), ("t", 0, 4)]
+    log = spark.createDataFrame(rows, "topic string, partition int, offset bigint").withColumns(
+        {"key": F.lit(b"k"), "value": F.lit(b"v")})
+    got = {(r.topic, r.partition, r.offset): r.target_offset for r in ops.with_target_offsets(log, 4).collect()}
+    assert got == {(None, 0, 3): 0, (None, 0, 5): 1, ("t", None, 1): 0, ("t", None, 9): 1, ("t", 0, 4): 0}

@@ -28,3 +28,23 @@ def test_option_builders():
 def test_missing_connector_is_reported(spark):
     with pytest.raises(KafkaUnavailableError):
         read_kafka_log(spark, "localhost:1", ["t"])
+
+
+def test_stream_batches_are_bounded_by_default():
+    assert int(stream_options("h:1", ["t"])["maxOffsetsPerTrigger"]) > 0
+    assert stream_options("h:1", ["t"], maxOffsetsPerTrigger="7")["maxOffsetsPerTrigger"] == "7"
+
+
+def test_timestamps_survive_two_restores(spark):
+    """What one restore published, read from Kafka and published again, has one header and the first timestamp."""
+    from builders import log_df
+    from pyspark.sql import functions as F
+    from tidemark.plans import publish_frame
+    from tidemark.sources.kafka import as_log
+    first = log_df(spark, [("t", 0, 0, "k", "v", 1234567, [("a", b"1")]), ("t", 0, 1, "k", "v", 7654321, None)])
+    log = first
+    for broker_time in (10**12, 2 * 10**12):
+        sent = publish_frame(log, keep_offset=True)
+        assert all(sum(h.key == "source-timestamp-ms" for h in r.headers) == 1 for r in sent.collect())
+        log = as_log(sent.withColumn("timestamp", F.timestamp_millis(F.lit(broker_time))))
+    assert log.exceptAll(first).count() == 0 and first.exceptAll(log).count() == 0

@@ -7,6 +7,7 @@ from builders import commits_df, log_df, messages
 from tidemark.operators import translate_offsets, with_target_offsets
 
 SPANS = [1, 2, 7, 64, 1 << 16]
+# fixed values: offsets and the positions they must translate to
 GOLDEN_OFFSETS = [0, 99, 100, 200, 499]
 
 

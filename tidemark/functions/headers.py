@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 # fixed values: the stored field names and the parse schema of the text form
 STORED_KEY_FIELD = "key"
 STORED_VALUE_FIELD = "val"
-STORED_SCHEMA = "array<struct<key:string,val:binary>>"
+STORED_SCHEMA = "array<struct<key:string,val:string>>"
 
 
 def _col(c) -> Column:
@@ -31,7 +31,34 @@ def encode_headers(headers="headers") -> Column:
 
 def decode_headers(text="headers_json") -> Column:
     """JSON text -> headers column; NULL text stays NULL.  Accepts any JSON
-    spacing, so the spaced form older snapshots hold decodes as well."""
-    parsed = F.from_json(_col(text), STORED_SCHEMA)
-    return F.transform(
-        parsed, lambda x: F.struct(x[STORED_KEY_FIELD].alias("key"), x[STORED_VALUE_FIELD].alias("value")))
+    spacing, so the spaced form older snapshots hold decodes as well.
+
+    Text that is no such list, or a value that is no base64, fails the job."""
+    text = _col(text)
+    parsed = F.from_json(text, STORED_SCHEMA)
+
+    def corrupt(what: str, kind: str) -> Column:
+        return F.raise_error(F.format_string(f"corrupt headers ({what}): %s", text)).cast(kind)
+
+    def one(x):
+        value = F.when(x[STORED_VALUE_FIELD].isNotNull(),
+                       F.coalesce(F.try_to_binary(x[STORED_VALUE_FIELD], F.lit("base64")), corrupt("no base64", "binary")))
+        entry = F.struct(x[STORED_KEY_FIELD].alias("key"), value.alias("value"))
+        return F.when(x.isNull(), corrupt("no header", "struct<key:string,value:binary>")).otherwise(entry)
+
+    # a lone object would be taken for a list of one
+    listed = F.when(text.isNotNull() & (parsed.isNull() | ~text.rlike(r"^\s*\[")), corrupt("no list", "array<struct<key:string,value:binary>>"))
+    return listed.otherwise(F.transform(parsed, one))
+
+
+def header_value(headers, name: str) -> Column:
+    """Value of the last header of that name, or NULL."""
+    found = F.filter(_col(headers), lambda x: x["key"] == name)
+    return F.when(F.size(found) > 0, F.element_at(found, -1)["value"])
+
+
+def without_header(headers, name: str) -> Column:
+    """The headers without those of that name; a list that only held them becomes NULL."""
+    h = _col(headers)
+    left = F.filter(h, lambda x: ~x["key"].eqNullSafe(F.lit(name)))
+    return F.when(F.size(left) == F.size(h), h).otherwise(F.when(F.size(left) > 0, left))

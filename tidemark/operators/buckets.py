@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # 65,536 offsets a bucket: the in-bucket windows stay a few MB, and a
 # 10^10-offset partition still has only ~150k buckets to prefix-sum
@@ -31,11 +30,3 @@ def bucket_counts(log: DataFrame, span: int) -> DataFrame:
     return (log.select("topic", "partition", bucket_of("offset", span).alias("bucket"))
             .groupBy("topic", "partition", "bucket")
             .agg(F.count(F.lit(1)).alias("n")))
-
-
-def bucket_bases(counts: DataFrame) -> DataFrame:
-    """(topic, partition, bucket, base): messages in all earlier buckets of the partition."""
-    w = (Window.partitionBy("topic", "partition").orderBy("bucket")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    return counts.select("topic", "partition", "bucket",
-                         F.coalesce(F.sum("n").over(w), F.lit(0)).cast("long").alias("base"))

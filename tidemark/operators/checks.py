@@ -4,9 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_checked
 from tidemark.schemas import LOG
-from tidemark.session import materialize
 
 # policies for messages without a key
 NULL_KEY_POLICIES = ("error", "keep")
@@ -42,23 +40,13 @@ def duplicate_offsets(log: DataFrame) -> DataFrame:
             .where(F.col("copies") > 1))
 
 
-def latest_per_offset(log: DataFrame, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+def latest_per_offset(log: DataFrame) -> DataFrame:
     """One message per (topic, partition, offset): the last one wins.
 
     "Last" is the greatest (timestamp, key, value, headers), an explicit total
-    order.  Repeats are rare, so the payload is not shuffled for them: a count
-    per key (three narrow columns, partial aggregation) finds the repeated
-    keys, single copies pass through an anti join with that (checked,
-    materialised) key set, and only repeated keys go through the max
-    aggregate, whose partial step also absorbs a hot key."""
+    order.  One aggregation, so the payload is shuffled once at any size; its
+    partial step absorbs a key that repeats often."""
     key = ["topic", "partition", "offset"]
-    repeated = (log.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
-                .where(F.col("copies") > 1).select(*key))
-    repeated, n_repeated = materialize(repeated)
-    once = join_checked(log, repeated, key, "left_anti", max_broadcast_rows, known_rows=n_repeated)
-    several = join_checked(log, repeated, key, "left_semi", max_broadcast_rows, known_rows=n_repeated)
     payload = ["timestamp", "key", "value", "headers"]
-    best = (several.groupBy(*key).agg(F.max(F.struct(*payload)).alias("best"))
-            .select(*key, *[F.col(f"best.{c}").alias(c) for c in payload]))
-    cols = [f.name for f in LOG.fields]
-    return once.select(*cols).unionByName(best.select(*cols))
+    best = log.groupBy(*key).agg(F.max(F.struct(*payload)).alias("best"))
+    return best.select(*[f.name if f.name in key else F.col(f"best.{f.name}").alias(f.name) for f in LOG.fields])

@@ -26,10 +26,9 @@ def join_checked(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     """``big.join(small, on, how)`` with ``small`` broadcast only if it is proven small.
 
     ``known_rows`` is an upper bound on ``small``'s rows that the caller
-    already measured (e.g. with ``session.materialize``); it saves the count."""
+    measured (e.g. with ``session.materialize``); it replaces the count."""
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti", "semi", "anti"):
         raise ValueError(f"the checked side must be the right side of an inner/left/semi/anti join, not {how}")
-    proven = known_rows is not None and known_rows <= max_rows
-    if proven or fits_broadcast(small, max_rows):
+    if known_rows <= max_rows if known_rows is not None else fits_broadcast(small, max_rows):
         small = F.broadcast(small)
     return big.join(small, list(on), how)

@@ -12,16 +12,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.buckets import DEFAULT_BUCKET_SPAN, bucket_bases, bucket_counts, bucket_of
+from tidemark.operators.buckets import DEFAULT_BUCKET_SPAN, bucket_of
 
 
 def with_target_offsets(log: DataFrame, bucket_span: int = DEFAULT_BUCKET_SPAN) -> DataFrame:
     """log -> log columns + ``target_offset`` (bigint)."""
     cols = log.columns
-    bases = bucket_bases(bucket_counts(log, bucket_span))
+    # null topics and partitions are places of their own; the same plain keys serve the window and the join
+    placed = log.withColumns({"_t": F.coalesce("topic", F.lit("")), "_tn": F.col("topic").isNull(),
+                              "_p": F.coalesce("partition", F.lit(-1)), "_pn": F.col("partition").isNull(),
+                              "bucket": bucket_of("offset", bucket_span)})
+    place = ["_t", "_tn", "_p", "_pn"]
+    counts = placed.groupBy(*place, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*place).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*place, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     # key/value only break ties of duplicated offsets, which a valid log lacks
-    in_bucket = Window.partitionBy("topic", "partition", "bucket").orderBy("offset", "key", "value")
-    ranked = (log.withColumn("bucket", bucket_of("offset", bucket_span))
-              .withColumn("rank_in_bucket", F.row_number().over(in_bucket) - 1))
-    return (ranked.join(bases, ["topic", "partition", "bucket"])
+    in_bucket = Window.partitionBy(*place, "bucket").orderBy("offset", "key", "value")
+    ranked = placed.withColumn("rank_in_bucket", F.row_number().over(in_bucket) - 1)
+    return (ranked.join(bases, [*place, "bucket"])
             .select(*cols, (F.col("base") + F.col("rank_in_bucket")).cast("long").alias("target_offset")))

@@ -1,9 +1,9 @@
 """End-to-end jobs: backup, restore plan, publication frames."""
 from tidemark.plans.backup import BackupResult, MissingTopicsError, backup, check_topics
-from tidemark.plans.publish import commit_triples, delivery_report, publish_frame, starting_offsets
+from tidemark.plans.publish import commit_triples, delivery_report, publish_frame, publish_waves, starting_offsets
 from tidemark.plans.report import snapshot_complete, snapshot_report
-from tidemark.plans.restore import restore, restore_plan
+from tidemark.plans.restore import TargetMismatchError, restore, restore_plan, target_mismatches
 
-__all__ = ["BackupResult", "MissingTopicsError", "backup", "check_topics", "commit_triples", "delivery_report",
-           "publish_frame",
-           "starting_offsets", "restore", "restore_plan", "snapshot_complete", "snapshot_report"]
+__all__ = ["BackupResult", "MissingTopicsError", "TargetMismatchError", "backup", "check_topics", "commit_triples",
+           "delivery_report", "publish_frame", "publish_waves", "starting_offsets", "restore", "restore_plan",
+           "snapshot_complete", "snapshot_report", "target_mismatches"]

@@ -17,9 +17,10 @@ from tidemark.operators.commits import capture_commits
 from tidemark.operators.cut import cut
 from tidemark.operators.ends import end_offsets
 from tidemark.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_checked
+from tidemark.plans.report import snapshot_report
 from tidemark.schemas import ENDS, conform
 from tidemark.session import materialize
-from tidemark.sinks.snapshot import messages_path, write_commits, write_messages
+from tidemark.sinks.snapshot import held_ends, write_increment
 
 
 class MissingTopicsError(ValueError):
@@ -39,6 +40,10 @@ class BackupResult:
     ends: DataFrame
     messages: int = 0
 
+    def report(self) -> DataFrame:
+        """Per partition of the cut: done, not consumed or remaining (read from the snapshot)."""
+        return snapshot_report(self.ends.sparkSession, self.path, self.ends, self.topics)
+
 
 def check_topics(log: DataFrame, topics: Iterable[str] | None, ignore_missing_topics: bool = False
                  ) -> list[str] | None:
@@ -58,29 +63,16 @@ def check_topics(log: DataFrame, topics: Iterable[str] | None, ignore_missing_to
     return [t for t in wanted if t not in set(missing)]
 
 
-def _exists(spark, path: str) -> bool:
-    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
-
-
-def _snapshot_exists(spark, path: str) -> bool:
-    return _exists(spark, messages_path(path))
-
-
-class StreamWrittenSnapshotError(ValueError):
-    pass
-
-
-def after_snapshot(spark, snap: DataFrame, path: str, topics: list[str] | None,
+def after_snapshot(spark, snap: DataFrame, path: str, without_prefix: str | None = None,
                    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Rows of ``snap`` at or past the end of what the snapshot at ``path`` holds.
 
-    The snapshot's ends are one aggregation over three narrow columns,
-    materialised; partitions the snapshot lacks pass whole."""
-    from tidemark.sources.snapshot import read_messages
-
-    held, n_held = materialize(end_offsets(read_messages(spark, path, topics))
-                               .select("topic", "partition", F.col("high").alias("_held")))
+    The held ends come from the snapshot's state, not from its messages;
+    partitions the snapshot lacks pass whole."""
+    held = held_ends(spark, path, without_prefix)
+    if held is None:
+        return snap
+    held, n_held = materialize(held.select("topic", "partition", F.col("high").alias("_held")))
     joined = join_checked(snap, held, ["topic", "partition"], "left", max_broadcast_rows, known_rows=n_held)
     return joined.where(F.col("_held").isNull() | (F.col("offset") >= F.col("_held"))).select(*snap.columns)
 
@@ -98,10 +90,11 @@ def backup(log: DataFrame, commits: DataFrame, path: str, topics: Iterable[str]
     aggregation over (topic, partition, offset) and raises on repeats; offsets
     read from a broker are unique by construction, so it is off by default.
 
-    ``mode="append"`` adds an increment to an existing (batch-written)
-    snapshot: only offsets at or past the snapshot's end per partition are
-    written, so increments never repeat an offset, and the commits are
-    replaced by the new capture."""
+    ``mode="append"`` adds an increment to an existing snapshot, whether batch
+    or stream wrote it: only offsets at or past the snapshot's end per partition
+    are written, so increments never repeat an offset, and the new capture
+    takes the place of the old commits.  A backup that fails leaves the
+    snapshot as it was; with ``overwrite`` the old one goes first."""
     wanted = list(dict.fromkeys(topics)) if topics else None
     requested = catalog.select_topics(log, wanted)
     bounds = end_offsets(requested) if ends is None else catalog.select_topics(conform(ends, ENDS), wanted)
@@ -118,16 +111,10 @@ def backup(log: DataFrame, commits: DataFrame, path: str, topics: Iterable[str]
         selected = log.where(F.lit(False))
         bounds = bounds.where(F.lit(False))
     snap = guard_null_keys(cut(selected, bounds, max_broadcast_rows, ends_rows=n_bounds), null_key)
-    spark = log.sparkSession
-    appending = mode == "append" and _snapshot_exists(spark, path)
-    if appending and _exists(spark, f"{messages_path(path)}/_spark_metadata"):
-        # readers of a stream-written folder only see files in its log
-        raise StreamWrittenSnapshotError(f"{path} is written by incremental_backup; append with it instead")
-    if appending:
-        snap = after_snapshot(spark, snap, path, chosen, max_broadcast_rows)
+    if mode == "append":
+        snap = after_snapshot(log.sparkSession, snap, path, max_broadcast_rows=max_broadcast_rows)
     if check_unique_offsets and duplicate_offsets(snap).limit(1).count():
         raise DuplicateOffsetsError("the log repeats an offset within a partition")
-    written = write_messages(snap, path, mode, **write_options)
     captured = capture_commits(commits, bounds, chosen, ignore_group_pattern)
-    write_commits(captured, path, "overwrite" if mode == "append" else mode)
+    written = write_increment(snap, path, captured, mode, **write_options)
     return BackupResult(path, chosen, bounds, written)

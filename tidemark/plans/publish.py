@@ -4,7 +4,8 @@
 by (topic, partition) and sorted by offset, ready for
 ``df.write.format("kafka")``.  Ordered publication into one Kafka partition
 is sequential by nature (one producer appends in order), so each
-(topic, partition) is one task here; the sort spills like any Spark sort.
+(topic, partition) is one task here; ``publish_waves`` bounds what that task
+holds, and the sort spills like any Spark sort.
 The built-in sink has no timestamp column: the source timestamp travels as
 a header unless ``timestamp_header`` is None.
 
@@ -13,9 +14,12 @@ Spark Kafka reader takes as ``startingOffsets``.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.headers import without_header
 from tidemark.functions.time import epoch_millis
 from tidemark.schemas import HEADERS
 
@@ -24,18 +28,22 @@ TIMESTAMP_HEADER = "source-timestamp-ms"
 
 SINK_COLUMNS = ["topic", "partition", "key", "value", "headers"]
 
+# offsets of one partition that one task publishes; a wave after wave keeps the order
+DEFAULT_WAVE_OFFSETS = 5_000_000
+
 
 def publish_frame(restore_rows: DataFrame, timestamp_header: str | None = TIMESTAMP_HEADER,
                   num_partitions: int | None = None, keep_offset: bool = False) -> DataFrame:
     """Restore rows -> (topic, partition, key, value, headers) in publication order.
 
+    A timestamp header that a message has from an earlier restore is replaced, not doubled.
     ``keep_offset`` also keeps the source offset (to check the order)."""
     headers = F.col("headers")
     if timestamp_header:
         stamp = F.struct(F.lit(timestamp_header).alias("key"),
                          epoch_millis("timestamp").cast("string").cast("binary").alias("value"))
-        with_stamp = F.concat(F.coalesce(headers, F.array().cast(HEADERS)), F.array(stamp))
-        headers = F.when(F.col("timestamp").isNull(), headers).otherwise(with_stamp)
+        plain = F.coalesce(without_header(headers, timestamp_header), F.array().cast(HEADERS))
+        headers = F.when(F.col("timestamp").isNull(), headers).otherwise(F.concat(plain, F.array(stamp)))
     framed = restore_rows.select("topic", "partition", "offset", "key", "value", headers.alias("headers"))
     clustered = (framed.repartition(num_partitions, "topic", "partition") if num_partitions
                  else framed.repartition("topic", "partition"))
@@ -43,6 +51,23 @@ def publish_frame(restore_rows: DataFrame, timestamp_header: str | None = TIMEST
     return ordered.select(*SINK_COLUMNS, "offset") if keep_offset else ordered.select(*SINK_COLUMNS)
 
 
+def publish_waves(messages: DataFrame, ends: DataFrame, timestamp_header: str | None = TIMESTAMP_HEADER,
+                  wave_offsets: int = DEFAULT_WAVE_OFFSETS, **options) -> Iterator[DataFrame]:
+    """``publish_frame`` of one offset range of every partition after another.
+
+    A partition is published in order, so by one task at a time; a wave bounds that task to
+    ``wave_offsets`` offsets, and the range is a pushed-down filter on the snapshot's sorted files.
+    Every message is in exactly one wave."""
+    if wave_offsets < 1:
+        raise ValueError("wave_offsets must be positive")
+    bounds = ends.agg(F.min("low").alias("low"), F.max("high").alias("high")).first()     # two numbers
+    if bounds["low"] is None:
+        return
+    for low in range(bounds["low"], bounds["high"], wave_offsets):
+        wave = messages.where((F.col("offset") >= low) & (F.col("offset") < low + wave_offsets))
+        yield publish_frame(wave, timestamp_header, **options)
+
+
 def delivery_report(restore_rows: DataFrame) -> DataFrame:
     """The messages as the target topic will hold them: each at its target
     offset, headers left out (what a producer's acknowledgements report)."""

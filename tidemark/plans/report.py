@@ -4,18 +4,21 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.operators.catalog import select_topics
 from tidemark.operators.cut import consumption_complete, consumption_report
-from tidemark.sources.snapshot import read_messages
+from tidemark.sources.snapshot import read_ends
 
 
 def snapshot_report(spark: SparkSession, path: str, ends: DataFrame, topics: Iterable[str] | None = None
                     ) -> DataFrame:
-    """Consumption report of a snapshot against ``ends`` (e.g. the log's current ends).
+    """Consumption report of a snapshot against ``ends`` (e.g. the log's current ends), for the chosen topics.
 
-    Only (topic, partition, offset) are read, so the scan skips the payload."""
-    consumed = read_messages(spark, path, topics).select("topic", "partition", "offset")
-    return consumption_report(ends, consumed)
+    The last offset of each partition is in the snapshot's state; no message is read."""
+    wanted = list(topics or [])
+    last = read_ends(spark, path, wanted).select("topic", "partition", (F.col("high") - 1).alias("offset"))
+    return consumption_report(select_topics(ends, wanted), last)
 
 
 def snapshot_complete(spark: SparkSession, path: str, ends: DataFrame, topics: Iterable[str] | None = None

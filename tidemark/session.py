@@ -77,7 +77,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder before running on a cluster")
         root = tempfile.mkdtemp(prefix="tidemark-ckpt-")
-        sc._conf.set(CHECKPOINT_CONF, root)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root
@@ -89,30 +88,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root.rstrip("/"), "tidemark", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def observed_count(obs, name: str) -> int:
-    """The count an ``Observation`` collected; 0 when no task ran (an empty plan
-    reports no metrics row).  The action itself has already succeeded."""
+def observed_count(obs, name: str) -> int | None:
+    """The count an ``Observation`` collected, or None where it brought none: never a made-up number."""
     try:
-        return int(obs.get[name])
-    except Exception:
-        return 0
+        value = obs.get.get(name)
+    except Exception:  # the metrics of a job that ran can still be lost
+        return None
+    return None if value is None else int(value)
 
 
 def materialize(df: DataFrame) -> tuple[DataFrame, int]:
-    """``cut_lineage`` plus the row count, observed in the same job."""
+    """``df`` written once in the shared checkpoint folder (it survives executor loss), and its row count.
+
+    The count is observed in the same job; where that brings none, the checkpoint is counted."""
     from pyspark.sql import Observation
     from pyspark.sql import functions as F
 
     ensure_checkpoint_dir(df.sparkSession)
     obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
     out = df.observe(obs, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
-    return out, observed_count(obs, "n")
+    n = observed_count(obs, "n")
+    return out, out.count() if n is None else n
 
 
 _SHIPPED: set[str] = set()

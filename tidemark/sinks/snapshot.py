@@ -1,29 +1,40 @@
-"""Parquet snapshot writer.
+"""Parquet snapshot writer: one layout for batch and streaming backups.
 
 Layout of a snapshot folder::
 
-    <path>/messages/topic=<t>/partition=<p>/part-*.parquet   offset, key, value, timestamp, headers
-    <path>/commits/part-*.parquet                              consumer_group, topic, partition, committed
+    <path>/messages/increment=<i>/topic=<t>/partition=<p>/part-*.parquet   offset, key, value, timestamp, headers
+    <path>/commits/increment=<i>/part-*.parquet                            consumer_group, topic, partition, committed
+    <path>/state/increment=<i>/part-*.parquet                              seq, has_commits and the increment's ends
 
-Messages are written first and commits last: a snapshot without
-``commits/`` is incomplete.
+An increment is written in this order: messages, commits, state.  Readers look at
+the state first and see complete increments only, so a job that dies half-way leaves
+nothing visible, and writing the same increment again replaces what it left.  The state
+holds each increment's end offsets, so an append needs no look at old messages.
 """
 from __future__ import annotations
 
 import logging
 import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.buckets import bucket_of
-from tidemark.schemas import COMMITS, LOG, conform
-from tidemark.session import observed_count
+from tidemark.operators.ends import end_offsets
+from tidemark.schemas import COMMITS, ENDS, LOG, conform
+from tidemark.session import materialize, observed_count
 
 logger = logging.getLogger(__name__)
 
 MESSAGES_DIR = "messages"
 COMMITS_DIR = "commits"
+STATE_DIR = "state"
+INCREMENT = T.StructField("increment", T.StringType(), True)
+# one row with a null topic for the increment itself, then one for each partition it holds
+STATE = T.StructType([T.StructField("seq", T.LongType(), True), T.StructField("has_commits", T.BooleanType(), True),
+                      *ENDS.fields, INCREMENT])
 
 # offsets per write chunk: a hot partition is spread over many tasks in
 # chunks of this many offsets, each task sorts only its own chunks
@@ -31,6 +42,11 @@ DEFAULT_FILE_SPAN = 1 << 20
 DEFAULT_MAX_RECORDS_PER_FILE = 5_000_000
 # message payloads dominate the snapshot size; zstd compresses them well at snappy-like speed
 DEFAULT_COMPRESSION = "zstd"
+MODES = ("errorifexists", "overwrite", "append")
+
+
+class SnapshotExistsError(ValueError):
+    pass
 
 
 def messages_path(path: str) -> str:
@@ -41,11 +57,39 @@ def commits_path(path: str) -> str:
     return f"{path.rstrip('/')}/{COMMITS_DIR}"
 
 
-def write_messages(log: DataFrame, path: str, mode: str = "errorifexists", file_span: int = DEFAULT_FILE_SPAN,
+def state_path(path: str) -> str:
+    return f"{path.rstrip('/')}/{STATE_DIR}"
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """The state of a snapshot folder, or None where there is none."""
+    try:
+        return spark.read.schema(STATE).parquet(state_path(path))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
+def held_ends(spark: SparkSession, path: str, without_prefix: str | None = None) -> DataFrame | None:
+    """Ends of what the complete increments hold, one row a partition; None without a snapshot.
+
+    ``without_prefix`` leaves out the increments whose name starts so."""
+    state = read_state(spark, path)
+    if state is None:
+        return None
+    rows = state.where(F.col("low").isNotNull())
+    if without_prefix is not None:
+        rows = rows.where(~F.col("increment").startswith(without_prefix))
+    return conform(rows.groupBy("topic", "partition").agg(F.min("low").alias("low"), F.max("high").alias("high")), ENDS)
+
+
+def write_messages(log: DataFrame, path: str, increment: str, file_span: int = DEFAULT_FILE_SPAN,
                    num_partitions: int | None = None,
                    max_records_per_file: int = DEFAULT_MAX_RECORDS_PER_FILE,
-                   compression: str = DEFAULT_COMPRESSION, cluster: bool = True) -> int:
-    """Write a log as a snapshot, one folder per (topic, partition).
+                   compression: str = DEFAULT_COMPRESSION, cluster: bool = True) -> int | None:
+    """Write the messages of one increment, one folder per (topic, partition); what an
+    earlier attempt at the same increment left is replaced.
 
     Rows are hash-partitioned on (topic, partition, offset chunk): no single
     task receives a whole hot partition and no range-sampling pass re-reads
@@ -57,29 +101,61 @@ def write_messages(log: DataFrame, path: str, mode: str = "errorifexists", file_
     snapshot one file per task): each task sorts its own rows and writes.
     On mixed input it would leave many small files.
 
-    Returns the number of messages written, observed during the write itself."""
-    obs = Observation(f"written_{uuid.uuid4().hex[:8]}")
-    rows = conform(log, LOG).observe(obs, F.count(F.lit(1)).alias("messages"))
+    Returns the number of messages, observed in the stage that writes them; None
+    if the observation brought none."""
+    rows = conform(log, LOG)
     if cluster:
         rows = rows.withColumn("_chunk", bucket_of("offset", file_span))
         keys = ["topic", "partition", "_chunk"]
         rows = (rows.repartition(num_partitions, *keys) if num_partitions else rows.repartition(*keys)).drop("_chunk")
-    (rows.sortWithinPartitions("topic", "partition", "offset")
-     .write.mode(mode).option("maxRecordsPerFile", max_records_per_file).option("compression", compression)
-     .partitionBy("topic", "partition").parquet(messages_path(path)))
+    obs = Observation(f"written_{uuid.uuid4().hex[:8]}")
+    folder = f"{messages_path(path)}/increment={increment}"
+    (rows.observe(obs, F.count(F.lit(1)).alias("messages")).sortWithinPartitions("topic", "partition", "offset")
+     .write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).option("compression", compression)
+     .partitionBy("topic", "partition").parquet(folder))
     written = observed_count(obs, "messages")
-    logger.info("wrote %d messages to %s", written, messages_path(path))
+    logger.info("wrote %s messages to %s", written, folder)
     return written
 
 
-def write_commits(commits: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_commits(commits: DataFrame, path: str, increment: str) -> None:
     """Write captured commits (small: one row per group and partition)."""
-    conform(commits, COMMITS).write.mode(mode).parquet(commits_path(path))
-
-
-def write_snapshot(log: DataFrame, commits: DataFrame, path: str, mode: str = "errorifexists", **kw) -> None:
-    """Messages first, then commits (the commits folder marks completion)."""
-    write_messages(log, path, mode, **kw)
-    write_commits(commits, path, mode)
-
-
+    conform(commits, COMMITS).write.mode("overwrite").parquet(f"{commits_path(path)}/increment={increment}")
+
+
+def clear_snapshot(spark: SparkSession, path: str) -> None:
+    """Make a snapshot folder empty: the state first, so no reader meets half of it."""
+    for folder, schema in ((state_path(path), STATE), (commits_path(path), COMMITS), (messages_path(path), LOG)):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(folder)
+
+
+def write_increment(log: DataFrame, path: str, commits: DataFrame | None = None, mode: str = "errorifexists",
+                    increment: str | None = None, **options) -> int:
+    """Add one increment (messages, then commits, then its state) and return its number of messages.
+
+    ``errorifexists`` wants a folder without complete increments; ``overwrite`` clears it
+    first; ``append`` adds to it.  ``increment`` names it; writing a name again replaces it."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    spark = log.sparkSession
+    name = increment or uuid.uuid4().hex
+    if mode == "overwrite":
+        clear_snapshot(spark, path)
+    state = read_state(spark, path)
+    if mode == "errorifexists" and state is not None and not state.isEmpty():
+        raise SnapshotExistsError(f"{path} holds a snapshot")
+    before = None if state is None else state.where(F.col("increment") != name).agg(F.max("seq").alias("s")).first()["s"]
+    seq = 0 if before is None else before + 1
+    messages = write_messages(log, path, name, **options)
+    if commits is not None:
+        write_commits(commits, path, name)
+    # three columns of this increment's own files
+    mine = spark.read.schema(LOG).parquet(f"{messages_path(path)}/increment={name}")
+    ends, partitions = materialize(end_offsets(mine))
+    if messages is None:
+        messages = mine.count()
+    own = spark.createDataFrame([(None, None, None, None)], ENDS)
+    rows = own.unionByName(ends).select(F.lit(seq).cast("long").alias("seq"), F.lit(commits is not None).alias("has_commits"), "*")
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{state_path(path)}/increment={name}")
+    logger.info("increment %s of %s: %d messages in %d partitions", name, path, messages, partitions)
+    return messages

@@ -1 +1 @@
-"""Sources: test-table logs, parquet snapshots, SQLite snapshot files, Kafka options."""
+"""Sources: test-table logs, parquet snapshots, Kafka options."""

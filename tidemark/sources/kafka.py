@@ -14,9 +14,13 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.headers import header_value, without_header
+from tidemark.plans.publish import TIMESTAMP_HEADER
 from tidemark.schemas import LOG, conform
 
 FORMAT = "kafka"
+# records of one micro-batch of a streaming read: a stopped run keeps its finished micro-batches
+DEFAULT_MAX_OFFSETS_PER_TRIGGER = 50_000_000
 
 
 class KafkaUnavailableError(RuntimeError):
@@ -46,7 +50,7 @@ def read_options(bootstrap_servers: str | Iterable[str], topics: Iterable[str],
 
 
 def stream_options(bootstrap_servers: str | Iterable[str], topics: Iterable[str], **extra: str) -> dict[str, str]:
-    opts = read_options(bootstrap_servers, topics, **extra)
+    opts = read_options(bootstrap_servers, topics, **{"maxOffsetsPerTrigger": str(DEFAULT_MAX_OFFSETS_PER_TRIGGER), **extra})
     opts.pop("endingOffsets")
     return opts
 
@@ -60,8 +64,16 @@ def _load(reader) -> DataFrame:
         raise
 
 
-def as_log(kafka_rows: DataFrame) -> DataFrame:
-    """Kafka source rows -> LOG (drops ``timestampType``)."""
+def as_log(kafka_rows: DataFrame, timestamp_header: str | None = TIMESTAMP_HEADER) -> DataFrame:
+    """Kafka source rows -> LOG (drops ``timestampType``).
+
+    A message that a restore published carries its first timestamp in ``timestamp_header``: it
+    becomes the timestamp again, and the header goes."""
+    if timestamp_header:
+        stamp = header_value("headers", timestamp_header).cast("string")
+        kafka_rows = kafka_rows.withColumns({
+            "timestamp": F.coalesce(F.timestamp_millis(stamp.try_cast("bigint")), F.col("timestamp")),
+            "headers": without_header("headers", timestamp_header)})
     return conform(kafka_rows, LOG)
 
 

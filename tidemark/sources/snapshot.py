@@ -1,14 +1,32 @@
-"""Parquet snapshot reader (the inverse of ``tidemark.sinks.snapshot``)."""
+"""Parquet snapshot reader (the inverse of ``tidemark.sinks.snapshot``).
+
+Only complete increments are read: those with a state.  A folder without one is refused."""
 from __future__ import annotations
 
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.catalog import select_topics
 from tidemark.schemas import COMMITS, LOG, conform
-from tidemark.sinks.snapshot import commits_path, messages_path
+from tidemark.sinks.snapshot import INCREMENT, commits_path, held_ends, messages_path, read_state
+
+
+class IncompleteSnapshotError(ValueError):
+    def __init__(self, path: str):
+        super().__init__(f"{path} holds no complete snapshot")
+
+
+def _increments(spark: SparkSession, path: str) -> list:
+    """The complete increments, oldest first (a driver list: one short row for each write job)."""
+    state = read_state(spark, path)
+    rows = [] if state is None else state.where(F.col("topic").isNull() & F.col("low").isNull()).select(
+        "increment", "seq", "has_commits").collect()
+    if not rows:
+        raise IncompleteSnapshotError(path)
+    return sorted(rows, key=lambda r: r.seq)
 
 
 def read_messages(spark: SparkSession, path: str, topics: Iterable[str] | None = None) -> DataFrame:
@@ -16,23 +34,29 @@ def read_messages(spark: SparkSession, path: str, topics: Iterable[str] | None =
 
     The schema is given, so partition values are never type-inferred (a topic
     named ``007`` stays a string), and the topic filter prunes folders."""
-    df = spark.read.schema(LOG).parquet(messages_path(path))
-    return conform(select_topics(df, topics), LOG)
+    names = [r.increment for r in _increments(spark, path)]
+    df = spark.read.schema(T.StructType([*LOG.fields, INCREMENT])).parquet(messages_path(path))
+    return conform(select_topics(df.where(F.col("increment").isin(names)), topics), LOG)
 
 
 def read_partition(spark: SparkSession, path: str, topic: str, partition: int) -> DataFrame:
-    """Messages of one (topic, partition), in offset order; both filters prune folders."""
+    """Messages of one (topic, partition), in offset order; both filters prune folders.
+
+    The order is a range exchange on the offset, so a hot partition is sorted by many tasks."""
     df = read_messages(spark, path, [topic]).where(F.col("partition") == F.lit(int(partition)))
-    return df.sortWithinPartitions("offset")
+    return df.orderBy("offset")
 
 
 def read_commits(spark: SparkSession, path: str, topics: Iterable[str] | None = None) -> DataFrame:
-    """Snapshot commits, restricted to the chosen topics when given."""
-    df = spark.read.schema(COMMITS).parquet(commits_path(path))
+    """The commits of the last increment that captured any, restricted to the chosen topics when given."""
+    last = [r.increment for r in _increments(spark, path) if r.has_commits][-1:]
+    if not last:
+        return spark.createDataFrame([], COMMITS)
+    df = spark.read.schema(COMMITS).parquet(f"{commits_path(path)}/increment={last[0]}")
     return conform(select_topics(df, topics), COMMITS)
 
 
-def read_snapshot(spark: SparkSession, path: str, topics: Iterable[str] | None = None
-                  ) -> tuple[DataFrame, DataFrame]:
-    """(commits, messages) of a snapshot folder."""
-    return read_commits(spark, path, topics), read_messages(spark, path, topics)
+def read_ends(spark: SparkSession, path: str, topics: Iterable[str] | None = None) -> DataFrame:
+    """Ends of what the snapshot holds, from its state (no message is read)."""
+    _increments(spark, path)
+    return select_topics(held_ends(spark, path), topics)

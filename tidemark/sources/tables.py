@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.time import ntz_to_instant
 from tidemark.operators.commits import NO_OFFSET
-from tidemark.schemas import COMMITS, LOG, conform
+from tidemark.schemas import COMMITS, ENDS, LOG, conform
 
 # fixed values of the test views (the oracle SQL repeats them)
 EVENTS_PARTITIONS = 4
@@ -31,6 +31,8 @@ TYPE_HEADER = "type"
 TRACE_HEADER = "trace"
 LINESTATUS_HEADER = "linestatus"
 TEMP_GROUP_PREFIX = "tmp-"
+ABSENT_PARTITION = 99       # of every topic: no log has it
+ORDER_STATUSES = "FOP"
 HOT_TOPIC = "hot"
 
 
@@ -46,11 +48,20 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_as_log(table(spark, sf_dir, "events"))
 
 
+# files of one micro-batch: a stopped run keeps its finished micro-batches
+DEFAULT_MAX_FILES_PER_TRIGGER = 1000
+
+
+def file_stream(spark: SparkSession, schema, folder: str, glob: str = "*.parquet",
+                max_files_per_trigger: int = DEFAULT_MAX_FILES_PER_TRIGGER) -> DataFrame:
+    """A folder of parquet files as a stream (new files are new data), some files at a time."""
+    return (spark.readStream.schema(schema).option("pathGlobFilter", glob)
+            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(folder.rstrip("/")))
+
+
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a file stream (new files in the folder are new data)."""
-    schema = table(spark, sf_dir, "events").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .parquet(sf_dir.rstrip("/")))
+    """The events table as a file stream."""
+    return file_stream(spark, table(spark, sf_dir, "events").schema, sf_dir, "events.parquet")
 
 
 def events_as_log(ev: DataFrame) -> DataFrame:
@@ -129,3 +140,31 @@ def nation_commits(spark: SparkSession, sf_dir: str, ends: DataFrame) -> DataFra
     temporary = fan.where(slot == 0).select(temp_group_name(F.col("n_name")).alias("consumer_group"),
                                             "topic", "partition", F.col("high").alias("committed"))
     return conform(regular.unionByName(temporary), COMMITS)
+
+
+def order_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits as another system left them: one for each order status and topic that meet by number, on
+    a partition the log has, on one it lacks, and without a topic."""
+    number = F.instr(F.lit(ORDER_STATUSES), F.col("o_orderstatus")) - 1
+    status = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")).withColumn("k", number)
+    topics = (table(spark, sf_dir, "events")
+              .select(F.col("event_type").alias("topic"), (F.col("user_id") % len(ORDER_STATUSES)).cast("int").alias("k")).distinct())
+    group = F.concat(F.lit("orders-"), F.col("o_orderstatus"))
+    both = status.join(topics, "k")
+    row = lambda topic, partition: F.struct(topic.cast("string").alias("topic"), partition.cast("int").alias("partition"))
+    places = F.array(row(F.col("topic"), F.lit(1)), row(F.col("topic"), F.lit(ABSENT_PARTITION)), row(F.lit(None), F.lit(1)))
+    flat = both.select(group.alias("consumer_group"), F.explode(places).alias("at"), F.col("n").alias("committed"))
+    return conform(flat.select("consumer_group", "at.topic", "at.partition", "committed"), COMMITS)
+
+
+def odd_ends(ends: DataFrame) -> DataFrame:
+    """``ends`` with the end of partition 0 unknown and partition 1 empty."""
+    high = F.when(F.col("partition") == 0, F.lit(None).cast("bigint")).when(F.col("partition") == 1, F.col("low")).otherwise(F.col("high"))
+    return conform(ends.withColumn("high", high), ENDS)
+
+
+def hashed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events log with keys and values that are no text: the bytes of an MD5."""
+    digest = lambda *c: F.unhex(F.md5(F.concat_ws(":", *c)))      # noqa: E731
+    log = events_log(spark, sf_dir)
+    return conform(log.withColumns({"key": digest(F.col("offset")), "value": digest(F.col("topic"), F.col("offset"))}), LOG)

@@ -1,26 +1,39 @@
 """Incremental backup with Structured Streaming.
 
-Each run drains what the source holds at its start (``availableNow``) into
-the snapshot's message folder and stops; the checkpoint remembers the source
-position, so the next run takes only what arrived since.  A time limit stops
-the run early and keeps the finished micro-batches: the next run resumes.
-For Kafka, ``stream_log`` is the Kafka stream mapped to the LOG layout; for
-files, a file stream over the source folder.
+Each run drains what the source holds at its start (``availableNow``) and stops; the
+checkpoint remembers the source position, so the next run takes only what arrived
+since.  Every micro-batch goes through the snapshot writer (``foreachBatch``) as an
+increment of its own, named by the checkpoint and the batch: a batch that Spark runs again
+after a failure replaces what its first attempt left.  Batch and streaming backups share one
+layout and may add to one snapshot: only offsets past the ends of what others wrote there are
+written.  What the stream itself wrote does not count for that: its checkpoint keeps rows from coming
+twice, and files may arrive in any order of offsets.
+
+A time limit stops the run early and keeps the finished micro-batches, and the next run
+resumes.  That needs bounded micro-batches: give the source a limit (``max_files_per_trigger``
+of ``tables.events_stream``, ``maxOffsetsPerTrigger`` of ``stream_kafka_log``; both have defaults).
 """
 from __future__ import annotations
 
 import logging
+import threading
 import time
+import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.functions.groups import IGNORE_GROUP_PATTERN
+from tidemark.operators.catalog import select_topics
+from tidemark.operators.checks import guard_null_keys
+from tidemark.operators.commits import capture_commits
+from tidemark.plans.backup import after_snapshot, check_topics
+from tidemark.plans.report import snapshot_report
 from tidemark.schemas import LOG, conform
-from tidemark.sinks.snapshot import DEFAULT_COMPRESSION, messages_path, write_commits
+from tidemark.sinks.snapshot import held_ends, write_increment
 
 CHECKPOINT_DIR = "_checkpoint"
-PROGRESS_NAME = "backup_progress"
 # fixed value: progress is logged each time this many more rows are in
 PROGRESS_EVERY = 100_000
 POLL_SECONDS = 2.0
@@ -30,68 +43,91 @@ logger = logging.getLogger(__name__)
 
 @dataclass
 class IncrementResult:
+    spark: SparkSession
+    path: str
+    topics: list[str] | None
     finished: bool
     batches: int
     rows: int
 
+    def report(self, ends: DataFrame) -> DataFrame:
+        """Per partition of ``ends``: done, not consumed or remaining."""
+        return snapshot_report(self.spark, self.path, ends, self.topics)
+
 
 def checkpoint_path(path: str) -> str:
     return f"{path.rstrip('/')}/{CHECKPOINT_DIR}/messages"
 
 
-def _wait(query, timeout: float | None, every: int, poll: float) -> tuple[bool, dict[int, int]]:
-    """Wait for the query, collecting rows per batch id from its progress reports
-    (polled, so runs longer than the kept report history still add up)."""
+def _wait(query, timeout: float | None, every: int, poll: float, rows_by_batch: dict[int, int]) -> bool:
+    """Wait for the query; True if it ended by itself, False if the time limit stopped it."""
     deadline = None if timeout is None else time.monotonic() + timeout
-    rows_by_batch: dict[int, int] = {}
     logged = 0
     while True:
         wait = poll if deadline is None else max(0.01, min(poll, deadline - time.monotonic()))
         done = bool(query.awaitTermination(wait))
-        for p in query.recentProgress:
-            rows_by_batch[int(p.batchId)] = int(p.numInputRows)
         total = sum(rows_by_batch.values())
         if every and total // every > logged // every:
             logger.info("backup %s: %d messages so far", query.id, total)
             logged = total
         if done:
-            return True, rows_by_batch
+            return True
         if deadline is not None and time.monotonic() >= deadline:
             query.stop()  # finished micro-batches stay committed; the next run resumes
-            for p in query.recentProgress:
-                rows_by_batch[int(p.batchId)] = int(p.numInputRows)
-            return False, rows_by_batch
+            return False
 
 
 def incremental_backup(stream_log: DataFrame, path: str, timeout: float | None = None,
                        checkpoint: str | None = None, commits: DataFrame | None = None,
-                       progress_every: int = PROGRESS_EVERY, poll_seconds: float = POLL_SECONDS
-                       ) -> IncrementResult:
-    """Append everything new in ``stream_log`` to the snapshot at ``path``.
-
-    ``timeout`` (seconds, None = no limit) bounds the run.  Progress comes
-    from the query's own progress reports (rows per micro-batch) and is
-    logged every ``progress_every`` rows.  When ``commits`` is given it is
-    written after the messages, replacing the previous increment's commits."""
+                       topics: Iterable[str] | None = None, ignore_missing_topics: bool = False,
+                       ends: DataFrame | None = None, null_key: str = "error",
+                       ignore_group_pattern: str | None = IGNORE_GROUP_PATTERN,
+                       progress_every: int = PROGRESS_EVERY, poll_seconds: float = POLL_SECONDS,
+                       **write_options) -> IncrementResult:
+    """Add everything new in ``stream_log`` to the snapshot at ``path``.
+
+    ``timeout`` (seconds, None = no limit) bounds the run.  ``topics`` chooses topics; missing
+    ones are checked against ``ends`` (the log's ends) before the run, or, without it, against
+    what the snapshot holds after a finished run.  ``null_key="error"`` fails the run at a message without a key.
+    When ``commits`` is given and the run finished, the commits of kept groups on the snapshot's
+    partitions are captured as by ``backup`` and take the place of the earlier ones.  Progress is
+    logged every ``progress_every`` rows."""
     if not stream_log.isStreaming:
         raise ValueError("incremental_backup needs a streaming DataFrame")
-    observed = conform(stream_log, LOG).observe(PROGRESS_NAME, F.count(F.lit(1)).alias("rows"))
-    query = (observed.writeStream.format("parquet")
-             .partitionBy("topic", "partition")
-             .option("compression", DEFAULT_COMPRESSION)
+    spark = stream_log.sparkSession
+    wanted = list(dict.fromkeys(topics)) if topics else None
+    if wanted and ends is not None:
+        check_topics(ends, wanted, ignore_missing_topics)
+    rows_by_batch: dict[int, int] = {}
+    started, name = threading.Event(), {}
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        started.wait()
+        increment = f"{name['query']}-{batch_id}"
+        fresh = after_snapshot(batch.sparkSession, batch, path, without_prefix=f"{name['query']}-")
+        rows_by_batch[batch_id] = write_increment(guard_null_keys(fresh, null_key), path, mode="append",
+                                                  increment=increment, **write_options)
+
+    query = (select_topics(conform(stream_log, LOG), wanted).writeStream.foreachBatch(write)
              .option("checkpointLocation", checkpoint or checkpoint_path(path))
-             .trigger(availableNow=True)
-             .start(messages_path(path)))
+             .trigger(availableNow=True).start())
+    name["query"] = str(query.id)       # the same for all runs on one checkpoint
+    started.set()
     try:
-        finished, rows_by_batch = _wait(query, timeout, progress_every, poll_seconds)
+        finished = _wait(query, timeout, progress_every, poll_seconds, rows_by_batch)
     except KeyboardInterrupt:
         # stopped by the user: committed micro-batches stay, the next run resumes
         query.stop()
-        finished, rows_by_batch = False, {int(p.batchId): int(p.numInputRows) for p in query.recentProgress}
+        finished = False
         logger.info("backup %s stopped by the user", query.id)
-    rows = sum(rows_by_batch.values())
-    batches = sum(1 for n in rows_by_batch.values() if n)
+    rows, batches = sum(rows_by_batch.values()), sum(1 for n in rows_by_batch.values() if n)
     logger.info("backup %s: %d messages in %d batches, finished=%s", query.id, rows, batches, finished)
-    if commits is not None and finished:
-        write_commits(commits, path, mode="overwrite")
-    return IncrementResult(bool(finished), batches, rows)
+    held = held_ends(spark, path)
+    if finished and wanted and ends is None and held is not None:
+        check_topics(held, wanted, ignore_missing_topics)
+    if finished and commits is not None:
+        nothing = spark.createDataFrame([], LOG)
+        partitions = nothing.select("topic", "partition") if held is None else held
+        captured = capture_commits(commits, partitions, wanted, ignore_group_pattern)
+        write_increment(nothing, path, captured, mode="append", increment=f"{query.id}-commits-{uuid.uuid4().hex[:8]}")
+    return IncrementResult(spark, path, wanted, finished, batches, rows)
