@@ -3,8 +3,8 @@ gradient-boosted forest with monotonic constraints.
 
 1. ``document_statistics`` reads each text once and computes counts and ratios
    with NumPy over Arrow batches; the narrow result is written once.
-2. ``fit_quality`` trains on a bounded sample: the ``max_train_rows`` labelled
-   documents with the smallest hash of their id.
+2. ``fit_quality`` trains on a bounded sample: about ``max_train_rows`` labelled
+   documents, chosen by a hash of their id.
 3. ``score_quality`` scores every row with the flat node arrays.
 
 Defined results.  Null or empty text: zero words, so the base rules reject it.
@@ -159,11 +159,15 @@ def with_base_rules(stats: DataFrame, min_words: int = MIN_WORDS, max_repeat: in
 
 
 def fit_quality(stats: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> gbt.Forest:
-    """Train on at most ``max_train_rows`` labelled documents (smallest hash of their id first)."""
+    """Train on about ``max_train_rows`` labelled documents: all, or those whose hashed id is in the share
+    that gives so many (the rows are chosen in the tasks, so no more than the sample reaches the driver)."""
     one = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
            .groupBy("doc_id").agg(F.min("quality").alias("quality")))
-    sample = (stats.join(one, "doc_id").orderBy(F.xxhash64("doc_id"), *COUNTS).limit(max_train_rows)
-              .select("quality", *FEATURES).toPandas())
+    labelled = one.count()
+    if labelled > max_train_rows:
+        one = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(int((1 << 40) * max_train_rows / labelled)))
+    sample = stats.join(one, "doc_id").select("doc_id", "quality", *COUNTS, *FEATURES).toPandas()
+    sample = sample.sort_values(["doc_id", *COUNTS])        # the forest does not depend on the order of arrival
     return gbt.fit(sample[list(FEATURES)].to_numpy(float), (sample["quality"] > 0).to_numpy(float), MONOTONE)
 
 
