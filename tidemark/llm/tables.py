@@ -21,9 +21,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# bytes of one Arrow batch: what a Python worker holds at once, whatever the length of the texts
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
-    """``mapInArrow`` with this package importable on the executors."""
-    ship_package(df.sparkSession)
+    """``mapInArrow`` with this package importable on the executors, and with batches of at most
+    ``BATCH_BYTES`` (lowered in the session where it allows more)."""
+    spark = df.sparkSession
+    ship_package(spark)
+    if int(spark.conf.get(BATCH_CONF).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
