@@ -318,9 +318,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     addressed = map_arrow(inner, run, inner.selectExpr("*", "0L as n_shingles", "0L as f1", "0L as f2").schema)
     rows = addressed.join(groups.select(*CLASS, "label", "component_id"), CLASS, "left")
     smallest = rows.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    blank, worded = smallest.where("n_shingles = 0"), smallest.where("n_shingles > 0")
-    once = worded.groupBy("label").agg(*[F.first(F.struct(*[F.col(f"`{c}`") for c in names])).alias("row")]).select("row.*")
-    return restored(blank.select(*[F.col(f"`{c}`") for c in names]).unionByName(once), docs.columns, moved)
+    # labels are not negative; rows without a word are groups of their own
+    own = F.when(F.col("n_shingles") == 0, -1 - F.monotonically_increasing_id()).otherwise(F.col("label"))
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    once = smallest.select(own.alias("label"), row.alias("row")).groupBy("label").agg(F.first("row").alias("row"))
+    return restored(once.select("row.*"), docs.columns, moved)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
