@@ -348,6 +348,19 @@ def q_stopped_backup(spark, d):
     return _show(snap.read_messages(spark, path), *_shown_headers())
 
 
+def q_stopped_appended_backup(spark, d):
+    """A stream that holds the first and last third only, a batch append, then the stream over all files."""
+    events = tv.table(spark, d, "events")
+    folder, path, log = scratch_path(spark, "thirds"), scratch_path(spark, "stopped-appended"), _events(spark, d)
+    top = events.agg(F.max("event_id").alias("n")).first()["n"] or 0
+    middle = F.col("event_id").between(F.lit(top // 3), F.lit(2 * top // 3))
+    for some in (~middle, middle):
+        events.where(some).write.mode("append").parquet(folder)
+        incremental_backup(tv.events_as_log(tv.file_stream(spark, events.schema, folder)), path)
+        backup(log, tv.nation_commits(spark, d, ops.end_offsets(log)), path, mode="append")
+    return _show(snap.read_messages(spark, path), *_shown_headers())
+
+
 def q_binary_roundtrip(spark, d):
     log = tv.hashed_log(spark, d)
     path = scratch_path(spark, "binary")
@@ -481,6 +494,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mixed_backup_commits": q_mixed_backup_commits,
     "stream_increments": q_stream_increments,
     "stopped_backup": q_stopped_backup,
+    "stopped_appended_backup": q_stopped_appended_backup,
     "binary_roundtrip": q_binary_roundtrip,
     "ordered_partition_read": q_ordered_partition_read,
     "publish_order": q_publish_order,
@@ -751,6 +765,7 @@ SELECT {_SHOWN} FROM events_log""",
 SELECT * FROM events_log_captured""",
     "stream_increments": _EVENTS_ROWS,
     "stopped_backup": _EVENTS_ROWS,
+    "stopped_appended_backup": _EVENTS_ROWS,
     "binary_roundtrip": _with(_EVENTS_LOG) + """
 SELECT topic, "partition", "offset", md5(CAST("offset" AS VARCHAR)) AS key, md5(topic || ':' || "offset") AS value FROM events_log""",
     "ordered_partition_read": _with(_EVENTS_LOG) + """

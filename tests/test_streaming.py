@@ -163,3 +163,33 @@ def test_stream_topics_and_null_keys(spark, scratch):
     with pytest.raises(Exception, match="null key"):
         incremental_backup(unkeyed, os.path.join(scratch, "unkeyed"))
     assert incremental_backup(unkeyed, os.path.join(scratch, "kept"), null_key="keep").rows == log.count()
+
+
+def test_append_to_a_stopped_stream_fills_its_gaps(spark, scratch):
+    from builders import commits_df, messages
+    from tidemark.plans import backup
+    from tidemark.schemas import LOG
+    log = messages(spark, "t", 0, range(111)).cache()
+    files = ["offset < 6", "offset >= 100", "offset between 6 and 99"]
+    for name, first in (("one-increment", [" or ".join(files[:2])]), ("two-increments", files[:2])):
+        src, path = os.path.join(scratch, name, "src"), os.path.join(scratch, name, "snap")
+        stream = lambda: spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(src)      # noqa: E731
+        for part in first:
+            log.where(part).coalesce(1).write.mode("append").parquet(src)
+        assert incremental_backup(stream(), path).rows == 17
+        assert backup(log, commits_df(spark, []), path, mode="append").messages == 94
+        log.where(files[2]).coalesce(1).write.mode("append").parquet(src)
+        assert incremental_backup(stream(), path).rows == 0
+        assert sorted(r.offset for r in read_messages(spark, path).collect()) == list(range(111))
+
+
+def test_a_stream_fills_gaps_of_a_batch(spark, scratch):
+    from builders import commits_df, messages
+    from tidemark.plans import backup
+    from tidemark.schemas import LOG
+    log = messages(spark, "t", 0, range(20)).cache()
+    src, path = os.path.join(scratch, "src"), os.path.join(scratch, "snap")
+    backup(log.where("offset in (0, 3, 12)"), commits_df(spark, []), path)
+    log.coalesce(1).write.parquet(src)
+    assert incremental_backup(spark.readStream.schema(LOG).parquet(src), path).rows == 17
+    assert sorted(r.offset for r in read_messages(spark, path).collect()) == list(range(20))

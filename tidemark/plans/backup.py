@@ -20,7 +20,7 @@ from tidemark.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_checked
 from tidemark.plans.report import snapshot_report
 from tidemark.schemas import ENDS, conform
 from tidemark.session import materialize
-from tidemark.sinks.snapshot import held_ends, write_increment
+from tidemark.sinks.snapshot import held_offsets, write_increment
 
 
 class MissingTopicsError(ValueError):
@@ -65,16 +65,20 @@ def check_topics(log: DataFrame, topics: Iterable[str] | None, ignore_missing_to
 
 def after_snapshot(spark, snap: DataFrame, path: str, without_prefix: str | None = None,
                    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Rows of ``snap`` at or past the end of what the snapshot at ``path`` holds.
-
-    The held ends come from the snapshot's state, not from its messages;
-    partitions the snapshot lacks pass whole."""
-    held = held_ends(spark, path, without_prefix)
-    if held is None:
-        return snap
-    held, n_held = materialize(held.select("topic", "partition", F.col("high").alias("_held")))
-    joined = join_checked(snap, held, ["topic", "partition"], "left", max_broadcast_rows, known_rows=n_held)
-    return joined.where(F.col("_held").isNull() | (F.col("offset") >= F.col("_held"))).select(*snap.columns)
+    """Rows of ``snap`` whose offset the snapshot at ``path`` does not hold.
+
+    Where an increment has no gaps its range tells, from the snapshot's state; offsets of increments
+    with gaps (files of a stopped stream, compacted logs) are compared one by one.  Partitions the snapshot lacks pass whole."""
+    ranges, offsets = held_offsets(spark, path, without_prefix)
+    out = snap
+    if ranges is not None:
+        held, n_held = materialize(ranges.select("topic", "partition", F.col("ranges").alias("_held")))
+        within = F.exists("_held", lambda r: (F.col("offset") >= r["low"]) & (F.col("offset") < r["high"]))
+        out = (join_checked(out, held, ["topic", "partition"], "left", max_broadcast_rows, known_rows=n_held)
+               .where(~F.coalesce(within, F.lit(False))).select(*snap.columns))
+    if offsets is not None:
+        out = out.join(offsets, ["topic", "partition", "offset"], "left_anti").select(*snap.columns)
+    return out
 
 
 def backup(log: DataFrame, commits: DataFrame, path: str, topics: Iterable[str] | None = None,
@@ -91,7 +95,7 @@ def backup(log: DataFrame, commits: DataFrame, path: str, topics: Iterable[str]
     read from a broker are unique by construction, so it is off by default.
 
     ``mode="append"`` adds an increment to an existing snapshot, whether batch
-    or stream wrote it: only offsets at or past the snapshot's end per partition
+    or stream wrote it: only offsets that the snapshot does not hold
     are written, so increments never repeat an offset, and the new capture
     takes the place of the old commits.  A backup that fails leaves the
     snapshot as it was; with ``overwrite`` the old one goes first."""

@@ -9,7 +9,8 @@ Layout of a snapshot folder::
 An increment is written in this order: messages, commits, state.  Readers look at
 the state first and see complete increments only, so a job that dies half-way leaves
 nothing visible, and writing the same increment again replaces what it left.  The state
-holds each increment's end offsets, so an append needs no look at old messages.
+holds each increment's end offsets and how many offsets lie between, so an append needs no look at old messages
+but those of increments with gaps.
 """
 from __future__ import annotations
 
@@ -17,7 +18,7 @@ import logging
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,9 +33,9 @@ MESSAGES_DIR = "messages"
 COMMITS_DIR = "commits"
 STATE_DIR = "state"
 INCREMENT = T.StructField("increment", T.StringType(), True)
-# one row with a null topic for the increment itself, then one for each partition it holds
+# one row with a null topic for the increment itself, then one for each partition it holds; offsets: the distinct ones
 STATE = T.StructType([T.StructField("seq", T.LongType(), True), T.StructField("has_commits", T.BooleanType(), True),
-                      *ENDS.fields, INCREMENT])
+                      *ENDS.fields, T.StructField("offsets", T.LongType(), True), INCREMENT])
 
 # offsets per write chunk: a hot partition is spread over many tasks in
 # chunks of this many offsets, each task sorts only its own chunks
@@ -84,6 +85,34 @@ def held_ends(spark: SparkSession, path: str, without_prefix: str | None = None)
     return conform(rows.groupBy("topic", "partition").agg(F.min("low").alias("low"), F.max("high").alias("high")), ENDS)
 
 
+def held_offsets(spark: SparkSession, path: str, without_prefix: str | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """What the complete increments hold: (topic, partition, ranges) of those without gaps, joined where they
+    meet (low, and high exclusive), and (topic, partition, offset) of those with gaps, read from their messages.
+
+    None for either where there is nothing.  An increment whose state does not tell its offsets counts as one with gaps."""
+    state = read_state(spark, path)
+    if state is None:
+        return None, None
+    rows = state.where(F.col("low").isNotNull())
+    if without_prefix is not None:
+        rows = rows.where(~F.col("increment").startswith(without_prefix))
+    rows, n = materialize(rows.select("increment", "topic", "partition", "low", "high",
+                                      F.coalesce(F.col("offsets") == F.col("high") - F.col("low"), F.lit(False)).alias("dense")))
+    if not n:
+        return None, None
+    by = Window.partitionBy("topic", "partition").orderBy("low", "high")
+    before = F.max("high").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    joined = (rows.where("dense").withColumn("_new", F.coalesce(F.col("low") > before, F.lit(True)).cast("long"))
+              .withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+              .groupBy("topic", "partition", "_run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+              .groupBy("topic", "partition").agg(F.collect_list(F.struct("low", "high")).alias("ranges")))
+    names = [r.increment for r in rows.where("not dense").select("increment").distinct().collect()]
+    if not names:
+        return joined, None
+    gapped = spark.read.schema(T.StructType([*LOG.fields, INCREMENT])).parquet(messages_path(path)).where(F.col("increment").isin(names))
+    return joined, gapped.select("topic", "partition", "offset")
+
+
 def write_messages(log: DataFrame, path: str, increment: str, file_span: int = DEFAULT_FILE_SPAN,
                    num_partitions: int | None = None,
                    max_records_per_file: int = DEFAULT_MAX_RECORDS_PER_FILE,
@@ -151,11 +180,12 @@ def write_increment(log: DataFrame, path: str, commits: DataFrame | None = None,
         write_commits(commits, path, name)
     # three columns of this increment's own files
     mine = spark.read.schema(LOG).parquet(f"{messages_path(path)}/increment={name}")
-    ends, partitions = materialize(end_offsets(mine))
+    ends, partitions = materialize(end_offsets(mine).join(
+        mine.groupBy("topic", "partition").agg(F.count_distinct("offset").alias("offsets")), ["topic", "partition"]))
     if messages is None:
         messages = mine.count()
     own = spark.createDataFrame([(None, None, None, None)], ENDS)
-    rows = own.unionByName(ends).select(F.lit(seq).cast("long").alias("seq"), F.lit(commits is not None).alias("has_commits"), "*")
+    rows = own.unionByName(ends, allowMissingColumns=True).select(F.lit(seq).cast("long").alias("seq"), F.lit(commits is not None).alias("has_commits"), "*")
     rows.coalesce(1).write.mode("overwrite").parquet(f"{state_path(path)}/increment={name}")
     logger.info("increment %s of %s: %d messages in %d partitions", name, path, messages, partitions)
     return messages

@@ -5,7 +5,7 @@ checkpoint remembers the source position, so the next run takes only what arrive
 since.  Every micro-batch goes through the snapshot writer (``foreachBatch``) as an
 increment of its own, named by the checkpoint and the batch: a batch that Spark runs again
 after a failure replaces what its first attempt left.  Batch and streaming backups share one
-layout and may add to one snapshot: only offsets past the ends of what others wrote there are
+layout and may add to one snapshot: only offsets that others did not write there are
 written.  What the stream itself wrote does not count for that: its checkpoint keeps rows from coming
 twice, and files may arrive in any order of offsets.
 
