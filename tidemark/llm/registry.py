@@ -1,7 +1,7 @@
 """The registered queries of this subpackage, one for each operator, and their SQL."""
 from __future__ import annotations
 
-from tidemark.llm import (decontaminate, html_wrapper, mixing, near_dedup, pii_feistel, quality, secret_ledger,
+from tidemark.llm import (bpe, decontaminate, html_wrapper, mixing, near_dedup, pii_feistel, quality, secret_ledger,
                           substring_dedup, suffix_dedup, url_filter)
 
 QUERIES = {
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.query,
     "op9_source_mixing": mixing.query,
     "op10_benchmark_decontamination": decontaminate.query,
+    "op12_bpe": bpe.query,
 }
 
 ORACLE_SQL = {
