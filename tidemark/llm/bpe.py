@@ -20,7 +20,6 @@ empty text.  Input columns named like the output give way to it.  Empty table: e
 from __future__ import annotations
 
 import functools
-import hashlib
 import heapq
 import json
 import re
@@ -221,35 +220,25 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNITS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
 
 
-class Encoder:
-    """Texts to ids, with a bounded memory of words."""
+class UnitEncoder:
+    """Texts to ids through units that encode alike wherever they stand, with a bounded memory of units."""
 
-    def __init__(self, vocab: Vocabulary):
-        import regex
+    cut_special: re.Pattern | None = None
+    special: dict[str, int] = {}
 
-        self.vocab = vocab
-        self.findall = regex.compile(PATTERN).findall
+    def __init__(self):
         self.known: dict[str, bytes] = {}
 
     def units(self, text: str) -> list[str]:
-        """Runs of ``text`` in which the pattern cuts alike whatever stands around them: a run without white
-        space and the space before it, or white space."""
-        if _BEYOND.search(text) and _newer_characters().search(text):
-            from tokenizers import pre_tokenizers
+        raise NotImplementedError
 
-            cut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str(text)
-            return [text[a:b] for _, (a, b) in cut]
-        return _UNITS(text)
-
-    def words(self, unit: str) -> list[str]:
-        """The words of a unit."""
-        if not unit.isascii() and _BEYOND.search(unit) and _newer_characters().search(unit):
-            return [unit]       # cut already
-        return self.findall(unit)
+    def unit_ids(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit as int32 bytes."""
+        raise NotImplementedError
 
     def segments(self, text: str, specials: bool):
         """Pieces of a text that encode independently: (text, id of a special token or None)."""
-        cut = self.vocab.cut_special if specials else None
+        cut = self.cut_special if specials else None
         at = 0
         for m in [*cut.finditer(text), None] if cut else [None]:
             end = m.start() if m else len(text)
@@ -261,19 +250,15 @@ class Encoder:
                 yield text[at:stop], None
                 at = stop
             if m:
-                yield "", self.vocab.special[m.group()]
+                yield "", self.special[m.group()]
                 at = m.end()
 
     def learn(self, units: set[str]) -> None:
-        """Make the ids (as int32 bytes) of ``units`` known; when too many are, all but these are forgotten."""
+        """Make the ids of ``units`` known; when too many are, all but these are forgotten."""
         if len(self.known) > CACHE_UNITS:
             self.known = {}
-        known = self.known
-        cut = [(u, self.words(u)) for u in units if u not in known]
-        new = list({w for _, words in cut for w in words if w not in known})
-        fresh = dict(zip(new, merge_words(self.vocab, [w.encode() for w in new])))
-        for unit, words in cut:
-            known[unit] = fresh[unit] if len(words) == 1 and unit in fresh else b"".join([fresh[w] if w in fresh else known[w] for w in words])
+        new = [u for u in units if u not in self.known]
+        self.known.update(zip(new, self.unit_ids(new)))
 
     def encode(self, texts: list[str], specials: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's ids begin (and the last ones end)."""
@@ -284,15 +269,15 @@ class Encoder:
 
         def flush() -> None:
             nonlocal held
-            units = set().union(*[w for _, w in waiting if isinstance(w, list)])
+            units = set().union(*[u for _, u in waiting if isinstance(u, list)])
             self.learn(units)
-            for i, w in waiting:
-                piece = b"".join(map(self.known.__getitem__, w)) if isinstance(w, list) else np.int32(w).tobytes()
+            for i, u in waiting:
+                piece = b"".join(map(self.known.__getitem__, u)) if isinstance(u, list) else np.int32(u).tobytes()
                 parts.append(piece)
                 ends[i + 1] += len(piece) // 4
-            for w in units:
-                if len(w) > CACHED_CHARS:
-                    del self.known[w]
+            for u in units:
+                if len(u) > CACHED_CHARS:
+                    del self.known[u]
             waiting.clear()
             held = 0
 
@@ -306,15 +291,48 @@ class Encoder:
         return np.frombuffer(b"".join(parts), np.int32), np.cumsum(ends)
 
 
+class Encoder(UnitEncoder):
+    """Byte-level BPE by rank arrays."""
+
+    def __init__(self, vocab: Vocabulary):
+        import regex
+
+        super().__init__()
+        self.vocab, self.special, self.cut_special = vocab, vocab.special, vocab.cut_special
+        self.findall = regex.compile(PATTERN).findall
+
+    def units(self, text: str) -> list[str]:
+        """Runs of ``text`` in which the pattern cuts alike whatever stands around them: a run without white
+        space and the space before it, or white space."""
+        if _BEYOND.search(text) and _newer_characters().search(text):
+            from tokenizers import pre_tokenizers
+
+            cut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str(text)
+            return [text[a:b] for _, (a, b) in cut]
+        return _UNITS(text)
+
+    def words(self, unit: str) -> list[str]:
+        if not unit.isascii() and _BEYOND.search(unit) and _newer_characters().search(unit):
+            return [unit]       # cut already
+        return self.findall(unit)
+
+    def unit_ids(self, units: list[str]) -> list[bytes]:
+        known = self.known
+        cut = [self.words(u) for u in units]
+        new = list({w for words in cut for w in words if w not in known})
+        fresh = dict(zip(new, merge_words(self.vocab, [w.encode() for w in new])))
+        return [b"".join([fresh[w] if w in fresh else known[w] for w in words]) for words in cut]
+
+
 _LOADED: dict[str, object] = {}
 
 
-def loaded(kind, content: bytes):
-    """``kind(content)``, built once for each worker and content (the last one of a kind stays)."""
-    key = hashlib.sha256(content).hexdigest()
-    if _LOADED.get(kind.__name__, (None, None))[0] != key:
-        _LOADED[kind.__name__] = (key, kind(content))
-    return _LOADED[kind.__name__][1]
+def loaded(make, content: bytes, *parts: bytes):
+    """``make(content)`` or ``make(*parts)``, built once for each worker and content (the last one of a kind stays)."""
+    key = hash(content)
+    if _LOADED.get(make.__name__, (None, None))[0] != key:
+        _LOADED[make.__name__] = (key, make(*parts or (content,)))
+    return _LOADED[make.__name__][1]
 
 
 def make_encoder(content: bytes) -> Encoder:

@@ -1,7 +1,7 @@
 """The registered queries of this subpackage, one for each operator, and their SQL."""
 from __future__ import annotations
 
-from tidemark.llm import (bpe, decontaminate, html_wrapper, mixing, near_dedup, pii_feistel, quality, secret_ledger,
+from tidemark.llm import (alignment, bpe, conversations, decontaminate, html_wrapper, mixing, near_dedup, pii_feistel, quality, secret_ledger,
                           substring_dedup, suffix_dedup, url_filter)
 
 QUERIES = {
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_quality_rules": quality.query,
     "op9_source_mixing": mixing.query,
     "op10_benchmark_decontamination": decontaminate.query,
+    "op11_conversation_repair": conversations.query,
     "op12_bpe": bpe.query,
+    "op13_tokenizer_alignment": alignment.query,
 }
 
 ORACLE_SQL = {
@@ -24,4 +26,5 @@ ORACLE_SQL = {
     "op4_secret_ledger": secret_ledger.ORACLE_SQL,
     "op9_source_mixing": mixing.ORACLE_SQL,
     "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op11_conversation_repair": conversations.ORACLE_SQL,
 }
