@@ -8,25 +8,29 @@ result and the DuckDB oracle compare value by value.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import operators as ops
 from tidemark.functions import decode_headers, encode_headers, epoch_millis, ntz_to_instant
 from tidemark.functions.groups import IGNORE_GROUP_PATTERN
-from tidemark.plans import backup, publish, restore_plan, snapshot_report, target_mismatches
+from tidemark.operators.offset_sets import missing_ranges
+from tidemark.plans import backup, publish, restore_plan, snapshot_missing, snapshot_report, target, target_mismatches
 from tidemark.session import materialize, scratch_path
+from tidemark.sinks.snapshot import messages_path, remove_replaced
 from tidemark.sources import snapshot as snap
-from tidemark.streaming import incremental_backup
+from tidemark.streaming import incremental_backup, repeats_of, run_audit, seen_sets
 from tidemark.sources import tables as tv
 
 try:        # the training-data operators are an optional subpackage
     import corpus_pipeline
     from tidemark.llm import registry as llm
-except ImportError:
+except ImportError as why:
+    logging.getLogger(__name__).warning("the training-data queries are left out: %s", why)
     corpus_pipeline = llm = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -40,7 +44,8 @@ UNREACHED_TOPIC = "system"
 SNAPSHOT_TOPICS = ["click", "view"]
 BACKUP_TOPICS = ["click", "view", "audit"]
 STOP_AFTER_SECONDS = 2.0
-WAVE_OFFSETS = 5000
+WAVES = 4           # of the largest partition
+PART_FILES = 4      # files of each third of the events
 
 
 # ---------------------------------------------------------------- helpers
@@ -386,8 +391,8 @@ def q_ordered_partition_read(spark, d):
 def q_publish_order(spark, d):
     """Places of the messages inside their partition, wave after wave."""
     path = _snapshot(spark, d)
-    waves = publish.publish_waves(snap.read_messages(spark, path), snap.read_ends(spark, path),
-                                  wave_offsets=WAVE_OFFSETS, keep_offset=True)
+    largest = snap.read_counts(spark, path).agg(F.max("messages").alias("n")).first()["n"]       # from the snapshot's state
+    waves = publish.publish_waves(snap.read_messages(spark, path), wave_messages=-(-largest // WAVES), keep_offset=True)
     sent = [f.withColumn("sent", F.monotonically_increasing_id() + F.lit(w << 50)) for w, f in enumerate(waves)]
     return _places(reduce(DataFrame.unionByName, sent), F.col("sent"))
 
@@ -447,6 +452,143 @@ def q_backup_report(spark, d):
                   ends=ops.end_offsets(early)).report()
 
 
+def _thirds(spark, d, name):
+    """The events as files that arrive in the order first third, last third, middle third; a stream of two thirds a micro-batch."""
+    events, folder = tv.table(spark, d, "events"), scratch_path(spark, name)
+    top = events.agg(F.max("event_id").alias("n")).first()["n"] or 0
+    third = F.expr(f"event_id * 3 div {top + 1}")
+    for part in (0, 2, 1):
+        events.where(third == part).repartition(PART_FILES).write.mode("append").parquet(folder)
+    return lambda: tv.events_as_log(tv.file_stream(spark, events.schema, folder, max_files_per_trigger=2 * PART_FILES))
+
+
+def _stopped(spark, d):
+    """A snapshot of a stream that was stopped after its first micro-batch: the middle third is missing."""
+    stream, path = _thirds(spark, d, "thirds-arriving"), scratch_path(spark, "stopped-early")
+    incremental_backup(stream(), path, max_batches=1)
+    return path, stream
+
+
+def q_stopped_report(spark, d):
+    """A stopped stream's report: offsets missing before the last one held count as remaining."""
+    return snapshot_report(spark, _stopped(spark, d)[0], ops.end_offsets(_events(spark, d)))
+
+
+def q_stopped_missing(spark, d):
+    return snapshot_missing(spark, _stopped(spark, d)[0], ops.end_offsets(_events(spark, d)))
+
+
+def q_resumed_report(spark, d):
+    """The report after the next run came to its end: the log's own gaps are no holes."""
+    path, stream = _stopped(spark, d)
+    incremental_backup(stream(), path)
+    return snapshot_report(spark, path, ops.end_offsets(_events(spark, d)))
+
+
+def q_backup_progress(spark, d):
+    """Progress of two runs, the first one stopped after a micro-batch."""
+    path, stream = _stopped(spark, d)
+    incremental_backup(stream(), path)
+    rows = snap.read_progress(spark, path)
+    first = rows.groupBy("run").agg(F.min("at").alias("began"))
+    number = first.select("run", F.row_number().over(Window.orderBy("began")).alias("run_no"))      # one row a run
+    return rows.join(number, "run").select("run_no", "batch", "seen", "written", "outcome")
+
+
+def q_bounded_stream(spark, d):
+    """A stream up to the ends seen before CUT_TIME, then one without a bound: what each left in the snapshot."""
+    log, path = _events(spark, d), scratch_path(spark, "bounded")
+    early = log.where(F.col("timestamp") < ntz_to_instant(F.lit(CUT_TIME).cast("timestamp_ntz")))
+    stream = lambda: tv.events_as_log(tv.events_stream(spark, d))      # noqa: E731
+    incremental_backup(stream(), path, ends=ops.end_offsets(early))
+    first, _ = materialize(snap.read_messages(spark, path).select("topic", "partition", "offset", F.lit(1).alias("run_no")))
+    incremental_backup(stream(), path)
+    return first.unionByName(snap.read_messages(spark, path).select("topic", "partition", "offset", F.lit(2).alias("run_no")))
+
+
+def q_merged_backup(spark, d):
+    """Many small increments, merged into one whose old folders are removed."""
+    events, folder, path = tv.table(spark, d, "events"), scratch_path(spark, "small-files"), scratch_path(spark, "merged")
+    events.repartition(6, "event_id").write.parquet(folder)
+    incremental_backup(tv.events_as_log(tv.file_stream(spark, events.schema, folder, max_files_per_trigger=1)), path, merge_above=3)
+    remove_replaced(spark, path)
+    return _show(snap.read_messages(spark, path), *_shown_headers())
+
+
+def q_snapshot_counts(spark, d):
+    """Messages and offsets of a snapshot of two increments, from its state."""
+    log = _events(spark, d)
+    early = log.where(F.col("timestamp") < ntz_to_instant(F.lit(CUT_TIME).cast("timestamp_ntz")))
+    raw, path = tv.nation_commits(spark, d, ops.end_offsets(log)), scratch_path(spark, "counted")
+    backup(log, raw, path, ends=ops.end_offsets(early))
+    backup(log, raw, path, mode="append")
+    return snap.read_counts(spark, path)
+
+
+def q_damaged_partitions(spark, d):
+    """A snapshot into whose folders somebody put files: messages twice in one partition, of another one in the next."""
+    path, log = _snapshot(spark, d), _events(spark, d)
+    increment = snap.read_state(spark, path).where("own").first()["increment"]
+    stray = log.where("topic = 'click' AND partition = 1").drop("topic", "partition")
+    for place in ("topic=click/partition=1", "topic=view/partition=2"):
+        stray.write.mode("append").parquet(f"{messages_path(path)}/increment={increment}/{place}")
+    return snap.damaged_partitions(spark, path)
+
+
+def _read_back(spark, d):
+    """A target that held messages before, and got the first half of the odd partitions twice (a retried task)."""
+    log = _events(spark, d)
+    sent = ops.with_target_offsets(publish.publish_frame(log, keep_offset=True, offset_header=publish.OFFSET_HEADER))
+    sent = sent.join(ops.partition_counts(log), ["topic", "partition"])
+    base, half = F.lit(100) + F.col("partition") * 10, F.when(F.col("partition") % 2 == 1, F.expr("messages div 2")).otherwise(F.lit(0))
+    rank = F.col("target_offset")
+    places = F.array(F.when(rank < 5, rank), F.when(rank < half, base + rank), base + half + rank)
+    back = sent.select("topic", "partition", "key", "value", "headers", F.lit(None).cast("timestamp").alias("timestamp"),
+                       F.explode(F.array_compact(places)).alias("offset"))
+    before = ops.end_offsets(log).withColumns({"low": F.lit(0), "high": 100 + F.col("partition") * 10})
+    return back, before
+
+
+def q_target_deliveries(spark, d):
+    return target.delivered(*_read_back(spark, d))
+
+
+def q_target_plan(spark, d):
+    """The commit plan in the target's true offsets, after what it held and what came twice."""
+    back, before = _read_back(spark, d)
+    found, _ = materialize(target.delivered(back, before))
+    return target.translate_to_target(found, _captured(spark, d, _events(spark, d)), ops.end_offsets(back))
+
+
+def _audited(spark, d):
+    """The audit of the lineitem log as a stream of three files."""
+    li, folder, path = tv.table(spark, d, "lineitem"), scratch_path(spark, "repeating"), scratch_path(spark, "audit")
+    li.repartition(3, "l_suppkey").write.parquet(folder)
+    schema = tv.lineitem_log(spark, d).schema
+    log = tv.lineitem_as_log(tv.file_stream(spark, li.schema, folder, max_files_per_trigger=1))
+    assert log.schema == schema
+    run_audit(log, path)
+    return spark.read.parquet(f"{path}/audit")
+
+
+def q_stream_repeats(spark, d):
+    """Offsets that a stream brought again, in whatever micro-batch."""
+    return repeats_of(_audited(spark, d))
+
+
+def q_stream_missing(spark, d):
+    """Ranges between a stream's offsets, from its keyed state."""
+    ends, _ = materialize(ops.end_offsets(tv.lineitem_log(spark, d)))
+    return missing_ranges(ends, seen_sets(_audited(spark, d))).checkpoint()
+
+
+def q_group_offset_lists(spark, d):
+    log = _events(spark, d)
+    grouped = ops.group_commits(ops.translate_offsets(log, _captured(spark, d, log)), "new_offset")
+    return grouped.select("consumer_group", F.posexplode("offsets").alias("place", "o")).select(
+        "consumer_group", "place", "o.topic", "o.partition", "o.offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "log_rows": q_log_rows,
     "topic_catalog": q_topic_catalog,
@@ -508,6 +650,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "translate_all_commits": q_translate_all_commits,
     "snapshot_topic_report": q_snapshot_topic_report,
     "backup_report": q_backup_report,
+    "stopped_report": q_stopped_report,
+    "stopped_missing": q_stopped_missing,
+    "resumed_report": q_resumed_report,
+    "backup_progress": q_backup_progress,
+    "bounded_stream": q_bounded_stream,
+    "merged_backup": q_merged_backup,
+    "snapshot_counts": q_snapshot_counts,
+    "damaged_partitions": q_damaged_partitions,
+    "target_deliveries": q_target_deliveries,
+    "target_plan": q_target_plan,
+    "stream_repeats": q_stream_repeats,
+    "stream_missing": q_stream_missing,
+    "group_offset_lists": q_group_offset_lists,
 }
 
 
@@ -609,6 +764,26 @@ order_commits AS (
        unnest([{'topic': t, 'p': 1}, {'topic': t, 'p': 99}, {'topic': NULL, 'p': 1}]) AS u(spot)
   WHERE k = instr('FOP', o_orderstatus) - 1)"""
 
+_THIRDS = _EVENTS_LOG + f""",
+thirds AS (SELECT *, event_id * 3 // (SELECT max(event_id) + 1 FROM events) AS third FROM events_log),
+held AS (SELECT * FROM thirds WHERE third <> 1),""" + _ends("events_log") + """,
+inner_range AS (
+  SELECT e.topic, e."partition", e.low, e.high, h.last_read
+  FROM events_log_ends e LEFT JOIN (SELECT topic, "partition", max("offset") AS last_read FROM held GROUP BY 1, 2) h
+    ON e.topic = h.topic AND e."partition" = h."partition"),
+holes AS (
+  SELECT topic, "partition", before + 1 AS low, "offset" AS high FROM (
+    SELECT h.topic, h."partition", h."offset",
+           coalesce(lag(h."offset") OVER (PARTITION BY h.topic, h."partition" ORDER BY h."offset"), r.low - 1) AS before
+    FROM held h JOIN inner_range r ON h.topic = r.topic AND h."partition" = r."partition")
+  WHERE "offset" > before + 1)"""
+_TARGET = _EV + """,
+ranked AS (
+  SELECT topic, "partition", "offset", row_number() OVER (PARTITION BY topic, "partition" ORDER BY "offset") - 1 AS r,
+         100 + "partition" * 10 AS base,
+         CASE WHEN "partition" % 2 = 1 THEN count(*) OVER (PARTITION BY topic, "partition") // 2 ELSE 0 END AS half
+  FROM events_log)"""
+
 ORACLE: dict[str, str] = {
     "log_rows": _with(_EVENTS_LOG) + f"""
 SELECT {_SHOWN} FROM events_log""",
@@ -802,6 +977,50 @@ FROM events_log_ends WHERE topic IN ('click', 'view')""",
 SELECT topic, "partition", min("offset") AS low, max("offset") + 1 AS high, max("offset") AS last_read, 'done' AS status,
        CAST(0 AS BIGINT) AS remaining
 FROM events_log WHERE ts < TIMESTAMP '{CUT_TIME}' GROUP BY topic, "partition" """,
+    "stopped_report": _with(_THIRDS) + """
+SELECT r.topic, r."partition", r.low, r.high, last_read,
+       CASE WHEN last_read IS NULL THEN 'not_consumed' WHEN last_read >= r.high - 1 AND n IS NULL THEN 'done' ELSE 'remaining' END AS status,
+       CASE WHEN last_read IS NOT NULL THEN (greatest(r.high - 1 - last_read, 0) + coalesce(n, 0))::BIGINT END AS remaining
+FROM inner_range r LEFT JOIN (SELECT topic, "partition", sum(high - low) AS n FROM holes GROUP BY 1, 2) h
+  ON r.topic = h.topic AND r."partition" = h."partition" """,
+    "stopped_missing": _with(_THIRDS) + """
+SELECT topic, "partition", low, high FROM holes""",
+    "resumed_report": _with(_EVENTS_LOG, _ends("events_log")) + """
+SELECT topic, "partition", low, high, high - 1 AS last_read, 'done' AS status, CAST(0 AS BIGINT) AS remaining FROM events_log_ends""",
+    "backup_progress": _with(_THIRDS) + """
+, n AS (SELECT count_if(third <> 1) AS first, count_if(third = 1) AS second FROM thirds)
+SELECT 1 AS run_no, 0 AS batch, first AS seen, first AS written, NULL AS outcome FROM n
+UNION ALL SELECT 1, NULL, first, first, 'batch limit' FROM n
+UNION ALL SELECT 2, 1, second, second, NULL FROM n
+UNION ALL SELECT 2, NULL, second, second, 'finished' FROM n""",
+    "bounded_stream": _with(_EVENTS_LOG) + f"""
+, early AS (SELECT topic, "partition", max("offset") + 1 AS high FROM events_log WHERE ts < TIMESTAMP '{CUT_TIME}' GROUP BY 1, 2)
+SELECT l.topic, l."partition", l."offset", 1 AS run_no
+FROM events_log l JOIN early e ON l.topic = e.topic AND l."partition" = e."partition" WHERE l."offset" < e.high
+UNION ALL SELECT topic, "partition", "offset", 2 FROM events_log""",
+    "merged_backup": _EVENTS_ROWS,
+    "snapshot_counts": _with(_EVENTS_LOG) + """
+SELECT topic, "partition", count(*) AS messages, count(DISTINCT "offset") AS offsets FROM events_log GROUP BY topic, "partition" """,
+    "damaged_partitions": _with(_EVENTS_LOG) + """
+, n AS (SELECT topic, "partition", count(*) AS messages FROM events_log GROUP BY topic, "partition"),
+stray AS (SELECT messages AS more FROM n WHERE topic = 'click' AND "partition" = 1)
+SELECT topic, "partition", messages, messages + more AS found FROM n, stray
+WHERE (topic = 'click' AND "partition" = 1) OR (topic = 'view' AND "partition" = 2)""",
+    "target_deliveries": _with(_TARGET) + """
+SELECT topic, "partition", "offset", base + half + r AS target_offset, CASE WHEN r < half THEN 2 ELSE 1 END AS copies FROM ranked""",
+    "target_plan": _with(_TARGET, _translated("events_log")) + """
+SELECT t.consumer_group, t.topic, t."partition", t.committed, t.new_offset + p.base + p.half AS new_offset
+FROM events_log_translated t JOIN (SELECT DISTINCT topic, "partition", base, half FROM ranked) p
+  ON t.topic = p.topic AND t."partition" = p."partition" """,
+    "stream_repeats": _with(_LINEITEM_LOG) + """
+SELECT topic, "partition", "offset", count(*) - 1 AS repeats FROM li_log GROUP BY topic, "partition", "offset" HAVING count(*) > 1""",
+    "stream_missing": _with(_LINEITEM_LOG) + """
+SELECT topic, "partition", before + 1 AS low, "offset" AS high FROM (
+  SELECT topic, "partition", "offset", lag("offset") OVER (PARTITION BY topic, "partition" ORDER BY "offset") AS before FROM li_unique)
+WHERE "offset" > before + 1""",
+    "group_offset_lists": _with(_EV, _translated("events_log")) + """
+SELECT consumer_group, row_number() OVER (PARTITION BY consumer_group ORDER BY topic, "partition", new_offset) - 1 AS place,
+       topic, "partition", new_offset AS "offset" FROM events_log_translated""",
 }
 
 

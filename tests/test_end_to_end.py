@@ -77,7 +77,7 @@ def test_restore_publishes_then_returns_the_plan(spark, scratch):
         frame.write.parquet(out)
         sent.append(out)
 
-    plan = restore(spark, path, sink, topics=["click"], wave_offsets=300)
+    plan = restore(spark, path, sink, topics=["click"], wave_messages=20)
     assert len(sent) > 2 and spark.read.parquet(*sent).count() == log.where("topic = 'click'").count()
     assert plan.count() > 0 and {r.topic for r in plan.select("topic").distinct().collect()} == {"click"}
 

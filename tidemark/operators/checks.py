@@ -1,7 +1,7 @@
 """Constraint checks of a snapshot: null keys, null commit topics, duplicate offsets."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.schemas import LOG
@@ -44,9 +44,8 @@ def latest_per_offset(log: DataFrame) -> DataFrame:
     """One message per (topic, partition, offset): the last one wins.
 
     "Last" is the greatest (timestamp, key, value, headers), an explicit total
-    order.  One aggregation, so the payload is shuffled once at any size; its
-    partial step absorbs a key that repeats often."""
+    order.  One exchange and one sort: the row that no other follows in its
+    key's window (a rank with a limit would sort the payload twice)."""
     key = ["topic", "partition", "offset"]
-    payload = ["timestamp", "key", "value", "headers"]
-    best = log.groupBy(*key).agg(F.max(F.struct(*payload)).alias("best"))
-    return best.select(*[f.name if f.name in key else F.col(f"best.{f.name}").alias(f.name) for f in LOG.fields])
+    order = Window.partitionBy(*key).orderBy("timestamp", "key", "value", "headers")
+    return log.withColumn("_follows", F.lead(F.lit(1)).over(order)).where(F.col("_follows").isNull()).select(*[f.name for f in LOG.fields])

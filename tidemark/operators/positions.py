@@ -29,5 +29,6 @@ def with_target_offsets(log: DataFrame, bucket_span: int = DEFAULT_BUCKET_SPAN)
     # key/value only break ties of duplicated offsets, which a valid log lacks
     in_bucket = Window.partitionBy(*place, "bucket").orderBy("offset", "key", "value")
     ranked = placed.withColumn("rank_in_bucket", F.row_number().over(in_bucket) - 1)
-    return (ranked.join(bases, [*place, "bucket"])
+    # merged where the window's shuffle and sort left the messages: their payload is never broadcast, however small it looks
+    return (ranked.join(bases.hint("merge"), [*place, "bucket"])
             .select(*cols, (F.col("base") + F.col("rank_in_bucket")).cast("long").alias("target_offset")))

@@ -15,8 +15,9 @@ from tidemark.operators import catalog
 from tidemark.operators.checks import duplicate_offsets, guard_null_keys
 from tidemark.operators.commits import capture_commits
 from tidemark.operators.cut import cut
-from tidemark.operators.ends import end_offsets
+from tidemark.operators.ends import end_offsets, usable_ends
 from tidemark.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_checked
+from tidemark.operators.offset_sets import outside
 from tidemark.plans.report import snapshot_report
 from tidemark.schemas import ENDS, conform
 from tidemark.session import materialize
@@ -67,20 +68,26 @@ def after_snapshot(spark, snap: DataFrame, path: str, without_prefix: str | None
                    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Rows of ``snap`` whose offset the snapshot at ``path`` does not hold.
 
-    Where an increment has no gaps its range tells, from the snapshot's state; offsets of increments
-    with gaps (files of a stopped stream, compacted logs) are compared one by one.  Partitions the snapshot lacks pass whole."""
-    ranges, offsets = held_offsets(spark, path, without_prefix)
+    Where an increment has no gaps its range tells; offsets of increments with gaps (files of a stopped stream, transactions,
+    compacted logs) are tested in their bitmaps.  Both come with the snapshot's state: no old message is read.
+    Partitions the snapshot lacks pass whole."""
+    ranges, sets = held_offsets(spark, path, without_prefix)
     out = snap
     if ranges is not None:
         held, n_held = materialize(ranges.select("topic", "partition", F.col("ranges").alias("_held")))
         within = F.exists("_held", lambda r: (F.col("offset") >= r["low"]) & (F.col("offset") < r["high"]))
         out = (join_checked(out, held, ["topic", "partition"], "left", max_broadcast_rows, known_rows=n_held)
                .where(~F.coalesce(within, F.lit(False))).select(*snap.columns))
-    if offsets is not None:
-        out = out.join(offsets, ["topic", "partition", "offset"], "left_anti").select(*snap.columns)
+    if sets is not None:
+        out = outside(out, sets)
     return out
 
 
+def _whole(bounds: DataFrame) -> DataFrame:
+    """The ranges that a backup up to ``bounds`` completes: all it read of each partition."""
+    return usable_ends(bounds).select("topic", "partition", F.coalesce("low", F.lit(0)).alias("low"), "high")
+
+
 def backup(log: DataFrame, commits: DataFrame, path: str, topics: Iterable[str] | None = None,
            ends: DataFrame | None = None, ignore_missing_topics: bool = False, null_key: str = "error",
            check_unique_offsets: bool = False, ignore_group_pattern: str | None = IGNORE_GROUP_PATTERN,
@@ -120,5 +127,5 @@ def backup(log: DataFrame, commits: DataFrame, path: str, topics: Iterable[str]
     if check_unique_offsets and duplicate_offsets(snap).limit(1).count():
         raise DuplicateOffsetsError("the log repeats an offset within a partition")
     captured = capture_commits(commits, bounds, chosen, ignore_group_pattern)
-    written = write_increment(snap, path, captured, mode, **write_options)
+    written = write_increment(snap, path, captured, mode, covered=_whole(bounds), **write_options)
     return BackupResult(path, chosen, bounds, written)

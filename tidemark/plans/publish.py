@@ -16,34 +16,44 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.headers import without_header
 from tidemark.functions.time import epoch_millis
+from tidemark.operators.buckets import DEFAULT_BUCKET_SPAN, bucket_counts
+from tidemark.operators.joins import join_checked
 from tidemark.schemas import HEADERS
+from tidemark.session import materialize
 
 # fixed value: header that carries the source timestamp (epoch ms as text)
 TIMESTAMP_HEADER = "source-timestamp-ms"
 
 SINK_COLUMNS = ["topic", "partition", "key", "value", "headers"]
 
-# offsets of one partition that one task publishes; a wave after wave keeps the order
-DEFAULT_WAVE_OFFSETS = 5_000_000
+# fixed value: header that carries the source offset, for targets that are read back
+OFFSET_HEADER = "source-offset"
+
+# messages of one partition that one task publishes; a wave after wave keeps the order
+DEFAULT_WAVE_MESSAGES = 5_000_000
 
 
 def publish_frame(restore_rows: DataFrame, timestamp_header: str | None = TIMESTAMP_HEADER,
-                  num_partitions: int | None = None, keep_offset: bool = False) -> DataFrame:
+                  num_partitions: int | None = None, keep_offset: bool = False, offset_header: str | None = None) -> DataFrame:
     """Restore rows -> (topic, partition, key, value, headers) in publication order.
 
     A timestamp header that a message has from an earlier restore is replaced, not doubled.
-    ``keep_offset`` also keeps the source offset (to check the order)."""
+    ``keep_offset`` also keeps the source offset (to check the order); ``offset_header`` sends it along, so that the
+    target can be read back by it."""
     headers = F.col("headers")
     if timestamp_header:
         stamp = F.struct(F.lit(timestamp_header).alias("key"),
                          epoch_millis("timestamp").cast("string").cast("binary").alias("value"))
         plain = F.coalesce(without_header(headers, timestamp_header), F.array().cast(HEADERS))
         headers = F.when(F.col("timestamp").isNull(), headers).otherwise(F.concat(plain, F.array(stamp)))
+    if offset_header:
+        place = F.struct(F.lit(offset_header).alias("key"), F.col("offset").cast("string").cast("binary").alias("value"))
+        headers = F.concat(F.coalesce(without_header(headers, offset_header), F.array().cast(HEADERS)), F.array(place))
     framed = restore_rows.select("topic", "partition", "offset", "key", "value", headers.alias("headers"))
     clustered = (framed.repartition(num_partitions, "topic", "partition") if num_partitions
                  else framed.repartition("topic", "partition"))
@@ -51,21 +61,35 @@ def publish_frame(restore_rows: DataFrame, timestamp_header: str | None = TIMEST
     return ordered.select(*SINK_COLUMNS, "offset") if keep_offset else ordered.select(*SINK_COLUMNS)
 
 
-def publish_waves(messages: DataFrame, ends: DataFrame, timestamp_header: str | None = TIMESTAMP_HEADER,
-                  wave_offsets: int = DEFAULT_WAVE_OFFSETS, **options) -> Iterator[DataFrame]:
-    """``publish_frame`` of one offset range of every partition after another.
-
-    A partition is published in order, so by one task at a time; a wave bounds that task to
-    ``wave_offsets`` offsets, and the range is a pushed-down filter on the snapshot's sorted files.
-    Every message is in exactly one wave."""
-    if wave_offsets < 1:
-        raise ValueError("wave_offsets must be positive")
-    bounds = ends.agg(F.min("low").alias("low"), F.max("high").alias("high")).first()     # two numbers
-    if bounds["low"] is None:
-        return
-    for low in range(bounds["low"], bounds["high"], wave_offsets):
-        wave = messages.where((F.col("offset") >= low) & (F.col("offset") < low + wave_offsets))
-        yield publish_frame(wave, timestamp_header, **options)
+def wave_plan(messages: DataFrame, wave_messages: int = DEFAULT_WAVE_MESSAGES) -> DataFrame:
+    """(topic, partition, wave, low, high, messages): offset ranges of about ``wave_messages`` messages, in order.
+
+    Messages are counted in buckets of offsets (partial aggregation, one narrow column), and a prefix sum over
+    a partition's buckets cuts it where the messages are, however far apart their offsets lie.  A range holds whole buckets, so at most
+    one bucket's messages more than asked; a partition of n messages has n / wave_messages ranges or fewer, plus one."""
+    if wave_messages < 1:
+        raise ValueError("wave_messages must be positive")
+    span = min(DEFAULT_BUCKET_SPAN, wave_messages)
+    before = Window.partitionBy("topic", "partition").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = bucket_counts(messages, span).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return (placed.groupBy("topic", "partition", F.expr(f"start div {wave_messages}").alias("wave"))
+            .agg((F.min("bucket") * span).alias("low"), ((F.max("bucket") + 1) * span).alias("high"), F.sum("n").alias("messages")))
+
+
+def publish_waves(messages: DataFrame, timestamp_header: str | None = TIMESTAMP_HEADER,
+                  wave_messages: int = DEFAULT_WAVE_MESSAGES, **options) -> Iterator[DataFrame]:
+    """``publish_frame`` of one range of every partition after another.
+
+    A partition is published in order, so by one task at a time; a wave bounds that task to about
+    ``wave_messages`` messages.  The number of waves is that of the largest partition.  Every message is in exactly one wave; the
+    ranges of a wave are joined by checked broadcast, and their bounds are a pushed-down filter on the snapshot's sorted files."""
+    plan, _ = materialize(wave_plan(messages.select("topic", "partition", "offset"), wave_messages))
+    waves = plan.groupBy("wave").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("n")).orderBy("wave").collect()
+    for w in waves:     # three numbers a wave
+        ranges = plan.where(F.col("wave") == w.wave).select("topic", "partition", F.col("low").alias("_low"), F.col("high").alias("_high"))
+        near = messages.where((F.col("offset") >= w.low) & (F.col("offset") < w.high))
+        wave = join_checked(near, ranges, ["topic", "partition"], known_rows=w.n).where("offset >= _low AND offset < _high")
+        yield publish_frame(wave.select(*messages.columns), timestamp_header, **options)
 
 
 def delivery_report(restore_rows: DataFrame) -> DataFrame:

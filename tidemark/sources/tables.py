@@ -97,7 +97,11 @@ def conversations_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineitem_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    return lineitem_as_log(table(spark, sf_dir, "lineitem"))
+
+
+def lineitem_as_log(li: DataFrame) -> DataFrame:
+    """lineitem rows (batch or streaming) -> LOG."""
     value = F.concat(F.col("l_partkey").cast("string"), F.lit("|"), F.col("l_suppkey").cast("string"))
     header = F.struct(F.lit(LINESTATUS_HEADER).alias("key"), _text(F.col("l_linestatus")).alias("value"))
     return conform(li.select(
