@@ -3,6 +3,7 @@
 Only complete increments are read: those with a state.  A folder without one is refused."""
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +95,10 @@ def read_progress(spark: SparkSession, path: str) -> DataFrame:
     return state.where("own AND run IS NOT NULL").select("run", "batch", "increment", "seen", "written", "outcome", "at")
 
 
+class UnreadableSnapshotError(ValueError):
+    pass
+
+
 class DamagedSnapshotError(ValueError):
     def __init__(self, path: str, rows: list):
         super().__init__(f"{path} is damaged: " + "; ".join(
@@ -121,7 +126,8 @@ def verified_messages(spark: SparkSession, path: str, topics: Iterable[str] | No
     try:
         wrong = damaged_partitions(spark, path, topics).limit(NAMED_PARTITIONS).collect()
     except Exception as e:
-        raise ValueError(f"{path} cannot be read: {e}") from e
+        named = re.search(r"while reading file (\S+)", str(e))
+        raise UnreadableSnapshotError(f"{path} cannot be read: {named[1] if named else e}") from e
     if wrong:
         raise DamagedSnapshotError(path, wrong)
     return read_messages(spark, path, topics)
