@@ -91,14 +91,28 @@ def test_empty_table(spark):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=40) | st.text("ab ▁'\n\t<0x41>", max_size=60), max_size=4))
-def test_units_of_pieces_encode_like_whole_texts(texts):
-    with open(bpe.vocabulary_path("piece_bpe_32k.model"), "rb") as f:
-        encoder = bpe.loaded(alignment.PieceEncoder, f.read())
-    assert encoder.splits
-    texts = [t for t in texts if t]
-    ids, at = encoder.encode([" " + t for t in texts])
-    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [encoder.model.encode(t) for t in texts]
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=40) | st.text("ab ▁'\n\t\r\x85<0x41>", max_size=60), max_size=4))
+def test_units_encode_like_whole_texts(texts):
+    pair = bpe.loaded(_pair, b"pair")
+    assert pair.b.splits
+    (a, a_at), (b, b_at) = pair.encode(texts)
+    lib = bpe.loaded(_library, b"library")
+    for i, t in enumerate(texts):
+        ids = pair.b.model.encode(t) if t else []
+        right = pair.b.spelled(ids) == (" " + t).encode()
+        assert b[b_at[i]: b_at[i + 1]].tolist() == (ids if right else [])
+        assert a[a_at[i]: a_at[i + 1]].tolist() == (lib.encode(" " + t, add_special_tokens=False).ids if right and t else [])
+
+
+def _pair(_):
+    with open(bpe.vocabulary_path(), "rb") as a, open(bpe.vocabulary_path("piece_bpe_32k.model"), "rb") as b:
+        return alignment.Pair(a.read(), b.read())
+
+
+def _library(_):
+    lib = Tokenizer.from_file(bpe.vocabulary_path())
+    lib.encode_special_tokens = True
+    return lib
 
 
 def test_identity_map_prefers_whole_pieces():

@@ -72,3 +72,13 @@ def test_stage_and_empty_tables(spark):
     assert {r.doc_id for r in left.collect()} == {i for i, w in want.items() if not w[1]}
     assert D.drop_leaks(frame, bench.limit(0)).count() == len(docs)
     assert D.drop_leaks(frame.limit(0), bench).count() == 0
+
+
+def test_item_ids_of_any_type(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    for kind in ("smallint", "string", "date", "decimal(10,0)", "double"):
+        items = spark.createDataFrame([(text,)], "text string").selectExpr(f"cast(null as {kind}) as none", f"cast('2024' as {'date' if kind == 'date' else kind}) as item_id", "text")
+        for bound in (D.MAX_ITEM_WORDS, 4):
+            row = D.find_leaks(docs, items.select("item_id", "text"), max_item_words=bound).first()
+            assert row.n_hit == 10 and len(row["items"]) == 1

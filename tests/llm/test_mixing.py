@@ -55,3 +55,23 @@ def test_odd_inputs(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(docs, {"big": -1.0})
+
+
+def test_rows_without_an_id_draw_for_themselves(spark):
+    rows = [(None, "same text", "a")] * 2000 + [(None, f"text {i:05}", "b") for i in range(1000)] + [(7, f"text {i:05}", "b") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    size = sum(len(r[1]) for r in rows)
+    out = mixing.mix(docs, {"a": 1.0, "b": 1.0})
+    got = out.collect()
+    for source in "ab":
+        n = sum(len(t) for _, t, s in rows if s == source)
+        rate = size / 2 / n
+        kept = sum(r.source == source for r in got)
+        rows_in = sum(s == source for _, _, s in rows)
+        assert abs(kept / rows_in - rate) < 5 * (rate / rows_in) ** 0.5
+    # copies of alike rows differ as Poisson numbers do
+    from pyspark.sql import functions as F
+    alike = mixing.copies(docs, mixing.source_rates(docs, {"a": 1.0, "b": 1.0})).where("source = 'a'").groupBy("n_copies").count().collect()
+    assert len(alike) > 2 and sum(r["count"] for r in alike) == 2000
+    assert len({r.shuffle_key for r in got}) == len(got)      # and none gather in one place
+    assert Counter(got) == Counter(mixing.mix(docs.repartition(5), {"a": 1.0, "b": 1.0}).collect())

@@ -89,3 +89,23 @@ def test_number_network_is_a_permutation(spark):
 def test_main_path_is_native(spark):
     plan = P.query(spark, SF_SMALL)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def test_one_pseudonym_however_a_number_is_written(spark):
+    groups = [["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"],
+              ["+1 415 555 0123", "+1 (415) 555-0123", "+1-415-555-0123", "+14155550123"],
+              ["+49 30 1234 5678", "+493012345678"], ["+353 12 345 6789", "+353123456789"]]
+    values = [v for g in groups for v in g]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id int, text string")
+    out = [r.text for r in P.pseudonymise(df).orderBy("doc_id").collect()]
+    digits = ["".join(c for c in t if c.isdigit()) for t in out]
+    at = 0
+    for g in groups:
+        mine = digits[at: at + len(g)]
+        assert len(set(mine)) == 1 and mine[0] != "".join(c for c in g[0] if c.isdigit())
+        for given, new in zip(g, out[at: at + len(g)]):
+            assert [c if not c.isdigit() else "0" for c in given] == [c if not c.isdigit() else "0" for c in new]
+        at += len(g)
+    assert digits[3].startswith("1") and digits[7].startswith("49") and digits[9].startswith("353")
+    back = P.restore(P.pseudonymise(df)).orderBy("doc_id").collect()
+    assert [r.text for r in back] == values

@@ -73,3 +73,55 @@ def test_window_anchors_take_every_window_once_and_by_its_content():
     place = pack(s, e - s + 1, anchor - s)
     back = unpack(place)
     assert (back[0] == s).all() and (back[1] == e - s + 1).all() and (back[2] == anchor - s).all()
+
+
+def thue_morse(n):
+    """Two texts of n letters that collide in any polynomial modulo 2**64 from 1,024 letters on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_different_words_hash_differently():
+    for n in (1024, 2048, 4096):
+        x, y = thue_morse(n)
+        data = np.frombuffer((x + y).encode(), np.uint8)
+        assert len(set(segment_hash(data, np.array([0, n]), np.array([n, 2 * n])).tolist())) == 2
+        sums = word_sums(data.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        assert len(set(range_hash(sums, np.array([0, n]), np.array([n, 2 * n])).tolist())) == 2
+        # runs of two different words in that order
+        words = np.where(data == 97, np.uint64(3), np.uint64(2**63 + 5))
+        assert len(set(range_hash(word_sums(words), np.array([0, n]), np.array([n, 2 * n])).tolist())) == 2
+
+
+def test_operators_tell_such_words_apart():
+    from tidemark.llm.decontaminate import Matcher
+    from tidemark.llm.near_dedup import shingle_sets
+    from tidemark.llm.quality import block_statistics
+
+    x, y = thue_morse(1024)
+
+    def block(texts):
+        (_, data, off), = blocks(_column(texts), 1 << 30)
+        return data, off
+
+    g, first = shingle_sets(*block([x, y]))
+    assert first.tolist() == [0, 1, 2] and g[0] != g[1]
+    stats = block_statistics(*block([f"{x}\n{y}", f"{x}\n{x}"]))
+    assert stats["n_dup_lines"].tolist() == [0, 1]
+    matcher = Matcher([(1, x)], 10)
+    data, off = block([y, x])
+    assert [(d, owners) for d, _, _, owners in matcher.scan(Words(data, off, ALNUM_WORD))] == [(1, (1,))]
+
+
+def test_repeats_between_other_shingles_are_dropped():
+    """Hashes that share their top bits and repeat as A B A are two, not three."""
+    from tidemark.llm import near_dedup
+
+    real = near_dedup.range_hash
+    near_dedup.range_hash = lambda sums, lo, hi: np.array([2 << 22 | 1, 2 << 22 | 2, 2 << 22 | 1, 1 << 22], np.uint64)[: len(lo)]
+    try:
+        (_, data, off), = blocks(_column(["a b c d e f g"]))
+        g, first = near_dedup.shingle_sets(data, off)
+    finally:
+        near_dedup.range_hash = real
+    assert sorted(g.tolist()) == [2 << 22 | 1, 2 << 22 | 2] and first.tolist() == [0, 2]

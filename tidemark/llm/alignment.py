@@ -17,7 +17,7 @@ pair of ids is the number of documents that hold it linked.
   pairs are joined with it by a shuffle (same results, tested), where a hot pair is one that Spark can split.
 
 The vocabulary files are read on the driver and broadcast (``bpe.send_file``).  The piece encoder is the public
-library's; where the vocabulary shows that no piece crosses from a letter to a space or holds a line feed, texts go through it
+library's; where the vocabulary shows that no piece goes from a word into a space, texts go through it
 by units that a worker remembers, else whole.
 
 Defined results.  Null and empty texts have no tokens, nor have texts whose tokens do not spell space + text; their
@@ -26,6 +26,7 @@ numbers are 0 and their groups ''.  Rows with the same or a null doc_id are docu
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +37,17 @@ from tidemark.llm import bpe
 from tidemark.llm.tables import map_arrow, table, written
 from tidemark.llm.text import text_column
 
+KNOWN_WORDS = 100_000           # of A, beside the units
 MAX_PAIRS_SENT = 4_000_000      # 16 bytes a row in a task
 SPACE = "▁"                # fixed value: how a piece writes a space
 
 
-class PieceEncoder(bpe.UnitEncoder):
-    """A sentencepiece model; ``encode`` takes texts with the space in front that the model would add."""
+class PieceEncoder:
+    """A sentencepiece model, by whole texts or by units that encode alike wherever they stand."""
 
     def __init__(self, content: bytes):
         import sentencepiece
 
-        super().__init__()
         self.model = sentencepiece.SentencePieceProcessor(model_proto=content)
         n = self.model.get_piece_size()
         pieces = [self.model.id_to_piece(i) for i in range(n)]
@@ -55,35 +56,56 @@ class PieceEncoder(bpe.UnitEncoder):
         self.spelling = bpe.Spelling(self.strings)
         self.plain_space = self.model.piece_to_id(SPACE)
         whole = [p for i, p in enumerate(pieces) if not self.model.is_byte(i)]
-        crosses = any(re.search(f"[^{SPACE}]{SPACE}", p) or "\n" in p for p in whole)
+        # white space that some piece has behind a word, like a carriage return: no cut before it
+        glue = {p[m.start() + 1] for p in whole for m in re.finditer(f"[^{SPACE}{bpe.WHITE}](?=[{SPACE}{bpe.WHITE}])", p)}
         # the model adds one space, keeps the rest as it is and falls back to bytes
         probe = "  a\n \t b  "
-        self.splits = (not crosses and pieces[self.plain_space] == SPACE and self.model.is_byte(self.model.piece_to_id("<0x0A>"))
+        self.splits = (pieces[self.plain_space] == SPACE and SPACE not in glue
                        and b"".join(self.strings[i] for i in self.model.encode(probe)) == b" " + probe.encode())
+        more = f"(?:[{re.escape(''.join(sorted(glue)))}][{bpe.WHITE}]*[^{bpe.WHITE}]*)*" if glue and self.splits else ""
+        # white space and the word behind it: both vocabularies cut between such units
+        self.units = re.compile(f"[{bpe.WHITE}]*[^{bpe.WHITE}]+{more}|[{bpe.WHITE}]+").findall
 
-    def segments(self, text: str, specials: bool):
-        return super().segments(text, False) if self.splits else iter([(text, None)] if text else [])
+    def whole_ids(self, text: str) -> list[int]:
+        """Ids of " " + some text, given with that space."""
+        return self.model.encode(text[1:])
 
-    def units(self, text: str) -> list[str]:
-        text = text.replace(" ", SPACE)
-        return _PIECE_UNITS(text) if self.splits else [text]
-
-    def unit_ids(self, units: list[str]) -> list[bytes]:
+    def unit_ids(self, units: list[str]) -> list[list[int] | None]:
+        """Ids of units; None for a unit that needs its surroundings."""
+        marked = [u.replace(" ", SPACE) for u in units]
         # the model puts a space in front: units that begin with one lose theirs, others lose the token it makes
-        found = self.model.encode([u[1:] if u[0] == SPACE else u for u in units], num_threads=1)
-        out = []
-        for u, ids in zip(units, found):
-            if u == SPACE:
+        found = self.model.encode([m[1:] if m[0] == SPACE else m for m in marked], num_threads=1)
+        out: list = []
+        for m, ids in zip(marked, found):
+            if m == SPACE:
                 ids = [self.plain_space]
-            elif u[0] != SPACE:
-                if ids[0] != self.plain_space:
-                    raise ValueError("a unit without a space has no token of its own for the added one")
-                ids = ids[1:]
-            out.append(np.array(ids, np.int32).tobytes())
+            elif m[0] != SPACE:
+                ids = ids[1:] if ids[0] == self.plain_space else None
+            out.append(ids)
         return out
 
+    def spelled(self, ids: list[int]) -> bytes:
+        return b"".join([self.strings[i] for i in ids])
+
+
+class Ragged:
+    """Lists of ids that are appended to, and gathered by their numbers without a loop."""
 
-_PIECE_UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n+[^{SPACE}\n]*|[^{SPACE}\n]+").findall
+    def __init__(self):
+        self.first, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def append(self, ids: np.ndarray, length: np.ndarray) -> None:
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the lists one after another, their lengths)."""
+        length = self.length[at]
+        ends = np.cumsum(length)
+        place = np.repeat(self.first[at] - (ends - length), length)
+        place += np.arange(len(place))
+        return self.ids[place], length
 
 
 def identity_map(a: list[bytes | None], b: list[bytes], bytes_of_b: list[bool]) -> np.ndarray:
@@ -94,32 +116,90 @@ def identity_map(a: list[bytes | None], b: list[bytes], bytes_of_b: list[bool])
 
 
 class Pair:
-    """Both encoders, the tokens' bytes and the identity map."""
+    """Both encoders, the tokens' lengths and the identity map.  Texts are encoded by units (white space and the word behind
+    it), each looked up once for both vocabularies; a worker remembers about ``bpe.CACHE_UNITS`` of them."""
 
     def __init__(self, content_a: bytes, content_b: bytes):
         self.a = bpe.make_encoder(content_a)
         self.b = PieceEncoder(content_b)
         vocab = self.a.vocab
         self.size_a, self.size_b = vocab.size, len(self.b.strings)
+        self.length_a, self.length_b = vocab.spelling.length, self.b.spelling.length
         special = set(vocab.special.values())
         self.image = identity_map([None if i in special else t for i, t in enumerate(vocab.tokens)], self.b.strings,
                                   [self.b.model.is_byte(i) for i in range(self.size_b)])
-
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """Ids of both as int32 bytes for each text, empty where they do not spell space + text."""
-        full = [" " + t if t else "" for t in texts]
-        wanted = [t.encode() for t in full]
-        sides, right = [], np.ones(len(texts), bool)
-        for encoder, spelling in ((self.a, self.a.vocab.spelling), (self.b, self.b.spelling)):
-            ids, at = encoder.encode(full, specials=False)
-            cut = np.append(0, np.cumsum(spelling.length[ids]))[at]
-            data = spelling.spell(ids).tobytes()
-            right &= [data[lo:hi] == w for lo, hi, w in zip(cut[:-1], cut[1:], wanted)]
-            sides.append([ids[lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:])])
-        for side in sides:
-            for i in np.flatnonzero(~right):
-                side[i] = b""
-        return sides[0], sides[1]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.words: dict[str, bytes] = {}
+        self.ids_a, self.ids_b = Ragged(), Ragged()
+        self.wrong = np.zeros(0, np.int8)       # 1: B does not spell the unit, 2: it needs its surroundings
+
+    def _learn(self, units: set[str]) -> None:
+        new = [u for u in units if u not in self.known]
+        if not new:
+            return
+        a = self.a.merged([self.a.words(u) for u in new], self.words)
+        self.words.update((u, ids) for u, ids in zip(new, a) if len(u) <= bpe.CACHED_CHARS)
+        if len(self.words) > KNOWN_WORDS:
+            self.words = {}
+        b = self.b.unit_ids(new)
+        fault = np.array([2 * (ids is None) for ids in b], np.int8)
+        self.ids_a.append(np.frombuffer(b"".join(a), np.int32), np.array([len(x) // 4 for x in a], np.int64))
+        length = np.array([len(ids or ()) for ids in b], np.int64)
+        flat = np.fromiter(chain.from_iterable(ids or () for ids in b), np.int32, int(length.sum()))
+        self.ids_b.append(flat, length)
+        if self.b.spelling.spell(flat).tobytes() != "".join(new).encode():
+            fault = np.array([2 if ids is None else int(self.b.spelled(ids) != u.encode()) for u, ids in zip(new, b)], np.int8)
+        self.known.update(zip(new, range(len(self.wrong), len(self.wrong) + len(new))))
+        self.wrong = np.concatenate([self.wrong, fault])
+
+    def encode(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """For A and B: ids of all texts in one array, and where each text's begin (and the last ones end); none where
+        B's tokens do not spell space + text (A's always do: it has a token for each byte)."""
+        units: list[list[str]] = []
+        count = np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            if t:
+                found = self.b.units(" " + t) if self.b.splits else [" " + t]
+                count[i] = len(found)
+                units.append(found)
+        if len(self.wrong) > bpe.CACHE_UNITS:
+            self._forget()
+        distinct = set().union(*units)
+        self._learn(distinct)
+        get = self.known.__getitem__
+        at = np.fromiter((k for u in units for k in map(get, u)), np.int64, int(count.sum()))
+        doc = np.repeat(np.arange(len(texts)), count)
+        fault = self.wrong[at]
+        sides = []
+        for ids in (self.ids_a, self.ids_b):
+            flat, length = ids.gather(at)
+            sides.append([flat, np.repeat(doc, length)])
+        bad = np.zeros(len(texts), bool)
+        whole: list[tuple[int, list[int]]] = []
+        for i in np.unique(doc[fault > 0]).tolist():
+            ids = self.b.whole_ids(" " + texts[i]) if (fault[doc == i] == 2).any() else None
+            if ids is not None and self.b.spelled(ids) == (" " + texts[i]).encode():
+                whole.append((i, ids))
+            else:
+                bad[i] = True
+        if whole:
+            again = np.isin(sides[1][1], [i for i, _ in whole])
+            flat = np.concatenate([sides[1][0][~again], *[np.array(ids, np.int32) for _, ids in whole]])
+            of = np.concatenate([sides[1][1][~again], *[np.full(len(ids), i) for i, ids in whole]])
+            order = np.argsort(of, kind="stable")
+            sides[1] = [flat[order], of[order]]
+        for u in distinct:
+            if len(u) > bpe.CACHED_CHARS:       # long ones are not kept: their number goes on holding their ids until all is forgotten
+                del self.known[u]
+        out = []
+        for flat, of in sides:
+            if bad.any():
+                flat, of = flat[~bad[of]], of[~bad[of]]
+            out.append((flat, np.append(0, np.cumsum(np.bincount(of, minlength=len(texts))))))
+        return out[0], out[1]
 
 
 class Links:
@@ -129,8 +209,8 @@ class Links:
         self.pair, self.a, self.b, self.a_at, self.b_at = pair, a, b, a_at, b_at
         docs = len(a_at) - 1
         self.docs = docs
-        len_a = pair.a.vocab.spelling.length[a]
-        end_a, end_b = np.cumsum(len_a), np.cumsum(pair.b.spelling.length[b])
+        len_a = pair.length_a[a]
+        end_a, end_b = np.cumsum(len_a), np.cumsum(pair.length_b[b])
         total = int(end_a[-1]) if len(a) else 0
         is_a, is_b = np.zeros(total + 1, bool), np.zeros(total + 1, bool)
         is_a[end_a], is_b[end_b] = True, True
@@ -222,9 +302,7 @@ def encoded(docs: DataFrame, sent: Sent, column: str = "text") -> DataFrame:
             text = text_column(batch, "__text")
             for lo, hi in bpe.text_runs(text):
                 columns = [*batch.slice(lo, hi - lo).columns[:2]]
-                for side in pair.encode(text[lo:hi].to_pylist()):
-                    at = np.append(0, np.cumsum([len(x) // 4 for x in side])).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(side), np.int32))))
+                columns += [pa.ListArray.from_arrays(at.astype(np.int32), pa.array(ids)) for ids, at in pair.encode(text[lo:hi].to_pylist())]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "a", "b"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

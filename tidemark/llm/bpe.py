@@ -216,8 +216,8 @@ def _newer_characters() -> re.Pattern:
 _BEYOND = re.compile("[͸-\U0010ffff]")         # U+0378 is the first character without a class
 _SAFE_CUT = re.compile("(?<=[!-~]) (?=[!-~])")
 # fixed value: white space of the pattern
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_UNITS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_UNITS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
 
 
 class UnitEncoder:
@@ -304,24 +304,30 @@ class Encoder(UnitEncoder):
     def units(self, text: str) -> list[str]:
         """Runs of ``text`` in which the pattern cuts alike whatever stands around them: a run without white
         space and the space before it, or white space."""
-        if _BEYOND.search(text) and _newer_characters().search(text):
-            from tokenizers import pre_tokenizers
+        return self._cut_by_library(text) or _UNITS(text)
 
-            cut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str(text)
-            return [text[a:b] for _, (a, b) in cut]
-        return _UNITS(text)
+    def words(self, text: str) -> list[str]:
+        """The words of a text."""
+        return self._cut_by_library(text) or self.findall(text)
 
-    def words(self, unit: str) -> list[str]:
-        if not unit.isascii() and _BEYOND.search(unit) and _newer_characters().search(unit):
-            return [unit]       # cut already
-        return self.findall(unit)
+    def _cut_by_library(self, text: str) -> list[str] | None:
+        """Words of a text with characters that are classed otherwise here than by the library's tables."""
+        if text.isascii() or not _BEYOND.search(text) or not _newer_characters().search(text):
+            return None
+        from tokenizers import pre_tokenizers
+
+        cut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str(text)
+        return [text[a:b] for _, (a, b) in cut]
 
     def unit_ids(self, units: list[str]) -> list[bytes]:
-        known = self.known
-        cut = [self.words(u) for u in units]
+        return self.merged([self.words(u) for u in units], self.known)
+
+    def merged(self, cut: list[list[str]], known: dict[str, bytes]) -> list[bytes]:
+        """Ids of each list of words; those of ``known`` words are not merged again."""
         new = list({w for words in cut for w in words if w not in known})
         fresh = dict(zip(new, merge_words(self.vocab, [w.encode() for w in new])))
-        return [b"".join([fresh[w] if w in fresh else known[w] for w in words]) for words in cut]
+        return [(fresh.get(words[0]) or known[words[0]]) if len(words) == 1 else
+                b"".join([fresh[w] if w in fresh else known[w] for w in words]) for words in cut]
 
 
 _LOADED: dict[str, object] = {}

@@ -10,7 +10,8 @@ it.  Matches are word ranges and come back as character spans of the original te
 
 The items are sent to the executors only up to ``MAX_ITEM_WORDS`` words in all.
 Beyond it they are dealt by a hash of their id to several automata of at most
-about that size, and each text is scanned once with each of them.
+about that size; one after another is sent, scans the texts, and is given up before the next, and the
+hits are written between.
 
 Defined results.  Null or empty text, or a text without words: no hits.  Items
 without words: no window.  A repeated item id counts once a document; items with a
@@ -21,14 +22,16 @@ way to it.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.tables import map_arrow, restored, shielded, table
+from tidemark.llm.tables import map_arrow, restored, shielded, table, written
 from tidemark.llm.text import ALNUM_WORD, LOWER, Words, blocks, text_column
 
 WINDOW = 10
@@ -90,16 +93,16 @@ class Matcher:
             yield int(words.doc[last]), last - size + 1, last, owners
 
 
-_MATCHERS: dict = {}
+_MATCHER: tuple = (None, None)
 
 
-def _matcher(job: str, shard: int, items, window: int) -> Matcher:
-    """Built once in a worker; the automata of one job at a time are kept."""
-    if any(k[0] != job for k in _MATCHERS):
-        _MATCHERS.clear()
-    if (job, shard) not in _MATCHERS:
-        _MATCHERS[job, shard] = Matcher(items.value, window)
-    return _MATCHERS[job, shard]
+def _matcher(job: str, items, window: int) -> Matcher:
+    """Built once in a worker; it holds one automaton at a time."""
+    global _MATCHER
+    if _MATCHER[0] != job:
+        _MATCHER = (None, None)
+        _MATCHER = (job, Matcher(items.value, window))
+    return _MATCHER[1]
 
 
 def _shards(benchmark: DataFrame, max_words: int) -> list[DataFrame]:
@@ -118,46 +121,104 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                max_item_words: int = MAX_ITEM_WORDS) -> DataFrame:
     """``docs`` with n_words, n_hit (words inside an occurrence), items (distinct ids
     found) and spans (character ranges of the hit words, merged, end exclusive)."""
-    spark = docs.sparkSession
     drop = [c for c in docs.columns if c.lower() in OUTPUT]
     docs = docs.drop(*drop)
-    id_type = dict(benchmark.dtypes)["item_id"]
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-    # bounded: each shard holds about max_item_words words
-    shards = [spark.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()])
-              for part in _shards(benchmark, max_item_words)]
-    job = uuid.uuid4().hex
-    span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    id_type = benchmark.schema["item_id"].dataType
+    shards = _shards(benchmark, max_item_words)
+    if len(shards) == 1:
+        return _scanned(docs, shards[0], window, id_type)
+    # rows get numbers that stay; each scan leaves its hits
+    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "leak-texts")
+    hits = [written(_hits(numbered.select("__row", "text"), shard, window, id_type), "leak-hits") for shard in shards]
+    every = reduce(DataFrame.unionByName, hits).groupBy("__row").agg(
+        F.flatten(F.collect_list("ranges")).alias("__ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("__items"))
+    joined = numbered.join(every, "__row", "left").drop("__row")
 
     def run(batches):
         for batch in batches:
-            n_words, n_hit, items, spans = [], [], [], []
-            for _, data, off in blocks(text_column(batch)):
+            ranges, items = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__ranges", "__items"))
+            rest = batch.select([c for c in batch.schema.names if c not in ("__ranges", "__items")])
+
+            def found(lo: int, words: Words, d: int):
+                for doc in range(d):
+                    for r in ranges[lo + doc] or []:
+                        yield doc, int(words.first[doc]) + r["lo"], int(words.first[doc]) + r["hi"], ()
+                    yield doc, 0, -1, items[lo + doc] or []
+
+            yield from _judged(rest, found, id_type)
+
+    return map_arrow(joined, run, _schema(docs, id_type))
+
+
+def _schema(docs: DataFrame, id_type):
+    return docs.limit(0).select("*", F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_hit"),
+                                F.array(F.lit(None).cast(id_type)).alias("items"),
+                                F.expr("array(named_struct('start', 0, 'end', 0))").alias("spans")).schema
+
+
+def _sent(shard: DataFrame):
+    """The items of a shard, which holds about ``MAX_ITEM_WORDS`` words, as a broadcast."""
+    return shard.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in shard.collect()])
+
+
+def _scanned(docs: DataFrame, shard: DataFrame, window: int, id_type) -> DataFrame:
+    items, job = _sent(shard), uuid.uuid4().hex
+
+    def run(batches):
+        for batch in batches:
+            yield from _judged(batch, lambda lo, words, d: _matcher(job, items, window).scan(words), id_type)
+
+    return map_arrow(docs, run, _schema(docs, id_type))
+
+
+def _hits(rows: DataFrame, shard: DataFrame, window: int, id_type) -> DataFrame:
+    """(__row, ranges of words, item ids) of the texts that one shard's automaton finds anything in."""
+    sent, job = _sent(shard), uuid.uuid4().hex
+    item_list = pa.list_(to_arrow_type(id_type))
+    range_list = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+
+    def run(batches):
+        for batch in batches:
+            for lo, data, off in blocks(text_column(batch)):
                 words = Words(LOWER[data], off, ALNUM_WORD)
-                d = len(off) - 1
-                change = np.zeros(len(words.starts) + 1, np.int64)
-                found: list[set] = [set() for _ in range(d)]
-                for k, shard in enumerate(shards):
-                    for doc, lo, hi, owners in _matcher(job, k, shard, window).scan(words):
-                        change[lo] += 1
-                        change[hi + 1] -= 1
-                        found[doc].update(owners)
-                hit = np.cumsum(change[:-1]) > 0
-                total = np.concatenate([[0], np.cumsum(hit)])
-                n_words.append(words.count)
-                n_hit.append(total[words.first[1:]] - total[words.first[:-1]])
-                items += [sorted(f) for f in found]
-                spans += _spans(words, hit, data, off)
-            if n_words:
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(np.concatenate(n_words).astype(np.int64)),
-                     pa.array(np.concatenate(n_hit).astype(np.int64)), pa.array(items, pa.list_(arrow_id)),
-                     pa.array(spans, span_type)], names=[*batch.schema.names, *OUTPUT])
-
-    schema = docs.limit(0).select("*", F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_hit"),
-                                  F.expr(f"array(cast(null as {id_type}))").alias("items"),
-                                  F.expr("array(named_struct('start', 0, 'end', 0))").alias("spans")).schema
-    return map_arrow(docs, run, schema)
+                ranges: dict[int, list] = {}
+                items: dict[int, set] = {}
+                for doc, first, last, owners in _matcher(job, sent, window).scan(words):
+                    start = int(words.first[doc])
+                    ranges.setdefault(doc, []).append({"lo": first - start, "hi": last - start})
+                    items.setdefault(doc, set()).update(owners)
+                at = sorted(ranges)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([lo + d for d in at], pa.int64())),
+                                                  pa.array([ranges[d] for d in at], range_list), pa.array([sorted(items[d]) for d in at], item_list)],
+                                                 names=["__row", "ranges", "items"])
+
+    return map_arrow(rows, run, f"__row bigint, ranges array<struct<lo:bigint,hi:bigint>>, items array<{id_type.simpleString()}>")
+
+
+def _judged(batch: pa.RecordBatch, find, id_type):
+    """The batch with ``OUTPUT``; ``find`` gives (document, first word, last word, item ids) of a block of texts."""
+    span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    n_words, n_hit, items, spans = [], [], [], []
+    for row, data, off in blocks(text_column(batch)):
+        words = Words(LOWER[data], off, ALNUM_WORD)
+        d = len(off) - 1
+        change = np.zeros(len(words.starts) + 1, np.int64)
+        found: list[set] = [set() for _ in range(d)]
+        for doc, lo, hi, owners in find(row, words, d):
+            change[lo] += 1
+            change[hi + 1] -= 1
+            found[doc].update(owners)
+        hit = np.cumsum(change[:-1]) > 0
+        total = np.concatenate([[0], np.cumsum(hit)])
+        n_words.append(words.count)
+        n_hit.append(total[words.first[1:]] - total[words.first[:-1]])
+        items += [sorted(f) for f in found]
+        spans += _spans(words, hit, data, off)
+    if n_words:
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(np.concatenate(n_words).astype(np.int64)),
+             pa.array(np.concatenate(n_hit).astype(np.int64)), pa.array(items, pa.list_(to_arrow_type(id_type))),
+             pa.array(spans, span_type)], names=[*batch.schema.names, *OUTPUT])
 
 
 def _spans(words: Words, hit: np.ndarray, data: np.ndarray, off: np.ndarray) -> list[list[dict]]:

@@ -12,8 +12,9 @@ are exploded and dealt out by a second hash, then ordered by it: a global shuffl
   split); a document only counts the entries up to its number.
 * A rate above ``STEP`` is the sum of independent draws of at most ``STEP`` each.
 
-Defined results.  A null source is a source of its own.  A null id draws as the id
-"null"; repeated ids draw the same number.  Null texts have size 0; a source of size 0
+Defined results.  A null source is a source of its own.  Rows without an id of their own (null or repeated)
+draw and are dealt by their id, contents and number among alike rows, so each draws for itself and none of them
+gathers in a partition.  Null texts have size 0; a source of size 0
 or without a weight has rate 0 and no copies.  Weights must not be negative and are
 scaled to sum to 1.  Empty table: empty result.  Input columns named like an output
 column give way to it.
@@ -39,8 +40,27 @@ def _hash48(*parts) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 12), 16, 10).cast("bigint")
 
 
-def _doc_key() -> F.Column:
-    return F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+BLOCK = 4096        # alike rows are counted out in blocks of this many
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with __key, what a row draws by: its id, or for a null or repeated one also its contents and its
+    number among alike rows.
+
+    Alike rows are one row with a count (partial sums absorb a hot one) and are counted out again, so no task
+    sorts or numbers a group."""
+    ids = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "mix-ids")
+    own = F.col("doc_id").cast("string")
+    if ids.isEmpty():
+        return docs.withColumn("__key", own)
+    some = docs.join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    alike = some.groupBy(*[F.col(f"`{c}`") for c in docs.columns]).agg(F.count("*").alias("__n"))
+    block = alike.withColumn("__b", F.explode(F.expr(f"sequence(0, (__n - 1) div {BLOCK})")))
+    each = block.withColumn("__i", F.explode(F.expr(f"sequence(__b * {BLOCK}, least(__n - 1, __b * {BLOCK} + {BLOCK - 1}))")))
+    told = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"ignoreNullFields": "false"}))
+    again = each.withColumn("__key", F.concat_ws(":", F.coalesce(own, F.lit("null")), told, F.col("__i").cast("string")))
+    alone = docs.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_anti").withColumn("__key", own)
+    return alone.select(*[F.col(f"`{c}`") for c in docs.columns], "__key").unionByName(again.drop("__n", "__b", "__i"))
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None,
@@ -72,29 +92,32 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
 
 def copies(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
     """``docs`` with rate and n_copies (not yet exploded)."""
+    return _drawn(docs, rates, seed).drop("__key")
+
+
+def _drawn(docs: DataFrame, rates: DataFrame, seed: str) -> DataFrame:
     docs = docs.drop(*[c for c in docs.columns if c.lower() in OUTPUT])
-    keyed = docs.withColumns({"__s": F.coalesce(F.col("source").cast("string"), F.lit("")), "__n": F.col("source").isNull()})
+    keyed = _keyed(docs).withColumns({"__s": F.coalesce(F.col("source").cast("string"), F.lit("")), "__n": F.col("source").isNull()})
     small = rates.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__s"),
                          F.col("source").isNull().alias("__n"), "rate", "draws", "cdf")
     both = join_checked(keyed, small, ["__s", "__n"], "left", MAX_SOURCES_SENT)
-    both = both.withColumn("__key", _doc_key())
 
     def draw(j):
         u = (_hash48(F.lit(seed), F.col("__key"), j.cast("string")) + 0.5) / float(2**48)
         return F.size(F.filter("cdf", lambda c: c <= u))
 
     n = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda a, j: a + draw(j))
-    return both.withColumn("n_copies", n).drop("__s", "__n", "__key", "draws", "cdf")
+    return both.withColumn("n_copies", n).drop("__s", "__n", "draws", "cdf")
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE,
         seed: str = SEED) -> DataFrame:
     """Replicated and globally shuffled rows of ``docs``: their columns, rate, n_copies,
     copy_no (from 1) and shuffle_key, the order inside each partition."""
-    counted = copies(docs, source_rates(docs, weights, temperature), seed).where("n_copies > 0")
+    counted = _drawn(docs, source_rates(docs, weights, temperature), seed).where("n_copies > 0")
     out = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    key = _hash48(F.lit(seed), F.lit("order"), _doc_key(), F.col("copy_no").cast("string"))
-    return out.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    key = _hash48(F.lit(seed), F.lit("order"), F.col("__key"), F.col("copy_no").cast("string"))
+    return out.withColumn("shuffle_key", key).drop("__key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

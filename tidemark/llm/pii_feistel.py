@@ -15,6 +15,9 @@ Kinds, found leftmost and non-overlapping in this order of preference:
   date   yyyy-mm-dd of the years 1800 to 2199, in a permutation of those days
 A value that does not validate stays as it is.
 
+Pseudonyms of cards and phones depend on their digits alone, which are laid back into the
+format: a number has one pseudonym however it is grouped.  The country code is told by the digits, too.
+
 Two networks of ``ROUNDS`` rounds, with keyed SHA-256 as round function:
 * of numbers: x = l * B + r; in turn l += f(r) mod A and r += f(l) mod B, a permutation of A * B numbers;
 * of strings: the same on the two halves of a string, where every letter or digit moves inside its
@@ -36,6 +39,8 @@ KEY = "pseudonym-key-1"
 ROUNDS = 8
 KINDS = ("email", "card", "phone", "ip", "ssn", "date")
 
+# fixed values: the international country codes, which no other one begins with; all others have three digits
+COUNTRY_CODE = "[17]|2[07]|3[0123469]|4[013456789]|5[12345678]|6[0123456]|8[1246]|9[0123458]|[0-9]{3}"
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 # fixed values: the formats.  Each starts where no longer run of its characters can
 PATTERNS = {
@@ -121,16 +126,34 @@ def _email(v: Column, key: str, reverse: bool) -> Column:
     return F.concat(permute_string(local, key, "email", reverse), F.regexp_extract(v, "(@.*)$", 1))
 
 
+def _digits(v: Column) -> Column:
+    return F.regexp_replace(v, "[^0-9]", "")
+
+
+def _laid(v: Column, digits: Column) -> Column:
+    """``digits`` in the places of the digits of ``v``, whose other characters stay."""
+    start = F.struct(F.lit("").alias("o"), F.lit(1).alias("i"))
+
+    def step(s, c):
+        own = c.rlike("^[0-9]$")
+        return F.struct(F.concat(s["o"], F.when(own, F.substring(digits, s["i"], F.lit(1))).otherwise(c)).alias("o"),
+                        F.when(own, s["i"] + 1).otherwise(s["i"]).alias("i"))
+
+    return F.aggregate(F.split(v, ""), start, step, lambda s: s["o"])
+
+
 def _card(v: Column, key: str, reverse: bool) -> Column:
-    body = F.substring(v, F.lit(1), F.char_length(v) - 1)
+    digits = _digits(v)
+    body = F.substring(digits, F.lit(1), F.char_length(digits) - 1)
     new = permute_string(body, key, "card", reverse)
-    return F.when(check_digit(body) == F.substring(v, -1, 1), F.concat(new, check_digit(new)))
+    return F.when(check_digit(body) == F.substring(digits, -1, 1), _laid(v, F.concat(new, check_digit(new))))
 
 
 def _phone(v: Column, key: str, reverse: bool) -> Column:
-    code = F.regexp_extract(v, r"^(\+(?:[0-9]{1,3}(?=[^0-9]))?)", 1)
-    rest = F.substring(v, F.char_length(code) + 1, F.char_length(v))
-    return F.concat(code, permute_string(rest, key, "phone", reverse))
+    digits = _digits(v)
+    code = F.regexp_extract(digits, f"^({COUNTRY_CODE})", 1)
+    rest = F.substring(digits, F.char_length(code) + 1, F.char_length(digits))
+    return _laid(v, F.concat(code, permute_string(rest, key, "phone", reverse)))
 
 
 def _ip(v: Column, key: str, reverse: bool) -> Column:

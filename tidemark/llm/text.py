@@ -6,9 +6,9 @@ per word.  Batches are cut into blocks of about ``BLOCK_BYTES`` of text, which
 bounds the memory of a task whatever the batch size; one document is never
 split, so the bound is ``BLOCK_BYTES`` plus the longest document.
 
-Hashes are 64-bit: a byte string hashes to the sum of ``TABLE[byte] *
-BASE**position`` (mod 2**64), mixed at the end.  The tables come from a fixed
-seed, so every worker computes the same values.
+Hashes are polynomials over two prime fields (modulus 2**31 - 1, a base each), packed into 62 bits and mixed: over a prime,
+unlike modulo 2**64, no text collides whatever the base.  The tables come from a fixed seed, so every
+worker computes the same values.
 """
 from __future__ import annotations
 
@@ -20,7 +20,11 @@ BLOCK_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240607)
 BYTE_TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = np.uint64(0x9E3779B97F4A7C15)
+MASK = np.uint64(2**31 - 1)
+BITS = np.uint64(31)
+BASES = (1_103_515_245, 1_664_525_013)
+# the two residues of each byte's number
+BYTE_RESIDUES = (BYTE_TABLE & MASK, (BYTE_TABLE >> BITS) & MASK)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -41,17 +45,31 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = np.ones(1, dtype=np.uint64)
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A number equal to x modulo 2**31 - 1, about 31 bits shorter."""
+    return (x & MASK) + (x >> BITS)
 
 
-def powers(n: int) -> np.ndarray:
-    """``BASE**0 .. BASE**(n-1)`` mod 2**64."""
-    global _POWERS
-    if len(_POWERS) < n:
-        p = np.full(max(n, 1024), BASE, dtype=np.uint64)
-        p[0] = 1
-        _POWERS = np.multiply.accumulate(p)
-    return _POWERS[:n]
+def _residue(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1, of any 64-bit x."""
+    x = _fold(_fold(_fold(x)))
+    return np.where(x >= MASK, x - MASK, x)
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(n: int, base: int) -> np.ndarray:
+    """``base**0 .. base**(n-1)`` modulo 2**31 - 1, by doubling."""
+    p = _POWERS.get(base, np.ones(1, np.uint64))
+    while len(p) < n:
+        p = np.concatenate([p, _residue(p * np.uint64(pow(base, len(p), 2**31 - 1)))])
+    _POWERS[base] = p
+    return p[:n]
+
+
+def _packed(one: np.ndarray, two: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return mix64(((one << BITS) | two) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
@@ -89,12 +107,15 @@ def segment_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     length = ends - starts
     first = np.cumsum(length) - length
     inside = np.arange(int(length.sum()), dtype=np.int64) - np.repeat(first, length)
-    values = BYTE_TABLE[data[np.repeat(starts, length) + inside]] * powers(int(length.max()))[inside]
+    units = data[np.repeat(starts, length) + inside]
     full = length > 0
-    out = np.zeros(len(starts), np.uint64)
-    if full.any():
-        out[full] = np.add.reduceat(values, first[full])
-    return mix64(out + length.astype(np.uint64))
+    out = []
+    for table, base in zip(BYTE_RESIDUES, BASES):
+        sums = np.zeros(len(starts), np.uint64)
+        if full.any():
+            sums[full] = np.add.reduceat(_fold(table[units] * powers(int(length.max()), base)[inside]), first[full])
+        out.append(_residue(sums))
+    return _packed(*out, length)
 
 
 class Words:
@@ -123,29 +144,20 @@ class Words:
 
 
 def word_sums(h: np.ndarray) -> np.ndarray:
-    """Prefix sums of ``h[i] * BASE**i``; with ``range_hash`` any run of words hashes in O(1)."""
-    out = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * powers(len(h)), out=out[1:])
+    """Prefix sums (two rows) of ``h[i] * base**i``; with ``range_hash`` any run of words hashes in O(1)."""
+    out = np.zeros((2, len(h) + 1), np.uint64)
+    for row, part, base in zip(out, (h & MASK, (h >> BITS) & MASK), BASES):
+        np.cumsum(_fold(part * powers(len(h), base)), out=row[1:])
     return out
 
 
-_INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
-_INV_POWERS = np.ones(1, dtype=np.uint64)
-
-
-def _inverse_powers(n: int) -> np.ndarray:
-    global _INV_POWERS
-    if len(_INV_POWERS) < n:
-        p = np.full(max(n, 1024), _INVERSE, dtype=np.uint64)
-        p[0] = 1
-        _INV_POWERS = np.multiply.accumulate(p)
-    return _INV_POWERS[:n]
-
-
 def range_hash(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Mixed hash of items lo..hi-1, the same wherever the run of items stands."""
-    inv = _inverse_powers(len(sums))
-    return mix64((sums[hi] - sums[lo]) * inv[lo] + (hi - lo).astype(np.uint64))
+    out = []
+    for row, base in zip(sums, BASES):
+        inverse = powers(sums.shape[1], pow(base, -1, 2**31 - 1))
+        out.append(_residue(_fold(_fold(row[hi] - row[lo])) * inverse[lo]))
+    return _packed(*out, hi - lo)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
