@@ -23,6 +23,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_minhash_near_dedup": near_dedup.ORACLE_SQL,
     "op2_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op3_suffix_array_dedup": suffix_dedup.ORACLE_SQL,
     "op4_secret_ledger": secret_ledger.ORACLE_SQL,
     "op9_source_mixing": mixing.ORACLE_SQL,
     "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,

@@ -284,3 +284,23 @@ def _merged(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = f"""
+WITH texts AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+strings AS (SELECT doc_id, k, md5(t[k : k + {LENGTH - 1}]) AS h
+            FROM (SELECT doc_id, t, unnest(generate_series(1, octet_length(t) - {LENGTH - 1})) AS k FROM texts)),
+often AS (SELECT doc_id, k FROM strings WHERE h IN (SELECT h FROM strings GROUP BY h HAVING count(*) > 1)),
+opened AS (SELECT doc_id, k, coalesce(k > lag(k) OVER (PARTITION BY doc_id ORDER BY k) + {LENGTH}, true) AS opens FROM often),
+runs AS (SELECT doc_id, k, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM opened),
+spans AS (SELECT doc_id, run, min(k) AS lo, max(k) + {LENGTH} AS hi FROM runs GROUP BY doc_id, run),
+pieces AS (SELECT doc_id, run, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY run), 1) AS a, lo - 1 AS b, hi FROM spans),
+kept AS (
+  SELECT p.doc_id, string_agg(CASE WHEN b >= a THEN hex(t[a : b]) ELSE '' END, '' ORDER BY run)
+                   || CASE WHEN max(hi) <= any_value(octet_length(t)) THEN hex(any_value(t)[max(hi) : octet_length(any_value(t))]) ELSE '' END AS kept
+  FROM pieces p JOIN texts USING (doc_id) GROUP BY p.doc_id),
+sums AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, octet_length(t)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       CASE WHEN kept IS NULL THEN sha256(t) ELSE sha256(unhex(kept)) END AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
