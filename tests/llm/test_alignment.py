@@ -115,6 +115,18 @@ def _library(_):
     return lib
 
 
+def test_small_memory_changes_nothing(monkeypatch):
+    texts = [t for t in pq.read_table(f"{SF_SMALL}/documents.parquet")["text"].to_pylist() if t][:80]
+    whole = bpe.loaded(_pair, b"pair").encode(texts)
+    monkeypatch.setattr(bpe, "CACHE_UNITS", 300)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 200)
+    small = _pair(None)
+    parts = [small.encode(texts[i: i + 4]) for i in range(0, 80, 4)]
+    for side in (0, 1):
+        assert whole[side][0].tolist() == [i for p in parts for i in p[side][0].tolist()]
+    assert len(small.wrong) < 4000
+
+
 def test_identity_map_prefers_whole_pieces():
     assert alignment.identity_map([b"A", b"bc", None, b"zz"], [b"A", b"A", b"bc"], [True, False, False]).tolist() == [1, 2, -1, -1]
 

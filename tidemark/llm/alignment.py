@@ -40,6 +40,9 @@ from tidemark.llm.text import text_column
 KNOWN_WORDS = 100_000           # of A, beside the units
 MAX_PAIRS_SENT = 4_000_000      # 16 bytes a row in a task
 SPACE = "▁"                # fixed value: how a piece writes a space
+# fixed values: letters of every Unicode version, and marks that A's pattern parts from letters
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+MARKS = ".,;:!?"
 
 
 class PieceEncoder:
@@ -63,8 +66,12 @@ class PieceEncoder:
         self.splits = (pieces[self.plain_space] == SPACE and SPACE not in glue
                        and b"".join(self.strings[i] for i in self.model.encode(probe)) == b" " + probe.encode())
         more = f"(?:[{re.escape(''.join(sorted(glue)))}][{bpe.WHITE}]*[^{bpe.WHITE}]*)*" if glue and self.splits else ""
+        # marks that no piece joins to a letter before them: words and what follows them are units of their own
+        marks = "".join(m for m in MARKS if not any(re.search(f"[{LETTERS}]{re.escape(m)}", p) for p in whole))
+        word = f"[{bpe.WHITE}]*[{LETTERS}]+(?=[{re.escape(marks)}])|" if marks and self.splits else ""
         # white space and the word behind it: both vocabularies cut between such units
-        self.units = re.compile(f"[{bpe.WHITE}]*[^{bpe.WHITE}]+{more}|[{bpe.WHITE}]+").findall
+        self.units = re.compile(f"{word}[{bpe.WHITE}]*[^{bpe.WHITE}]+{more}|[{bpe.WHITE}]+").findall
+        self.apart = self.model.encode("\na")[:2]       # the added space, and a byte that no piece holds
 
     def whole_ids(self, text: str) -> list[int]:
         """Ids of " " + some text, given with that space."""
@@ -73,14 +80,14 @@ class PieceEncoder:
     def unit_ids(self, units: list[str]) -> list[list[int] | None]:
         """Ids of units; None for a unit that needs its surroundings."""
         marked = [u.replace(" ", SPACE) for u in units]
-        # the model puts a space in front: units that begin with one lose theirs, others lose the token it makes
-        found = self.model.encode([m[1:] if m[0] == SPACE else m for m in marked], num_threads=1)
+        # the model puts a space in front: units that begin with one lose theirs, others are kept apart from it by a line feed
+        found = self.model.encode([m[1:] if m[0] == SPACE else "\n" + m for m in marked], num_threads=1)
         out: list = []
         for m, ids in zip(marked, found):
             if m == SPACE:
                 ids = [self.plain_space]
             elif m[0] != SPACE:
-                ids = ids[1:] if ids[0] == self.plain_space else None
+                ids = ids[2:] if ids[:2] == self.apart else None
             out.append(ids)
         return out
 
@@ -135,6 +142,23 @@ class Pair:
         self.words: dict[str, bytes] = {}
         self.ids_a, self.ids_b = Ragged(), Ragged()
         self.wrong = np.zeros(0, np.int8)       # 1: B does not spell the unit, 2: it needs its surroundings
+        self.used = np.zeros(0, np.int64)
+
+    def _keep_used(self) -> None:
+        """Forget the units that were met once, or all if few are left to forget."""
+        names, numbers = list(self.known), np.fromiter(self.known.values(), np.int64, len(self.known))
+        again = self.used[numbers] > 1
+        if 2 * again.sum() > len(self.wrong):
+            self._forget()
+            return
+        at = numbers[again]
+        a, b = self.ids_a.gather(at), self.ids_b.gather(at)
+        wrong, words = self.wrong[at], self.words
+        self._forget()
+        self.ids_a.append(*a)
+        self.ids_b.append(*b)
+        self.wrong, self.used, self.words = wrong, np.ones(len(at), np.int64), words
+        self.known = dict(zip([n for n, k in zip(names, again.tolist()) if k], range(len(at))))
 
     def _learn(self, units: set[str]) -> None:
         new = [u for u in units if u not in self.known]
@@ -154,29 +178,44 @@ class Pair:
             fault = np.array([2 if ids is None else int(self.b.spelled(ids) != u.encode()) for u, ids in zip(new, b)], np.int8)
         self.known.update(zip(new, range(len(self.wrong), len(self.wrong) + len(new))))
         self.wrong = np.concatenate([self.wrong, fault])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
 
-    def encode(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-        """For A and B: ids of all texts in one array, and where each text's begin (and the last ones end); none where
-        B's tokens do not spell space + text (A's always do: it has a token for each byte)."""
-        units: list[list[str]] = []
-        count = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                found = self.b.units(" " + t) if self.b.splits else [" " + t]
-                count[i] = len(found)
-                units.append(found)
+    def _encode(self, pieces: list[tuple[int, str]]) -> tuple:
+        """(ids of A, their texts), (ids of B, their texts), (texts of units with a fault, the fault)."""
+        units = [self.b.units(p) if self.b.splits else [p] for _, p in pieces]
+        count = np.array([len(u) for u in units], np.int64)
         if len(self.wrong) > bpe.CACHE_UNITS:
-            self._forget()
+            self._keep_used()
         distinct = set().union(*units)
         self._learn(distinct)
         get = self.known.__getitem__
         at = np.fromiter((k for u in units for k in map(get, u)), np.int64, int(count.sum()))
-        doc = np.repeat(np.arange(len(texts)), count)
-        fault = self.wrong[at]
+        doc = np.repeat(np.array([i for i, _ in pieces], np.int64), count)
+        self.used += np.bincount(at, minlength=len(self.used))
         sides = []
         for ids in (self.ids_a, self.ids_b):
             flat, length = ids.gather(at)
-            sides.append([flat, np.repeat(doc, length)])
+            sides.append((flat, np.repeat(doc, length)))
+        for u in distinct:
+            if len(u) > bpe.CACHED_CHARS:       # long ones are not kept: their number goes on holding their ids until all is forgotten
+                del self.known[u]
+        odd = self.wrong[at] > 0
+        return *sides, (doc[odd], self.wrong[at[odd]])
+
+    def encode(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """For A and B: ids of all texts in one array, and where each text's begin (and the last ones end); none where
+        B's tokens do not spell space + text (A's always do: it has a token for each byte)."""
+        parts, some, held = [], [], 0
+        for i, t in enumerate(texts):
+            for piece in bpe.safe_pieces(" " + t) if t and self.b.splits else [" " + t] if t else []:
+                some.append((i, piece))
+                held += len(piece)
+                if held >= bpe.CHUNK_CHARS:
+                    parts.append(self._encode(some))
+                    some, held = [], 0
+        parts.append(self._encode(some))
+        sides = [[np.concatenate([p[k][j] for p in parts]) for j in (0, 1)] for k in (0, 1)]
+        doc, fault = (np.concatenate([p[2][j] for p in parts]) for j in (0, 1))
         bad = np.zeros(len(texts), bool)
         whole: list[tuple[int, list[int]]] = []
         for i in np.unique(doc[fault > 0]).tolist():
@@ -191,9 +230,6 @@ class Pair:
             of = np.concatenate([sides[1][1][~again], *[np.full(len(ids), i) for i, ids in whole]])
             order = np.argsort(of, kind="stable")
             sides[1] = [flat[order], of[order]]
-        for u in distinct:
-            if len(u) > bpe.CACHED_CHARS:       # long ones are not kept: their number goes on holding their ids until all is forgotten
-                del self.known[u]
         out = []
         for flat, of in sides:
             if bad.any():

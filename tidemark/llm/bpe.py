@@ -220,6 +220,18 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNITS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
 
 
+def safe_pieces(text: str, start: int = 0, end: int | None = None):
+    """A text cut at spaces between printable ASCII characters into pieces of about ``CHUNK_CHARS``."""
+    end = len(text) if end is None else end
+    while start < end:
+        stop = end
+        if end - start > CHUNK_CHARS:
+            safe = _SAFE_CUT.search(text, start + CHUNK_CHARS, end)
+            stop = safe.start() if safe else end
+        yield text[start:stop]
+        start = stop
+
+
 class UnitEncoder:
     """Texts to ids through units that encode alike wherever they stand, with a bounded memory of units."""
 
@@ -242,13 +254,8 @@ class UnitEncoder:
         at = 0
         for m in [*cut.finditer(text), None] if cut else [None]:
             end = m.start() if m else len(text)
-            while at < end:
-                stop = end
-                if end - at > CHUNK_CHARS:
-                    safe = _SAFE_CUT.search(text, at + CHUNK_CHARS, end)
-                    stop = safe.start() if safe else end
-                yield text[at:stop], None
-                at = stop
+            for piece in safe_pieces(text, at, end):
+                yield piece, None
             if m:
                 yield "", self.special[m.group()]
                 at = m.end()
@@ -386,7 +393,7 @@ def encode(docs: DataFrame, path: str | None = None, column: str = "text", out:
            keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) and ``out`` array<int>, the ids of ``column``."""
     sent = send_file(docs.sparkSession, path or vocabulary_path())
-    rest = [c for c in (docs.columns if keep is None else keep) if c.lower() != out.lower()]
+    rest = [c for c in (docs.columns if keep is None else keep) if c.lower() not in (out.lower(), "__text", "__out")]
     source = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{column}`").cast("string").alias("__text"))
 
     def run(batches):
