@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,18 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(5)
 
 
+@contextmanager
+def settings(spark, values):
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def order(rows):
     return sorted(tuple((x is None, x) if x is not None else (True, 0) for x in r) for r in rows)
 
@@ -92,14 +105,29 @@ def test_substring_ranges_are_what_is_removed(spark):
         assert " ".join(words) == r.kept
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
-def test_suffix(spark, hot):
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_suffix(spark, tasks):
     rows = [(i if i % 9 else None, t) for i, t in enumerate(corpus(3, 40))]
-    got = suffix_dedup.remove_repeats(frame(spark, rows), hot).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    # no coalescing: names and runs go on from task to task
+    with settings(spark, {"spark.sql.shuffle.partitions": str(tasks), "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        got = suffix_dedup.remove_repeats(frame(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
     assert order(map(tuple, got)) == order(brute_bytes(rows))
     assert sum(r[2] for r in got) > 500
 
 
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_suffix_of_one_name_with_many_surroundings(spark, tasks):
+    rnd = random.Random(9)
+    core = "".join(rnd.choice("abcdefgh") for _ in range(380))
+    edges = ["".join(rnd.choice("xy") for _ in range(30)) for _ in range(3)]
+    rows = [(i, "".join(rnd.choice("xy") for _ in range(rnd.randint(0, 6))) + rnd.choice(edges)[rnd.randint(0, 20):] + core
+             + rnd.choice(edges)[:rnd.randint(0, 30)] + "".join(rnd.choice("xy") for _ in range(rnd.randint(0, 8)))) for i in range(300)]
+    with settings(spark, {"spark.sql.shuffle.partitions": str(tasks), "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        got = suffix_dedup.remove_repeats(frame(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert order(map(tuple, got)) == order(brute_bytes(rows))
+    assert 0 < sum(r[2] > 0 for r in got) < len(rows)
+
+
 def test_empty_tables(spark):
     none = frame(spark, [(1, "a")]).where("doc_id = 2")
     assert substring_dedup.remove_repeats(none).count() == 0

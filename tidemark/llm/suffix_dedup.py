@@ -11,14 +11,16 @@ Prefix-free parsing, cut to what a fixed length needs:
    address of everything their strings can hold.  Equal addresses are repeats at once; in
    highly repetitive text that settles nearly all.  Repeats inside a block of texts
    are settled there, so a passage that a third of all documents hold is a row a block.
-3. Suffix arrays.  Only where a name has different surroundings (the ends of repeats), the
-   bytes are fetched, and two suffix arrays are built within each name: the phrase suffixes,
-   sorted from the trigger to the left, and the parse suffixes, sorted from the core to the right,
-   both with the common prefixes of neighbours.  Combined, they order the corpus: two strings
-   with o bytes before the trigger are equal if no neighbour's prefix falls below o
-   between them in the one, nor below LENGTH - CORE - o in the other.
-   Names with more than ``HOT`` different surroundings are spread over tasks: their strings are
-   counted by hash, with partial sums in every task.
+3. Suffix arrays.  Where a name has different surroundings (the ends of repeats), the bytes are
+   fetched, and two tables are put in order by Spark's range sort: the dictionary, the phrase suffixes read
+   from the trigger to the left, and the parse, the parse suffixes read from the core to the right
+   (``_ranked``).  Each row gets the common prefix with its neighbour, and from these its ranks: for
+   every length the place in the order at which the run of rows that share so many bytes begins.
+   A run may go on over many tasks; only the first and last row of each task meet on the
+   driver (``_head_ranks``), to say where it began.
+   Combined, the two ranks order the corpus: two strings with o bytes before the trigger are equal exactly
+   if their dictionary ranks at o and their parse ranks at LENGTH - CORE - o are (``_strings``).
+   A name with any number of surroundings is spread over as many tasks as its rows need.
 4. The covered bytes are removed from the texts.
 
 Strings are judged on the input; matches never cross documents.
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +45,10 @@ LENGTH = 400
 REACH = 128
 GRAM = 16
 CORE = LENGTH - REACH + 1
-# rows of one name that one task sorts; about 300 bytes each
-HOT = 20_000
+# rows ranked at a time in a task; their ranks take about 1 KB a row
+RANKED = 4096
+PLACES = 1 << 32        # a rank is the task's number times this and the place in the task
+O_BITS = 7              # below it, the length of the shared prefix: REACH values
 NO_BYTE = 0xFF          # never in UTF-8
 
 
@@ -90,8 +95,8 @@ def _meet(rows: DataFrame) -> DataFrame:
 
 
 def _surroundings(docs: DataFrame, asks: DataFrame) -> DataFrame:
-    """(name, d, place, single, left, right): the bytes before the trigger and after the core, as far as
-    the trigger's strings reach."""
+    """(name, d, place, single, left, right): the bytes before the trigger (the nearest first) and after the core,
+    as far as the trigger's strings reach."""
     by_doc = asks.groupBy("d").agg(F.collect_list(F.struct("name", "place", (~F.col("repeated")).alias("single"))).alias("asks"))
 
     def run(batches):
@@ -103,7 +108,7 @@ def _surroundings(docs: DataFrame, asks: DataFrame) -> DataFrame:
                 name, place, single = part.field(0), part.field(1).to_numpy(), part.field(2)
                 start, count, offset = unpack(place)
                 anchor = (start + offset).tolist()
-                left = [data[s:a] for s, a in zip(start.tolist(), anchor)]
+                left = [data[s:a][::-1] for s, a in zip(start.tolist(), anchor)]
                 right = [data[a + CORE:e] for a, e in zip(anchor, (start + count - 1 + LENGTH).tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [name, pa.array(np.full(len(place), ids[i])), part.field(1), single, pa.array(left, pa.binary()),
@@ -113,128 +118,160 @@ def _surroundings(docs: DataFrame, asks: DataFrame) -> DataFrame:
     return map_arrow(joined, run, "name bigint, d bigint, place bigint, single boolean, left binary, right binary")
 
 
-def _matrix(values: pa.Array, reverse: bool) -> np.ndarray:
+def _matrix(values: pa.Array) -> np.ndarray:
     """One padded row of REACH - 1 bytes for each value."""
-    values = values.cast(pa.large_binary())
-    data, off = raw(values)
+    data, off = raw(values.cast(pa.large_binary()))
     length = np.diff(off)
     out = np.full((len(length), REACH - 1), NO_BYTE, np.uint8)
-    row = np.repeat(np.arange(len(length)), length)
-    col = np.arange(len(data)) - np.repeat(off[:-1], length)
-    out[row, np.repeat(length, length) - 1 - col if reverse else col] = data
+    out[np.repeat(np.arange(len(length)), length), np.arange(len(data)) - np.repeat(off[:-1], length)] = data
     return out
 
 
-def _suffix_array(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows inside their groups, and each one's common prefix with the one before (-1 for a group's first)."""
-    keyed = np.concatenate([group.astype(">u8").view(np.uint8).reshape(-1, 8), rows], axis=1)
-    order = np.argsort(np.ascontiguousarray(keyed).view(f"S{keyed.shape[1]}").ravel(), kind="stable")
-    same = rows[order][1:] == rows[order][:-1]
-    common = np.where(same.all(axis=1), rows.shape[1], np.argmin(same, axis=1))
-    common = np.where(group[order][1:] == group[order][:-1], common, -1)
-    return order, np.concatenate([[-1], common])
-
-
-def repeated_offsets(group: np.ndarray, left: np.ndarray, right: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """(rows, REACH) bool: the row's string with o bytes before the trigger has an equal one in its group.
-
-    ``low`` and ``high`` bound the offsets o of each row's strings."""
-    m = len(group)
-    out = np.zeros((m, REACH), bool)
-    dictionary, phrase_common = _suffix_array(group, left)
-    parses, parse_common = _suffix_array(group, right)
-    phrase, parsed = np.empty(m, np.int64), np.empty(m, np.int64)
-    for o in range(REACH):
-        active = np.flatnonzero((low <= o) & (o <= high))
-        if len(active) < 2:
-            continue
-        phrase[dictionary] = np.cumsum(phrase_common < o)
-        parsed[parses] = np.cumsum(parse_common < REACH - 1 - o)
-        _, inverse, count = np.unique(phrase[active] * (m + 1) + parsed[active], return_inverse=True, return_counts=True)
-        out[active, o] = count[inverse] > 1
-    return out
+def _common(rows: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each row and the one before."""
+    same = rows == before
+    return np.where(same.all(axis=1), rows.shape[1], np.argmin(same, axis=1))
+
+
+def _steps(ranks: np.ndarray) -> pa.Array:
+    """Ranks of each row at 0 to REACH - 1 shared bytes, as a list of (rank, from which length on)."""
+    opens = np.ones(ranks.shape, bool)
+    opens[:, 1:] = ranks[:, 1:] != ranks[:, :-1]
+    row, o = np.nonzero(opens)
+    off = np.concatenate([[0], np.cumsum(opens.sum(axis=1))])
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array((ranks[row, o] << O_BITS) | o))
+
 
+def _ranks(steps: pa.ListArray) -> np.ndarray:
+    """The inverse of ``_steps``."""
+    n = len(steps)
+    values = steps.flatten().to_numpy()
+    row = np.repeat(np.arange(n), steps.value_lengths().to_numpy())
+    o = values & ((1 << O_BITS) - 1)
+    out, at = np.zeros((n, REACH), np.int64), np.zeros((n, REACH), np.int64)
+    out[row, o], at[row, o] = values >> O_BITS, o
+    return np.take_along_axis(out, np.maximum.accumulate(at, axis=1), axis=1)
 
-def _sorted_spans(rows: DataFrame) -> DataFrame:
-    """(d, lo, hi) found by the suffix arrays; rows come grouped by name, and whole names are sorted together."""
-    def resolve(part: pa.Table):
-        part = part.combine_chunks()
-        name, place = part["name"].to_numpy(), part["place"].to_numpy()
-        group = np.cumsum(np.concatenate([[0], name[1:] != name[:-1]]))
-        start, count, offset = unpack(place)
-        low, high = offset - count + 1, offset
-        left, right = (_matrix(pa.concat_arrays(part[c].chunks) if part[c].num_chunks != 1 else part[c].chunk(0), c == "left")
-                       for c in ("left", "right"))
-        found = repeated_offsets(group, left, right, low, high)
-        found[~part["single"].to_numpy(zero_copy_only=False).astype(bool)] = False
-        edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        row, o1 = np.nonzero(edge == 1)
-        o2 = np.nonzero(edge == -1)[1] - 1
-        anchor = (start + offset)[row]
-        d = part["d"].to_numpy()[row]
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(anchor - o2), pa.array(anchor - o1 + LENGTH)], names=["d", "lo", "hi"])
+
+def _ranked(rows: DataFrame, side: str) -> DataFrame:
+    """``rows`` in the order of (name, side), with ``side`` replaced by ``side``_ranks (see ``_steps``) and
+    ``side``_shared, the longest prefix that a neighbour may share.
+
+    Each task adds a row without ``name``: its number as ``side``_shared, the ranks of its last row, and
+    as ``edge`` its first and last rows' names and bytes."""
+    others = [c for c in rows.columns if c not in ("name", side)]
+    schema = ", ".join(["name bigint", *[f"`{c}` {t}" for c, t in rows.dtypes if c in others], f"{side}_ranks array<bigint>",
+                        f"{side}_shared bigint", "edge binary"])
+    names = ["name", *others, f"{side}_ranks", f"{side}_shared", "edge"]
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            if sum(b.num_rows for b in held) < HOT:
-                continue
-            rows = pa.Table.from_batches(held)
-            name = rows["name"].to_numpy()
-            cut = int(np.searchsorted(name, name[-1]))       # the last name may go on
-            if cut:
-                yield resolve(rows.slice(0, cut))
-            held = rows.slice(cut).combine_chunks().to_batches()
-        if held:
-            yield resolve(pa.Table.from_batches(held))
-
-    return map_arrow(rows.repartition("name").sortWithinPartitions("name"), run, "d bigint, lo bigint, hi bigint")
-
-
-def _counted_spans(rows: DataFrame) -> DataFrame:
-    """(d, lo, hi) of the same strings, by counting their hashes."""
+        task = TaskContext.get().partitionId()
+        at, head, name_before, row_before, ranks_before, kinds = task * PLACES, None, None, None, None, None
+        for whole in batches:
+            for i in range(0, whole.num_rows, RANKED):
+                batch = whole.slice(i, RANKED)
+                n, name, data = batch.num_rows, batch.column(0).to_numpy(), _matrix(batch.column(1))
+                if head is None:
+                    head, name_before, row_before, ranks_before = (name[0].tobytes() + data[0].tobytes(), name[0], data[0],
+                                                                   np.full(REACH, at))
+                    kinds = [c.type for c in batch.columns[2:]]
+                same_name = name == np.concatenate([[name_before], name[:-1]])
+                common = np.where(same_name, _common(data, np.concatenate([row_before[None], data[:-1]])), -1)
+                place = at + np.arange(n)
+                ranks = np.where(common[:, None] < np.arange(REACH), place[:, None], -1)
+                ranks[0] = np.where(ranks[0] < 0, ranks_before, ranks[0])
+                ranks = np.maximum.accumulate(ranks, axis=0)
+                # what lies beyond the chunk may share everything
+                shared = np.maximum(np.where(np.arange(n) == 0, REACH - 1, common), np.append(common[1:], REACH - 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], _steps(ranks), pa.array(shared), pa.nulls(n, pa.binary())],
+                                                 names=names)
+                at, name_before, row_before, ranks_before = at + n, name[-1], data[-1], ranks[-1]
+        if head is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, pa.int64()), *[pa.nulls(1, t) for t in kinds], _steps(ranks_before[None]), pa.array([task]),
+                 pa.array([head + name_before.tobytes() + row_before.tobytes()], pa.binary())], names=names)
+
+    keys = ["name", side, "d", "place"]
+    ordered = rows.select("name", side, *others).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return written(map_arrow(ordered, run, schema), f"suffix-{side}")
+
+
+def _head_ranks(ranked: DataFrame, side: str) -> tuple[np.ndarray, np.ndarray]:
+    """(tasks, ranks): for each task the true ranks of the runs that its first row is in, which may have begun
+    in an earlier task.  One row a task comes to the driver."""
+    edges = ranked.where("edge is not null").select(f"{side}_shared", "edge", f"{side}_ranks").collect()
+    tasks, heads, before, ranks_before = [], [], None, None
+    for task, edge, steps in sorted((r[0], bytes(r[1]), r[2]) for r in edges):
+        head, tail = (np.frombuffer(part, np.uint8) for part in (edge[:len(edge) // 2], edge[len(edge) // 2:]))
+        ranks = np.full(REACH, task * PLACES)
+        if before is not None and (before[:8] == head[:8]).all():
+            shared = int(_common(head[None, 8:], before[None, 8:])[0])
+            ranks[:shared + 1] = ranks_before[:shared + 1]
+        last = _ranks(pa.array([steps], pa.list_(pa.int64())))[0]
+        before, ranks_before = tail, np.where(last == task * PLACES, ranks, last)
+        tasks.append(task)
+        heads.append(ranks)
+    return np.array(tasks, np.int64), np.array(heads, np.int64).reshape(-1, REACH)
+
+
+def _true(ranks: np.ndarray, o: np.ndarray, heads: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Ranks at ``o`` shared bytes, those of a task's first run replaced by where the run began."""
+    first = np.flatnonzero(ranks % PLACES == 0)
+    tasks, known = heads
+    out = ranks.copy()
+    out[first] = known[np.searchsorted(tasks, ranks[first] // PLACES), o[first]]
+    return out
+
+
+def _strings(order: DataFrame, left_heads, right_heads) -> DataFrame:
+    """(dictionary, parse, d, lo, single) of every string that shares its bytes on either side with
+    some neighbour: the ranks of its two halves, equal for equal strings alone."""
     def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                start, count, offset = unpack(part.column(2).to_numpy())
-                total = int(count.sum())
-                row = np.repeat(np.arange(len(count)), count)
-                step = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-                o = offset[row] - step                       # bytes before the trigger
-                (ld, lo), (rd, ro) = (raw(part.column(c).cast(pa.large_binary())) for c in (4, 5))
-                left, right = word_sums(BYTE_TABLE[ld]), word_sums(BYTE_TABLE[rd])
-                one = range_hash(left, lo[1:][row] - o, lo[1:][row])
-                two = range_hash(right, ro[:-1][row], ro[:-1][row] + (LENGTH - CORE - o))
-                h = mix64(mix64(mix64(part.column(0).to_numpy().view(np.uint64)[row]) + one) + two)
+        for whole in batches:
+            for i in range(0, whole.num_rows, RANKED):
+                batch = whole.slice(i, RANKED)
+                d, place, left_shared, right_shared = (batch.column(k).to_numpy() for k in (0, 1, 4, 6))
+                start, count, offset = unpack(place)
+                low = np.maximum(offset - count + 1, REACH - 1 - right_shared)
+                high = np.minimum(offset, left_shared)
+                n = np.maximum(high - low + 1, 0)
+                row = np.repeat(np.arange(len(n)), n)
+                o = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                dictionary = _true(_ranks(batch.column(3))[row, o], o, left_heads)
+                parsed = _true(_ranks(batch.column(5))[row, REACH - 1 - o], REACH - 1 - o, right_heads)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(part.column(1).to_numpy()[row]), pa.array(start[row] + step),
-                     part.column(3).take(pa.array(row))], names=["h", "d", "lo", "single"])
+                    [pa.array((dictionary << O_BITS) | o), pa.array(parsed), pa.array(d[row]),
+                     pa.array((start + offset)[row] - o), batch.column(2).take(pa.array(row))],
+                    names=["dictionary", "parse", "d", "lo", "single"])
+
+    columns = ["d", "place", "single", "left_ranks", "left_shared", "right_ranks", "right_shared"]
+    return map_arrow(order.where("edge is null").select(*columns), run,
+                     "dictionary bigint, parse bigint, d bigint, lo bigint, single boolean")
+
 
-    strings = map_arrow(rows.select("name", "d", "place", "single", "left", "right"), run, "h bigint, d bigint, lo bigint, single boolean")
-    often = strings.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    return strings.where("single").join(often, "h", "left_semi").select("d", "lo", (F.col("lo") + LENGTH).alias("hi"))
+def ranked_spans(around: DataFrame) -> DataFrame:
+    """(d, lo, hi) of the strings of single rows that have an equal one, by their ranks in dictionary and parse."""
+    dictionary = _ranked(around, "left")
+    order = _ranked(dictionary.where("edge is null").drop("edge"), "right")
+    strings = _strings(order, _head_ranks(dictionary, "left"), _head_ranks(order, "right"))
+    often = strings.groupBy("dictionary", "parse").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    found = strings.where("single").join(often, ["dictionary", "parse"], "left_semi")
+    return found.select("d", "lo", (F.col("lo") + LENGTH).alias("hi"))
 
 
-def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame) -> DataFrame:
     """(d, lo, hi): byte ranges covered by repeated strings. ``docs`` as from ``identified``."""
     met = written(_meet(parse(docs)), "suffix-met")
     plain = met.where("repeated").select("d", start_of("place").alias("lo"),
                                          (start_of("place") + count_of("place") - 1 + LENGTH).alias("hi"))
     around = written(_surroundings(docs, met.where("ask")), "suffix-around")
-    crowded = around.groupBy("name").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("name")
-    crowded = written(crowded, "suffix-crowded")
-    return (plain.unionByName(_sorted_spans(around.join(crowded, "name", "left_anti").select(*around.columns)))
-            .unionByName(_counted_spans(around.join(crowded, "name", "left_semi"))))
+    return plain.unionByName(ranked_spans(around))
 
 
-def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left) and removed (byte ranges) of every row."""
     docs = identified(docs)
-    spans = repeated_spans(docs, hot).groupBy("d").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = repeated_spans(docs).groupBy("d").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     kind = dict(docs.dtypes)["doc_id"]
     span_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
