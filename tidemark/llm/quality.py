@@ -158,14 +158,20 @@ def with_base_rules(stats: DataFrame, min_words: int = MIN_WORDS, max_repeat: in
                             | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")))
 
 
-def fit_quality(stats: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> gbt.Forest:
-    """Train on about ``max_train_rows`` labelled documents: all, or those whose hashed id is in the share
-    that gives so many (the rows are chosen in the tasks, so no more than the sample reaches the driver)."""
+def training_labels(labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """(doc_id, quality) of about ``max_train_rows`` labelled documents: all, or those whose hashed id is in the
+    share that gives so many (the rows are chosen in the tasks, so no more than the sample reaches the driver)."""
     one = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
            .groupBy("doc_id").agg(F.min("quality").alias("quality")))
     labelled = one.count()
     if labelled > max_train_rows:
         one = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(int((1 << 40) * max_train_rows / labelled)))
+    return one
+
+
+def fit_quality(stats: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> gbt.Forest:
+    """Train on the rows of ``stats`` whose labels ``training_labels`` chooses."""
+    one = training_labels(labels, max_train_rows)
     sample = stats.join(one, "doc_id").select("doc_id", "quality", *COUNTS, *FEATURES).toPandas()
     sample = sample.sort_values(["doc_id", *COUNTS])        # the forest does not depend on the order of arrival
     return gbt.fit(sample[list(FEATURES)].to_numpy(float), (sample["quality"] > 0).to_numpy(float), MONOTONE)
@@ -198,7 +204,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     row, so nothing is joined back on an id that may be null or repeated."""
     columns = docs.columns
     inner, moved = shielded(docs, ["kept", "p_good", "base_failed", *COUNTS, *FEATURES])
-    model = fit_quality(with_base_rules(written(document_statistics(inner), "quality-stats")), labels)
+    chosen = F.broadcast(training_labels(labels).select("doc_id"))
+    # the sample's size is bounded, so its ids can be sent; only its texts are looked at twice
+    model = fit_quality(document_statistics(inner.join(chosen, "doc_id", "left_semi")), labels)
     names = inner.columns
 
     def run(batches):
