@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from builders import commits_df, messages
 from tidemark.operators.offset_sets import missing_ranges
 from tidemark.plans import backup, snapshot_report
@@ -100,6 +101,28 @@ def test_audit_finds_repeats_and_holes_across_runs(spark, scratch):
     assert [(r.low, r.high) for r in holes] == [(-2, 0), (3, 5), (7, 40_000)]
 
 
+def test_files_of_the_audited_stream_grow_with_no_table(spark, scratch, monkeypatch):
+    """The stream's files are as many as the scan's splits, each wave is a micro-batch, whatever the suppliers."""
+    paths = {}
+    monkeypatch.setattr(entry, "scratch_path", lambda s, name: paths.setdefault(name, os.path.join(scratch, name)))
+    day = F.lit("2024-01-01").cast("timestamp_ntz")
+    rows = spark.range(0, 2400, 1, 8).select((F.col("id") % 2000 + 1).alias("l_orderkey"), (F.col("id") % 7).alias("l_suppkey"), F.lit(5).cast("bigint").alias("l_partkey"),
+                                             F.lit(1).cast("bigint").alias("l_linenumber"), F.lit("R").alias("l_returnflag"), F.lit("O").alias("l_linestatus"), day.alias("l_shipdate"))
+    rows = rows.withColumn("l_suppkey", F.when(F.col("l_suppkey") > 0, F.col("l_suppkey")))
+    rows.write.parquet(f"{scratch}/lineitem.parquet")
+    for key, value in (("spark.sql.files.maxPartitionBytes", "4k"), ("spark.sql.files.openCostInBytes", "4k")):
+        spark.conf.set(key, value)
+    try:
+        got = entry.q_stream_repeats(spark, scratch).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "256m")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sum(r.repeats for r in got) == 400 and {r.offset for r in got} == {8 * k + 1 for k in range(1, 401)}
+    files = spark.read.parquet(paths["repeating"]).groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in files) == 2400 and len(files) > 8 and max(r["count"] for r in files) <= 300
+    assert len([x for x in os.listdir(os.path.join(paths["audit"], "audit")) if x.startswith("batch=")]) in (3, 4)
+
+
 def test_a_failure_is_no_stop(spark, scratch):
     src = os.path.join(scratch, "src")
     _arrive(messages(spark, "t", 0, range(5)).withColumn("key", F.lit(None).cast("binary")), src)

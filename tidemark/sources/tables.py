@@ -59,6 +59,19 @@ def file_stream(spark: SparkSession, schema, folder: str, glob: str = "*.parquet
             .option("maxFilesPerTrigger", max_files_per_trigger).parquet(folder.rstrip("/")))
 
 
+def write_waves(df: DataFrame, by: str, waves: int, folder: str) -> int:
+    """Write ``df`` as files that arrive in ``waves``, one after the other, dealt by the hash of a column; returns the
+    files of the largest wave, which as ``max_files_per_trigger`` makes each wave about one micro-batch.
+
+    Every task writes its own rows of a wave, nothing is shuffled, so a file grows with the scan's split and not with
+    the table."""
+    spark, files = df.sparkSession, [0]
+    for wave in range(waves):
+        df.where(F.pmod(F.hash(by), F.lit(waves)) == wave).write.mode("append").parquet(folder)
+        files.append(len(spark.read.schema(df.schema).parquet(folder).inputFiles()))
+    return max(1, *(after - before for before, after in zip(files, files[1:])))
+
+
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a file stream."""
     return file_stream(spark, table(spark, sf_dir, "events").schema, sf_dir, "events.parquet")
